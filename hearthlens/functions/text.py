@@ -12,9 +12,9 @@ def parse_money(text: Column) -> Column:
     Empty text is 0, NULL and text that is no finite number are NULL.
     """
     digits = F.replace(F.substring(text, 2, 10), F.lit(","), F.lit(""))
-    number = F.when(F.trim(digits) == "", F.lit(0.0)).otherwise(digits.try_cast("double"))
-    # NaN sorts above every number in Spark, so one comparison drops it and the infinities.
-    return F.when(F.abs(number) < float("inf"), number)
+    # Unlike a double, a decimal takes no "NaN", "Infinity" or "12d"; ten characters always fit.
+    number = digits.try_cast("decimal(19,9)").cast("double")
+    return F.coalesce(number, F.when(F.trim(digits) == "", F.lit(0.0)))
 
 
 def parse_bathrooms(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, parse_money
@@ -16,42 +17,48 @@ from .spread import semi_join_spread, sort_spread
 _KEYS = ["_name_key", "_home_key"]
 
 
+def _as_key(match: str) -> Callable[[str], Column]:
+    return (lambda c: fold(F.col(c))) if match == "ci" else F.col
+
+
 def _keyed(rows: DataFrame, match: str) -> DataFrame:
-    """Rows with the join keys of their host: host name and home area."""
-    as_key = fold if match == "ci" else (lambda c: c)
-    keyed = rows.select(
-        "*", as_key(F.col("host_name")).alias("_name_key"), as_key(F.col("host_neighbourhood")).alias("_home_key")
-    )
-    return keyed.filter(F.col("_name_key").isNotNull() & F.col("_home_key").isNotNull())
+    """Rows with a host name and a home area, and the keys these are matched by."""
+    key = _as_key(match)
+    keyed = rows.select("*", key("host_name").alias("_name_key"), key("host_neighbourhood").alias("_home_key"))
+    return keyed.dropna(subset=_KEYS)
 
 
-def _only_local(rows: DataFrame, listings: DataFrame, match: str) -> DataFrame:
-    """Rows whose host name has some listing in the row's home area.
+def _local_places(listings: DataFrame, match: str) -> DataFrame:
+    """The (host name, area) pairs both lived in and listed in, with how many rows live there.
 
-    Both sides shrink to distinct (name, area) pairs before they meet. Only then are the rows matched
-    with the pairs found, so no row is multiplied and a host's rows may be split over tasks.
+    Each listing is counted once for its host's home and once for its own area, so one pass and one
+    group-by replace the self-join.
     """
-    as_key = fold if match == "ci" else (lambda c: c)
-    listed = listings.select(
-        as_key(F.col("host_name")).alias("_name_key"), as_key(F.col(AREA)).alias("_home_key")
-    ).distinct()
-    keyed = _keyed(rows, match)
-    homes = keyed.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
-    local = homes.join(listed, _KEYS, "left_semi")
-    return semi_join_spread(keyed, local, _KEYS).drop(*_KEYS)
+    key = _as_key(match)
+    lives = F.struct(key("host_neighbourhood").alias("_home_key"), F.lit(True).alias("home"))
+    lists = F.struct(key(AREA).alias("_home_key"), F.lit(False).alias("home"))
+    places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists))).dropna(subset=_KEYS)
+    counted = places.groupBy(*_KEYS).agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
+    return counted.filter("_rows > 0 and _listed > 0").drop("_listed")
+
+
+def _local_host_rows(listings: DataFrame, match: str) -> DataFrame:
+    """Distinct hosts with a listing under their name in their home area."""
+    hosts = _keyed(listings.select("host_id", "host_name", "host_neighbourhood").distinct(), match)
+    homes = hosts.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
+    local = homes.join(_local_places(listings, match).select(*_KEYS), _KEYS, "left_semi")
+    return semi_join_spread(hosts, local, _KEYS).drop(*_KEYS)
 
 
 def local_hosts(listings: DataFrame, match: str = "binary") -> DataFrame:
     """Hosts with a listing under their name in the area they live in."""
-    hosts = listings.select("host_id", "host_name", "host_neighbourhood").distinct()
-    return _only_local(hosts, listings, match).orderBy("host_neighbourhood", "host_id", "host_name")
+    return _local_host_rows(listings, match).orderBy("host_neighbourhood", "host_id", "host_name")
 
 
 def local_host_count(listings: DataFrame, match: str = "binary") -> DataFrame:
     """Number of such hosts in each home area. Hosts are matched by name, so namesakes count."""
-    hosts = listings.select("host_id", "host_name", "host_neighbourhood").distinct()
-    counted = _only_local(hosts, listings, match).groupBy("host_neighbourhood")
-    return counted.agg(F.countDistinct("host_id").alias("hosts_live_here")).orderBy("host_neighbourhood")
+    per_home = _local_host_rows(listings, match).groupBy("host_neighbourhood")
+    return per_home.agg(F.countDistinct("host_id").alias("hosts_live_here")).orderBy("host_neighbourhood")
 
 
 _DETAILS = [
@@ -70,15 +77,17 @@ _DETAILS = [
 ]
 
 
-def _most_loved_first(rows: DataFrame) -> DataFrame:
-    details = rows.distinct().drop("host_id").withColumnRenamed(BOROUGH, "borough")
+def _local_details(rows: DataFrame, listings: DataFrame, match: str) -> DataFrame:
+    """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
+    local = semi_join_spread(_keyed(rows, match), _local_places(listings, match), _KEYS).drop(*_KEYS)
+    details = local.distinct().drop("host_id").withColumnRenamed(BOROUGH, "borough")
     return sort_spread(details, "host_neighbourhood", F.desc(F.col(RATING) * F.col("number_of_reviews")))
 
 
 def local_host_listings(listings: DataFrame, match: str = "binary") -> DataFrame:
     """All rated listings of local hosts, by home area and then by score times reviews."""
     rows = listings.filter(F.col("neighbourhood").isNotNull() & F.col(RATING).isNotNull()).select(*_DETAILS)
-    return _most_loved_first(_only_local(rows, listings, match))
+    return _local_details(rows, listings, match)
 
 
 def local_host_by_borough(
@@ -90,7 +99,7 @@ def local_host_by_borough(
     if borough is not None:
         rows = rows.filter(F.col(BOROUGH) == borough)
     rows = rows.withColumn("price", parse_money(F.col("price"))).filter("price > 0").select(*_DETAILS)
-    return _most_loved_first(_only_local(rows, listings, match))
+    return _local_details(rows, listings, match)
 
 
 def signup_running(listings: DataFrame, after_year: int = 2000) -> DataFrame:

@@ -28,7 +28,7 @@ def semi_join_spread(
 ) -> DataFrame:
     """Rows whose ``on`` values occur in ``keys``, with the hot keys' rows spread over ``fan`` tasks.
 
-    ``keys`` has one row per key, and in ``_rows`` how many of ``rows`` carry it. Rows of a hot key get
+    ``keys`` has one row per key, and in ``_rows`` how many of ``rows`` carry it at most. Rows of a hot key get
     one of ``fan`` salts by their hash, and that key is repeated under every salt.
     """
     # Fully ordered, so every evaluation picks the same keys.
