@@ -25,7 +25,7 @@ def _keyed(rows: DataFrame, match: str) -> DataFrame:
     """Rows with a host name and a home area, and the keys these are matched by."""
     key = _as_key(match)
     keyed = rows.select("*", key("host_name").alias("_name_key"), key("host_neighbourhood").alias("_home_key"))
-    return keyed.dropna(subset=_KEYS)
+    return keyed.filter("_name_key is not null and _home_key is not null")
 
 
 def _local_places(listings: DataFrame, match: str) -> DataFrame:
@@ -37,8 +37,8 @@ def _local_places(listings: DataFrame, match: str) -> DataFrame:
     key = _as_key(match)
     lives = F.struct(key("host_neighbourhood").alias("_home_key"), F.lit(True).alias("home"))
     lists = F.struct(key(AREA).alias("_home_key"), F.lit(False).alias("home"))
-    places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists))).dropna(subset=_KEYS)
-    counted = places.groupBy(*_KEYS).agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
+    places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists)))
+    counted = places.filter("_name_key is not null and _home_key is not null").groupBy(*_KEYS).agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
     return counted.filter("_rows > 0 and _listed > 0").drop("_listed")
 
 
@@ -77,29 +77,40 @@ _DETAILS = [
 ]
 
 
-def _local_details(rows: DataFrame, listings: DataFrame, match: str) -> DataFrame:
+def _local_details(rows: DataFrame, hosts: DataFrame, match: str) -> DataFrame:
     """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
-    local = semi_join_spread(_keyed(rows, match), _local_places(listings, match), _KEYS).drop(*_KEYS)
+    local = semi_join_spread(_keyed(rows, match), _local_places(hosts, match), _KEYS).drop(*_KEYS)
     details = local.distinct().drop("host_id").withColumnRenamed(BOROUGH, "borough")
     return sort_spread(details, "host_neighbourhood", F.desc(F.col(RATING) * F.col("number_of_reviews")))
 
 
-def local_host_listings(listings: DataFrame, match: str = "binary") -> DataFrame:
-    """All rated listings of local hosts, by home area and then by score times reviews."""
+def local_host_listings(listings: DataFrame, hosts: DataFrame | None = None, match: str = "binary") -> DataFrame:
+    """All rated listings of local hosts, by home area and then by score times reviews.
+
+    ``hosts`` may give the same listings with only the host and area columns, where these are cheaper
+    to read on their own.
+    """
     rows = listings.filter(F.col("neighbourhood").isNotNull() & F.col(RATING).isNotNull()).select(*_DETAILS)
-    return _local_details(rows, listings, match)
+    return _local_details(rows, listings if hosts is None else hosts, match)
 
 
 def local_host_by_borough(
-    listings: DataFrame, borough: str | None = None, min_reviews: int = 10, match: str = "binary"
+    listings: DataFrame,
+    hosts: DataFrame | None = None,
+    borough: str | None = None,
+    min_reviews: int = 10,
+    match: str = "binary",
 ) -> DataFrame:
-    """Well-reviewed priced listings of local hosts, in one borough or in all, with numeric price."""
+    """Well-reviewed priced listings of local hosts, in one borough or in all, with numeric price.
+
+    ``hosts`` as in :func:`local_host_listings`; it is not narrowed to the borough.
+    """
     rows = listings.filter(F.col("neighbourhood").isNotNull() & (F.col(RATING) > 0))
     rows = rows.filter(F.col("number_of_reviews") > min_reviews)
     if borough is not None:
         rows = rows.filter(F.col(BOROUGH) == borough)
     rows = rows.withColumn("price", parse_money(F.col("price"))).filter("price > 0").select(*_DETAILS)
-    return _local_details(rows, listings, match)
+    return _local_details(rows, listings if hosts is None else hosts, match)
 
 
 def signup_running(listings: DataFrame, after_year: int = 2000) -> DataFrame:

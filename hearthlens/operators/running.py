@@ -13,7 +13,7 @@ from .spread import repeat_rows
 def numbered_within(df: DataFrame, key: str, value: str, number: str, band: float = 1.0) -> DataFrame:
     """``(value, key, number)`` with the rows of each key numbered 1, 2, ... by rising value.
 
-    Neither column may be NULL. The rows shrink to counts of equal (key, value) first. Values are
+    The rows shrink to counts of equal (key, value) first. Values are
     then taken in bands of width ``band``: the numbers before a band come from the band totals, the
     numbers inside it from a window over that band alone.
     """
@@ -21,10 +21,14 @@ def numbered_within(df: DataFrame, key: str, value: str, number: str, band: floa
     in_band = Window.partitionBy(key, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     bands = pairs.groupBy(key, "_band").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(key).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bands.select(key, "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = bands.select(
+        F.col(key).alias("_of"), F.col("_band").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    # Null-safe equality adds no NULL filters to either side, so both read the same shuffle of the counts.
+    same_band = F.col(key).eqNullSafe(F.col("_of")) & F.col("_band").eqNullSafe(F.col("_at"))
     placed = (
         pairs.withColumn("_inside", F.coalesce(F.sum("_n").over(in_band), F.lit(0)))
-        .join(offsets, [key, "_band"])
+        .join(offsets, same_band)
         .select(key, value, (F.col("_before") + F.col("_inside")).alias("_first"), "_n")
     )
     each = repeat_rows(placed, "_n", "_nth")

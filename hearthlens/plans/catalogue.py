@@ -45,15 +45,19 @@ MANY_REVIEWS = 25
 
 @dataclass(frozen=True)
 class Query:
-    """``run`` gets the listings with ``columns`` and, if it reads one, the area mapping."""
+    """``run`` gets the listings with ``columns``, then the ``others``."""
 
     columns: list[str]
     run: Callable[..., DataFrame]
-    mapped: bool = False
+    others: tuple[Callable[[SparkSession, str], DataFrame], ...] = ()
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         listings = orders_binding.listings(tune(spark), sf_dir, self.columns)
-        return self.run(listings, orders_binding.area_pairs(spark, sf_dir)) if self.mapped else self.run(listings)
+        return self.run(listings, *[other(spark, sf_dir) for other in self.others])
+
+
+def _host_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_binding.listings(spark, sf_dir, LOCAL)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -102,7 +106,7 @@ def _corr(x: str, by: list[str], min_reviews: int | None = None, positive: bool
 
 def _remapped(run: Callable[[DataFrame], DataFrame]) -> Query:
     """A step over the merged-area summary."""
-    return Query(AREA_SUMMARY, lambda li, pairs: run(regions.area_summary_remapped(li, pairs)), mapped=True)
+    return Query(AREA_SUMMARY, lambda li, pairs: run(regions.area_summary_remapped(li, pairs)), (orders_binding.area_pairs,))
 
 
 _STATISTICS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -162,8 +166,8 @@ QUERIES: dict[str, Query] = {
     # hosts
     "local_hosts": Query(LOCAL, hosts.local_hosts),
     "local_host_count": Query(LOCAL, hosts.local_host_count),
-    "local_host_listings": Query(LOCAL_DETAILS, hosts.local_host_listings),
-    "local_host_by_borough": Query(LOCAL_DETAILS, hosts.local_host_by_borough),
+    "local_host_listings": Query(LOCAL_DETAILS, hosts.local_host_listings, (_host_columns,)),
+    "local_host_by_borough": Query(LOCAL_DETAILS, hosts.local_host_by_borough, (_host_columns,)),
     "host_signup_running": Query(["host_since", *PRICED], hosts.signup_running),
     "listings_per_host": Query(["host_id", *PRICED_RATED], hosts.listings_per_host),
     "multi_listing_hosts": Query(["host_id", *PRICED_RATED], lambda li: hosts.listings_per_host(li, 3)),

@@ -85,6 +85,15 @@ def listings(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
 
     # nation and region have 25 and 5 rows at every scale; all other sizes are left to Spark to check.
     rows = of("lineitem")
+    if "part" in needed:
+        rows = rows.join(of("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    if "supplier" in needed:
+        supplier = of("supplier")
+        if "home" in needed:
+            home = F.broadcast(of("nation")).alias("home")
+            supplier = supplier.join(home, F.col("s_nationkey") == F.col("home.n_nationkey"), "left")
+        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    # Last, where Spark can drop it below a distinct over other columns.
     if "orders" in needed:
         orders = of("orders")
         if "customer" in needed:
@@ -95,14 +104,6 @@ def listings(spark: SparkSession, sf_dir: str, columns: list[str] | tuple[str, .
         if "region" in needed:
             orders = orders.join(F.broadcast(of("region")), F.col("area.n_regionkey") == F.col("r_regionkey"), "left")
         rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    if "supplier" in needed:
-        supplier = of("supplier")
-        if "home" in needed:
-            home = F.broadcast(of("nation")).alias("home")
-            supplier = supplier.join(home, F.col("s_nationkey") == F.col("home.n_nationkey"), "left")
-        rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    if "part" in needed:
-        rows = rows.join(of("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return rows.select(*[F.expr(COLUMNS[c][0]).alias(c) for c in columns])
 
 
