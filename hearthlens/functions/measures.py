@@ -17,18 +17,19 @@ def round_to(number: Column, digits: int) -> Column:
 
 def significant(number: Column, digits: int = 10) -> Column:
     """Keep ``digits`` significant digits, for sums too large for a fixed number of decimals."""
-    return F.format_string(f"%.{digits - 1}e", number.cast("double")).cast("double")
+    return F.format_string(f"%.{digits - 1}e", number.cast("double")).try_cast("double")
 
 
 def pearson_r(x: Column, y: Column) -> Column:
     """Aggregate: Pearson's r over the rows that have both values.
 
-    NULL for a group of one row or with a constant side. Centred moments are used, since in raw
-    moments a constant column leaves a small positive variance from cancellation.
+    NULL for a group of one row or with a constant side. Constants are told by their extremes: both raw and
+    centred moments may leave them a small positive variance once partial results are merged.
     """
-    spread_x = F.stddev_pop(F.when(y.isNotNull(), x))
-    spread_y = F.stddev_pop(F.when(x.isNotNull(), y))
-    return F.try_divide(F.covar_pop(x, y), spread_x * spread_y)
+    paired_x, paired_y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.min(paired_x) < F.max(paired_x)) & (F.min(paired_y) < F.max(paired_y))
+    spread = F.stddev_pop(paired_x) * F.stddev_pop(paired_y)
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
 
 
 SCORE_BUCKETS = ["0-1", "1-2", "2-3", "3-4", "4-5", "5"]

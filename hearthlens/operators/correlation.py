@@ -9,9 +9,9 @@ from ..functions.measures import pearson_r
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """r between ``x`` and ``y`` for each group; groups without a defined r are left out."""
-    grouped = df.groupBy(*by).agg(pearson_r(F.col(x), F.col(y)).alias("r"))
-    return grouped.filter(F.col("r").isNotNull()).orderBy(*by)
+    """r between ``x`` and ``y`` for each group, or overall; groups without a defined r are left out."""
+    grouped = df.groupBy(*by).agg(pearson_r(F.col(x), F.col(y)).alias("r")).filter(F.col("r").isNotNull())
+    return grouped.orderBy(*by) if by else grouped
 
 
 def pearson_moments(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -33,6 +33,17 @@ def _titled(listings: DataFrame, min_reviews: int, match: str, columns: dict[str
     )
 
 
+def _sum_over_join(count: str, repeats: str) -> Column:
+    """Aggregate: the sum of a per-title count whose rows the join repeats."""
+    return F.sum(F.col(count).cast(_COUNT) * F.col(repeats)).cast(_COUNT)
+
+
+def _mean_over_join(measure: str, repeats: str) -> Column:
+    """Aggregate: the mean of a measure whose non-NULL values the join repeats."""
+    times = F.col(repeats).cast("double")
+    return F.try_divide(F.sum(F.col(f"sum_{measure}") * times), F.sum(F.col(f"count_{measure}") * times))
+
+
 def _by_superhost(
     listings: DataFrame,
     min_reviews: int,
@@ -49,7 +60,8 @@ def _by_superhost(
     in ``tallies``, and the extremes ``low`` and ``high`` of the fact price. ``keep`` filters the listings and
     not the facts. The flag has two values, so one row per title holds both kinds of listings and the facts.
     """
-    columns = {"flag": flag(F.col("host_is_superhost")), "kept": F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)}
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    columns = {"flag": flag(F.col("host_is_superhost")), "kept": kept}
     columns |= means | tallies | {f"fact_{f}": fact_column(f) for f in facts}
     if price_range:
         columns["fact_price"] = fact_column("price")
@@ -76,18 +88,11 @@ def _by_superhost(
     shared = [c for c in titles.columns if c != "title" and not c.endswith(("_0", "_1"))]
     pairs = titles.select(*shared, F.inline(F.array(*sides))).filter("n > 0")
 
-    def mean_over_join(m: str, repeats: str) -> Column:
-        times = F.col(repeats).cast("double")
-        return F.try_divide(F.sum(F.col(f"sum_{m}") * times), F.sum(F.col(f"count_{m}") * times))
-
-    def sum_over_join(c: str) -> Column:
-        return F.sum(F.col(c).cast(_COUNT) * F.col("n_facts")).cast(_COUNT)
-
     return pairs.groupBy("superhost").agg(
-        sum_over_join("n").alias("total"),
-        *[mean_over_join(m, "n_facts").alias(m) for m in means],
-        *[sum_over_join(f"sum_{t}").alias(t) for t in tallies],
-        *[mean_over_join(f, "n").alias(f) for f in facts],
+        _sum_over_join("n", "n_facts").alias("total"),
+        *[_mean_over_join(m, "n_facts").alias(m) for m in means],
+        *[_sum_over_join(f"sum_{t}", "n_facts").alias(t) for t in tallies],
+        *[_mean_over_join(f, "n").alias(f) for f in facts],
         *[F.min("low").alias("low"), F.max("high").alias("high")][: 2 * price_range],
     )
 
@@ -137,9 +142,7 @@ def superhost_share(listings: DataFrame, dim: str, min_reviews: int = 10, match:
     # One row per value of dim under each title, so the window holds few rows however hot the title is.
     facts = F.sum("n_facts").over(Window.partitionBy("title"))
     pairs = parts.withColumn("n_facts", facts).filter("n_facts > 0")
-    counts = pairs.groupBy(dim).agg(
-        *[F.sum(F.col(c).cast(_COUNT) * F.col("n_facts")).cast(_COUNT).alias(c) for c in ("n", "superhosts")]
-    )
+    counts = pairs.groupBy(dim).agg(*[_sum_over_join(c, "n_facts").alias(c) for c in ("n", "superhosts")])
     percent = percent_text(F.col("superhosts"), F.col("n")).alias("percent_superhosts")
     return counts.select(dim, F.col("n").alias("total_hosts"), "superhosts", percent).orderBy(dim)
 
@@ -151,8 +154,8 @@ def score_histogram(listings: DataFrame, min_reviews: int = 10, match: str = "bi
     per_title = [
         F.count_if(F.col("joinable") & F.col("band").eqNullSafe(F.lit(b))).alias(f"band_{i}") for i, b in enumerate(bands)
     ]
-    titles = rows.groupBy("title").agg(F.count(F.lit(1)).cast(_COUNT).alias("n"), *per_title)
-    sums = titles.agg(*[F.sum(F.col("n") * F.col(f"band_{i}")).cast(_COUNT).alias(f"band_{i}") for i in range(len(bands))])
+    titles = rows.groupBy("title").agg(F.count(F.lit(1)).alias("n"), *per_title)
+    sums = titles.agg(*[_sum_over_join("n", f"band_{i}").alias(f"band_{i}") for i in range(len(bands))])
     lines = [
         F.struct(F.lit(b).cast("string").alias("range"), F.col(f"band_{i}").alias("count")) for i, b in enumerate(bands)
     ]
