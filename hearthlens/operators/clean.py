@@ -37,6 +37,15 @@ def fact_column(name: str) -> Column:
     return expression(source)
 
 
+def collated(listings: DataFrame, columns: list[str], collation: str = "UTF8_LCASE_RTRIM") -> DataFrame:
+    """Text columns that every operator then compares without case and trailing blanks.
+
+    Grouping collated text sorts it where plain text is hashed. The joins over host names and titles do the
+    same by hash with ``match='ci'``.
+    """
+    return listings.withColumns({c: F.collate(F.col(c), collation) for c in columns})
+
+
 def with_price(listings: DataFrame) -> DataFrame:
     """Listings with the money text as a number in ``pricing``."""
     return listings.withColumn("pricing", parse_money(F.col("price")))
@@ -69,22 +78,27 @@ def scored(fact: DataFrame, min_reviews: int | None = None, positive: bool = Fal
     return rows
 
 
+def ordered_listings(listings: DataFrame) -> DataFrame:
+    """All listings by id."""
+    return sort_spread(listings, "id", copies_of="id")
+
+
 def clean_prices(listings: DataFrame) -> DataFrame:
     """Property type and price of the priced listings, dearest first."""
     rows = priced(listings).select("id", "property_type", "pricing")
-    return sort_spread(rows, F.desc("pricing")).select("property_type", "pricing")
+    return sort_spread(rows, F.desc("pricing"), copies_of="id").select("property_type", "pricing")
 
 
 def bathrooms(listings: DataFrame) -> DataFrame:
     """Number of bathrooms of every listing, in listing order."""
     rows = listings.select("id", parse_bathrooms(F.col("bathrooms_text")).alias("bathrooms"))
-    return rows.orderBy("id").select("bathrooms")
+    return sort_spread(rows, "id", copies_of="id").select("bathrooms")
 
 
 def bedrooms(listings: DataFrame) -> DataFrame:
     """Number of bedrooms of every listing, unknown as 0, in listing order."""
     rows = listings.select("id", F.coalesce(F.col("bedrooms").cast("double"), F.lit(0.0)).alias("bedrooms"))
-    return rows.orderBy("id").select("bedrooms")
+    return sort_spread(rows, "id", copies_of="id").select("bedrooms")
 
 
 def named(rows: DataFrame, names: list[str], match: str = "binary") -> DataFrame:
@@ -98,6 +112,7 @@ def listing_details(listings: DataFrame) -> DataFrame:
     """Detail rows for a dashboard: priced, rated and with a named host, sorted by superhost label."""
     rows = priced_and_rated(listings).filter(F.col("host_name").isNotNull())
     details = rows.select(
+        "id",
         "host_id",
         "host_name",
         F.coalesce("name", F.lit(" - ")).alias("name"),
@@ -125,4 +140,4 @@ def listing_details(listings: DataFrame) -> DataFrame:
         "number_of_reviews",
         "listing_url",
     )
-    return sort_spread(details, "superhost")
+    return sort_spread(details, "superhost", copies_of="id").drop("id")

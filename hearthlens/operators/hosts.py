@@ -28,8 +28,8 @@ def _keyed(rows: DataFrame, match: str) -> DataFrame:
     return keyed.filter("_name_key is not null and _home_key is not null")
 
 
-def _local_places(listings: DataFrame, match: str) -> DataFrame:
-    """The (host name, area) pairs both lived in and listed in, with how many rows live there.
+def _places(listings: DataFrame, match: str) -> DataFrame:
+    """The (host name, area) pairs lived in, with how many rows live there and whether any lists there.
 
     Each listing is counted once for its host's home and once for its own area, so one pass and one
     group-by replace the self-join.
@@ -38,16 +38,20 @@ def _local_places(listings: DataFrame, match: str) -> DataFrame:
     lives = F.struct(key("host_neighbourhood").alias("_home_key"), F.lit(True).alias("home"))
     lists = F.struct(key(AREA).alias("_home_key"), F.lit(False).alias("home"))
     places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists)))
-    counted = places.filter("_name_key is not null and _home_key is not null").groupBy(*_KEYS).agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
-    return counted.filter("_rows > 0 and _listed > 0").drop("_listed")
+    counted = places.filter("_name_key is not null and _home_key is not null").groupBy(*_KEYS)
+    return (
+        counted.agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
+        .filter("_rows > 0")
+        .select(*_KEYS, "_rows", (F.col("_listed") > 0).alias("_wanted"))
+    )
 
 
 def _local_host_rows(listings: DataFrame, match: str) -> DataFrame:
     """Distinct hosts with a listing under their name in their home area."""
     hosts = _keyed(listings.select("host_id", "host_name", "host_neighbourhood").distinct(), match)
     homes = hosts.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
-    local = homes.join(_local_places(listings, match).select(*_KEYS), _KEYS, "left_semi")
-    return semi_join_spread(hosts, local, _KEYS).drop(*_KEYS)
+    counted = homes.join(_places(listings, match).drop("_rows"), _KEYS)
+    return semi_join_spread(hosts, counted, _KEYS).drop(*_KEYS)
 
 
 def local_hosts(listings: DataFrame, match: str = "binary") -> DataFrame:
@@ -79,7 +83,7 @@ _DETAILS = [
 
 def _local_details(rows: DataFrame, hosts: DataFrame, match: str) -> DataFrame:
     """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
-    local = semi_join_spread(_keyed(rows, match), _local_places(hosts, match), _KEYS).drop(*_KEYS)
+    local = semi_join_spread(_keyed(rows, match), _places(hosts, match), _KEYS).drop(*_KEYS)
     details = local.distinct().drop("host_id").withColumnRenamed(BOROUGH, "borough")
     return sort_spread(details, "host_neighbourhood", F.desc(F.col(RATING) * F.col("number_of_reviews")))
 

@@ -31,7 +31,7 @@ def numbered_within(df: DataFrame, key: str, value: str, number: str, band: floa
         .join(offsets, same_band)
         .select(key, value, (F.col("_before") + F.col("_inside")).alias("_first"), "_n")
     )
-    each = repeat_rows(placed, "_n", "_nth")
+    each = repeat_rows(placed, "_n", "_nth", [key, value])
     return each.select(value, key, (F.col("_first") + F.col("_nth")).alias(number))
 
 
@@ -62,4 +62,4 @@ def area_window_metrics(listings: DataFrame) -> DataFrame:
         F.sum("_reviews").over(so_far).alias("rev"),
         "_n",
     )
-    return repeat_rows(metrics, "_n", "_nth").drop("_nth")
+    return repeat_rows(metrics, "_n", "_nth", [BOROUGH, AREA]).drop("_nth")

@@ -5,60 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The most frequent keys are looked up in a broadcast, so their number is fixed. Any key behind the
-# first 1000 holds under a thousandth of the rows.
+# Hot keys are looked up in a broadcast, so their number is fixed. A key that is not among the 1000 most
+# frequent holds under a thousandth of the rows.
 HOT_KEYS = 1000
-# A key with fewer rows than this needs no splitting.
+# A key with fewer rows than this is no burden to one task.
 HOT_ROWS = 1_000_000
-# Number of tasks a hot key is split over.
-FAN = 256
 
 
-def sort_spread(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Global sort whose ties are ordered by a hash of the row.
+def _hottest(counts: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+    """The hot keys of ``counts``, which has one row per key with its number of rows in ``_rows``.
 
-    Range partitions cannot split rows that compare equal. Sorting a column of few values alone would
-    leave as many busy tasks as it has values.
+    The order is total, so every evaluation picks the same keys.
     """
-    return df.orderBy(*order, F.xxhash64(*df.columns))
+    return counts.orderBy(F.desc("_rows"), *on).limit(HOT_KEYS).filter(F.col("_rows") >= hot_rows)
 
 
-def semi_join_spread(
-    rows: DataFrame, keys: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, fan: int = FAN
-) -> DataFrame:
-    """Rows whose ``on`` values occur in ``keys``, with the hot keys' rows spread over ``fan`` tasks.
+def semi_join_spread(rows: DataFrame, keys: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows whose key is ``_wanted`` in ``keys``, without moving the rows of hot keys.
 
-    ``keys`` has one row per key, and in ``_rows`` how many of ``rows`` carry it at most. Rows of a hot key get
-    one of ``fan`` salts by their hash, and that key is repeated under every salt.
+    ``keys`` has one row for each key found in ``rows``, with their number (or more) in ``_rows``. Whether a
+    hot key is wanted is known from a broadcast; only the rows of the other keys are shuffled.
     """
-    # Fully ordered, so every evaluation picks the same keys.
-    hot = (
-        keys.orderBy(F.desc("_rows"), *on)
-        .limit(HOT_KEYS)
-        .filter(F.col("_rows") >= hot_rows)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(fan))).otherwise(F.lit(0).cast("long"))
-    salted = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    last_salt = F.when(F.col("_hot"), F.lit(fan - 1)).otherwise(F.lit(0)).cast("long")
-    fanned = (
-        keys.select(*on)
-        .join(hot, on, "left")
-        .select(*on, F.explode(F.sequence(F.lit(0).cast("long"), last_salt)).alias("_salt"))
-    )
-    return salted.join(fanned, [*on, "_salt"], "left_semi").select(*rows.columns)
+    hot = _hottest(keys, on, hot_rows)
+    settled = rows.join(F.broadcast(hot.filter("_wanted").select(*on)), on, "left_semi")
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    found = others.join(keys.filter("_wanted").select(*on), on, "left_semi")
+    return settled.unionByName(found).select(*rows.columns)
 
 
-def repeat_rows(df: DataFrame, times: str, position: str, chunk: int = 100_000) -> DataFrame:
+def sort_spread(df: DataFrame, *order: str | Column, copies_of: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Global sort that no value of the sort columns can pile up in one task.
+
+    Range partitions cannot split rows that compare equal, so ties are ordered by a hash of the row. That
+    leaves exact copies of a row. If there may be many, ``copies_of`` names a column on which copies agree and
+    other rows mostly differ. The rows of its hot values are counted, written out again and numbered, and the
+    number is the last sort key.
+    """
+    tie = F.xxhash64(*df.columns)
+    if copies_of is None:
+        return df.orderBy(*order, tie)
+    counts = df.groupBy(copies_of).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(_hottest(counts, [copies_of], hot_rows).select(copies_of))
+    single = df.join(hot, copies_of, "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    counted = df.join(hot, copies_of, "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_times"))
+    numbered = repeat_rows(counted, "_times", "_copy", df.columns)
+    return single.unionByName(numbered).orderBy(*order, tie, "_copy").select(*df.columns)
+
+
+def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk: int = 100_000) -> DataFrame:
     """Each row ``times`` times, numbered 1, 2, ... in ``position``; ``times`` is dropped.
 
-    Large counts are cut into chunks that are spread over the cluster before they are written out.
+    Large counts are cut into chunks that are spread over the cluster before they are written out. ``keys``
+    tell the rows apart and must come out the same when a lost task is run again, as summed floats might not.
     """
-    keep = [c for c in df.columns if c != times]
+    kept = [c for c in df.columns if c != times]
     one = F.lit(1).cast("long")
     last_chunk = F.floor((F.col(times) - 1) / chunk)
     chunks = df.filter(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
     first = F.col("_chunk") * chunk + one
     last = F.least(F.col(times), (F.col("_chunk") + one) * chunk)
-    return chunks.repartition(*keep, "_chunk").select(*keep, F.explode(F.sequence(first, last)).alias(position))
+    return chunks.repartition(*keys, "_chunk").select(*kept, F.explode(F.sequence(first, last)).alias(position))

@@ -33,7 +33,7 @@ FACT = ["name", BOROUGH, AREA, "property_type", "room_type", *RELIABLE, *SUB_SCO
 ROOMS_FACT = [c for c in FACT if c != AREA] + ["bedrooms", "bathrooms_text"]
 AREA_SUMMARY = [BOROUGH, AREA, *RELIABLE, "accommodates"]
 DETAILS = [
-    "host_id", "host_name", "name", "neighborhood_overview", AREA, BOROUGH, "property_type", "room_type",
+    "id", "host_id", "host_name", "name", "neighborhood_overview", AREA, BOROUGH, "property_type", "room_type",
     "host_is_superhost", "latitude", "longitude", "accommodates", "bathrooms_text", "bedrooms", "minimum_nights",
     "maximum_nights", *RELIABLE, *SUB_SCORES, "listing_url",
 ]
@@ -114,7 +114,7 @@ _REGION_KEY = [BOROUGH, "neighbourhood_area"]
 
 QUERIES: dict[str, Query] = {
     # cleaning and base rows
-    "listings_scan": Query(list(orders_binding.COLUMNS), lambda li: clean.sort_spread(li, "id")),
+    "listings_scan": Query(list(orders_binding.COLUMNS), clean.ordered_listings),
     "clean_prices": Query(["id", "property_type", *PRICED], clean.clean_prices),
     "bathrooms": Query(["id", "bathrooms_text"], clean.bathrooms),
     "bedrooms": Query(["id", "bedrooms"], clean.bedrooms),

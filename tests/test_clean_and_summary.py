@@ -40,6 +40,13 @@ def test_named_matches_exactly_or_folded(spark):
     assert clean.named(rows, ["loft "], match="ci").count() == 2
 
 
+def test_collated_text_groups_without_case(spark):
+    rows = listings(spark, {"room_type": "Hotel room"}, {"room_type": "hotel ROOM  "}, {"room_type": "Hotel"})
+    assert summary.price_summary(rows, "room_type").count() == 3
+    folded = clean.collated(rows, ["room_type"])
+    assert sorted(r.units for r in summary.price_summary(folded, "room_type").collect()) == [1, 2]
+
+
 def test_clean_prices_are_sorted(spark):
     rows = clean.clean_prices(listings(spark, *[{"price": f"${p}.00"} for p in (5, 0, 70, 12, 70)])).collect()
     assert [r.pricing for r in rows] == [70.0, 70.0, 12.0, 5.0]

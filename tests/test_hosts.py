@@ -88,36 +88,57 @@ def test_semi_join_spread_keeps_every_row_once(spark, hot_rows):
     rng = random.Random(8)
     rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}") for i in range(3000)]
     df = spark.createDataFrame(rows, "i int, k string")
-    wanted = {"hot", *[f"k{i}" for i in range(0, 40, 2)]}
-    keys = df.filter(F.col("k").isin(*wanted)).groupBy("k").agg(F.count("*").alias("_rows"))
-    got = spread.semi_join_spread(df, keys, ["k"], hot_rows=hot_rows, fan=7).collect()
-    assert sorted(tuple(r) for r in got) == sorted(r for r in rows if r[1] in wanted)
+    for wanted in ({"hot", *[f"k{i}" for i in range(0, 40, 2)]}, {f"k{i}" for i in range(40)}):
+        keys = df.groupBy("k").agg(F.count("*").alias("_rows")).withColumn("_wanted", F.col("k").isin(*wanted))
+        got = spread.semi_join_spread(df, keys, ["k"], hot_rows=hot_rows).collect()
+        assert sorted(tuple(r) for r in got) == sorted(r for r in rows if r[1] in wanted)
 
 
-def test_semi_join_spread_splits_a_hot_key(spark):
-    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
-    df = spark.range(20_000).select("id", key.alias("k"))
-    keys = df.groupBy("k").agg(F.count("*").alias("_rows"))
+@pytest.fixture
+def plain_shuffles(spark):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {s: spark.conf.get(s) for s in settings}
-    largest = {}
-    try:
-        for s, value in settings.items():
-            spark.conf.set(s, value)
-        for hot_rows in (1000, 10**9):
-            joined = spread.semi_join_spread(df, keys, ["k"], hot_rows=hot_rows, fan=64)
-            tasks = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-            assert sum(t["count"] for t in tasks) == 6667
-            largest[hot_rows] = max(t["count"] for t in tasks)
-    finally:
-        for s, value in before.items():
-            spark.conf.set(s, value)
-    assert largest[10**9] == 6667 and largest[1000] < 2000
+    for s, value in settings.items():
+        spark.conf.set(s, value)
+    yield
+    for s, value in before.items():
+        spark.conf.set(s, value)
+
+
+def largest_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_semi_join_spread_does_not_gather_a_hot_key(spark, plain_shuffles):
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    df = spark.range(20_000, numPartitions=8).select("id", key.alias("k"))
+    keys = df.groupBy("k").agg(F.count("*").alias("_rows"), F.lit(True).alias("_wanted"))
+    gathered = spread.semi_join_spread(df, keys, ["k"], hot_rows=10**9)
+    spread_out = spread.semi_join_spread(df, keys, ["k"], hot_rows=1000)
+    assert gathered.count() == spread_out.count() == 20_000
+    assert largest_task(gathered) >= 6667 and largest_task(spread_out) < 2500
+
+
+def test_sort_spread_orders_and_keeps_copies(spark):
+    rng = random.Random(16)
+    rows = [(7, "copy", 1.5)] * 400 + [(rng.randrange(50), rng.choice("ab"), None) for _ in range(800)]
+    df = spark.createDataFrame(rows, "id int, k string, v double")
+    for hot_rows in (1, 100, 10**9):
+        got = [tuple(r) for r in spread.sort_spread(df, F.desc("id"), copies_of="id", hot_rows=hot_rows).collect()]
+        assert [r[0] for r in got] == sorted((r[0] for r in rows), reverse=True)
+        assert Counter(got) == Counter(rows)
+
+
+def test_sort_spread_splits_copies(spark, plain_shuffles):
+    same = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    df = spark.range(30_000, numPartitions=8).select(same.alias("id"), F.lit("x").alias("k"))
+    assert largest_task(spread.sort_spread(df, "id", copies_of="id")) >= 10_000
+    assert largest_task(spread.sort_spread(df, "id", copies_of="id", hot_rows=1000)) < 6000
 
 
 def test_repeat_rows(spark):
     df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 0), ("d", 3)], "k string, n long")
-    got = spread.repeat_rows(df, "n", "nth", chunk=3).collect()
+    got = spread.repeat_rows(df, "n", "nth", ["k"], chunk=3).collect()
     assert sorted((r.k, r.nth) for r in got) == [("a", i) for i in range(1, 8)] + [("b", 1)] + [("d", i) for i in (1, 2, 3)]
 
 
