@@ -41,7 +41,7 @@ def fold(text: Column) -> Column:
 def number_text(number: Column) -> Column:
     """A float as text with six significant digits: ``10``, ``163.49``, ``104998``, ``1.5e+006``.
 
-    NULL gives empty text, as text concatenation treats it.
+    Halves go away from zero. NULL gives empty text, as text concatenation treats it.
     """
     shown = F.format_string("%.6g", number.cast("double"))
     shown = F.regexp_replace(shown, r"(\.\d*?)0+(?=e|$)", "$1")

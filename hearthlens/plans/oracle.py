@@ -90,8 +90,12 @@ def _round(x: str, digits: int = 6) -> str:
 
 
 def _number(x: str) -> str:
-    """Six significant digits, with the three-digit exponent of the report."""
-    return f"coalesce(regexp_replace(printf('%g', ({x})::DOUBLE), 'e([+-])(\\d\\d)$', 'e\\10\\2'), '')"
+    """Six significant digits, with the three-digit exponent of the report.
+
+    ``printf`` rounds the binary value, which may stand just under a decimal half. The factor lets such
+    halves go away from zero, as ``round`` lets them.
+    """
+    return f"coalesce(regexp_replace(printf('%g', ({x})::DOUBLE * (1 + 1e-12)), 'e([+-])(\\d\\d)$', 'e\\10\\2'), '')"
 
 
 def _range(x: str) -> str:

@@ -66,6 +66,7 @@ def test_number_text(spark):
         100000.0: "100000",
         163.49: "163.49",
         104997.88: "104998",
+        52927.85: "52927.9",
         0.01: "0.01",
         0.0: "0",
         -2.5: "-2.5",
