@@ -52,7 +52,7 @@ def sort_spread(df: DataFrame, *order: str | Column, copies_of: str | None = Non
     return single.unionByName(numbered).orderBy(*order, tie, "_copy").select(*df.columns)
 
 
-def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk: int = 100_000) -> DataFrame:
+def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk: int = 10_000) -> DataFrame:
     """Each row ``times`` times, numbered 1, 2, ... in ``position``; ``times`` is dropped.
 
     Large counts are cut into chunks that are spread over the cluster before they are written out. ``keys``
@@ -64,4 +64,7 @@ def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk
     chunks = df.filter(F.col(times) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
     first = F.col("_chunk") * chunk + one
     last = F.least(F.col(times), (F.col("_chunk") + one) * chunk)
-    return chunks.repartition(*keys, "_chunk").select(*kept, F.explode(F.sequence(first, last)).alias(position))
+    # With a number given, adaptive execution does not merge these few rows, each of which stands for many.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunks.repartition(tasks, *keys, "_chunk")
+    return spread.select(*kept, F.explode(F.sequence(first, last)).alias(position))

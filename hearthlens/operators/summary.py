@@ -13,9 +13,7 @@ from .clean import priced, priced_and_rated, scored
 
 def kpi(listings: DataFrame, by: str | None = None) -> DataFrame:
     """Listings, beds, reviews, mean rating and mean price; per ``by`` only rated listings count."""
-    rows = priced(listings)
-    if by:
-        rows = rows.filter(F.col(RATING).isNotNull())
+    rows = priced(listings.filter(F.col(RATING).isNotNull()) if by else listings)
     return rows.groupBy(*[by] if by else []).agg(
         F.count(F.lit(1)).alias("listings"),
         F.sum("accommodates").alias("accommodations"),

@@ -22,8 +22,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     yield tune(session)
     session.stop()
 

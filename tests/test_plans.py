@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from hearthlens.operators import clean, hosts, summary
+from hearthlens.sources import files, orders_binding
 
 SMALL = "/root/testdata/sf0.001"
 FORBIDDEN = ["Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin", "ExistingRDD"]
@@ -69,15 +71,16 @@ def test_the_area_mapping_meets_aggregates_only(plans):
     assert "HashAggregate" in next(below)
 
 
-def test_filters_reach_the_scan(spark):
-    from hearthlens.operators import hosts
-    from hearthlens.sources import files, orders_binding
-
-    import tempfile
-
-    path = tempfile.mkdtemp(prefix="run-") + "/listings"
+def test_filters_reach_the_scan(spark, scratch):
+    path = f"{scratch}/listings"
     files.write_table(orders_binding.listings(spark, SMALL), path)
     stored = files.read_listings(spark, path)
     plan = plan_of(hosts.listings_per_host(stored))
     assert "PushedFilters: [IsNotNull(review_scores_rating), GreaterThan(review_scores_rating,0.0)]" in plan
     assert "ReadSchema: struct<host_id:bigint,price:string,review_scores_rating:double>" in plan
+    plan = plan_of(hosts.signup_running(stored))
+    assert "GreaterThanOrEqual(host_since,2001-01-01)" in plan
+    assert "ReadSchema: struct<host_since:date,price:string>" in plan
+    plan = plan_of(summary.score_range(clean.review_fact(stored), "room_type"))
+    assert "GreaterThan(number_of_reviews,10)" in plan
+    assert "ReadSchema: struct<room_type:string,price:string,number_of_reviews:int,review_scores_rating:double>" in plan
