@@ -84,8 +84,9 @@ _DETAILS = [
 def _local_details(rows: DataFrame, hosts: DataFrame, match: str) -> DataFrame:
     """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
     local = semi_join_spread(_keyed(rows, match), _places(hosts, match), _KEYS).drop(*_KEYS)
-    details = local.distinct().drop("host_id").withColumnRenamed(BOROUGH, "borough")
-    return sort_spread(details, "host_neighbourhood", F.desc(F.col(RATING) * F.col("number_of_reviews")))
+    details = local.distinct().withColumnRenamed(BOROUGH, "borough")
+    most_loved = F.desc(F.col(RATING) * F.col("number_of_reviews"))
+    return sort_spread(details, "host_neighbourhood", most_loved).drop("host_id")
 
 
 def local_host_listings(listings: DataFrame, hosts: DataFrame | None = None, match: str = "binary") -> DataFrame:
@@ -121,8 +122,8 @@ def signup_running(listings: DataFrame, after_year: int = 2000) -> DataFrame:
     """Priced listings by their host's sign-up date, numbered within the date from the cheapest on."""
     # A comparison of dates, unlike one of years, can be left to a Parquet scan.
     first_day = F.make_date(F.lit(after_year + 1), F.lit(1), F.lit(1))
-    dated = listings.withColumn("host_date", F.col("host_since").try_cast("date")).filter(F.col("host_date") >= first_day)
-    rows = priced(dated).select("pricing", "host_date")
+    dated = listings.withColumn("host_date", F.col("host_since").try_cast("date"))
+    rows = priced(dated.filter(F.col("host_date") >= first_day)).select("pricing", "host_date")
     return numbered_within(rows, "host_date", "pricing", "counts").orderBy("host_date", "counts")
 
 

@@ -21,9 +21,8 @@ def numbered_within(df: DataFrame, key: str, value: str, number: str, band: floa
     in_band = Window.partitionBy(key, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     bands = pairs.groupBy(key, "_band").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy(key).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bands.select(
-        F.col(key).alias("_of"), F.col("_band").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = bands.select(F.col(key).alias("_of"), F.col("_band").alias("_at"), offset.alias("_before"))
     # Null-safe equality adds no NULL filters to either side, so both read the same shuffle of the counts.
     same_band = F.col(key).eqNullSafe(F.col("_of")) & F.col("_band").eqNullSafe(F.col("_at"))
     placed = (

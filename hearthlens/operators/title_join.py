@@ -7,6 +7,8 @@ the sums are multiplied by how often the join would have repeated them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +50,19 @@ def _by_superhost(
     listings: DataFrame,
     min_reviews: int,
     match: str,
-    means: dict[str, Column] = {},
-    tallies: dict[str, Column] = {},
-    facts: list[str] = [],
+    means: dict[str, Column] | None = None,
+    tallies: dict[str, Column] | None = None,
+    facts: Sequence[str] = (),
     price_range: bool = False,
     keep: Column | None = None,
 ) -> DataFrame:
-    """The joined rows by superhost flag: their number ``total``, and over them
+    """The joined rows summed up by superhost flag, with their number in ``total``.
 
-    the mean of each listing measure in ``means`` and each fact column in ``facts``, the sum of each 0/1 measure
-    in ``tallies``, and the extremes ``low`` and ``high`` of the fact price. ``keep`` filters the listings and
-    not the facts. The flag has two values, so one row per title holds both kinds of listings and the facts.
+    Gives the mean of each listing measure in ``means`` and each fact column in ``facts``, the sum of each 0/1
+    measure in ``tallies``, and the extremes ``low`` and ``high`` of the fact price. ``keep`` filters the listings
+    and not the facts. The flag has two values, so one row per title holds both kinds of listings and the facts.
     """
+    means, tallies = means or {}, tallies or {}
     kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     columns = {"flag": flag(F.col("host_is_superhost")), "kept": kept}
     columns |= means | tallies | {f"fact_{f}": fact_column(f) for f in facts}
@@ -151,9 +154,8 @@ def score_histogram(listings: DataFrame, min_reviews: int = 10, match: str = "bi
     """Joined rows and their percentage for each whole-point band of the joined score; no empty bands."""
     rows = _titled(listings, min_reviews, match, {"band": score_bucket(F.col(RATING))})
     bands = [*SCORE_BUCKETS, None]
-    per_title = [
-        F.count_if(F.col("joinable") & F.col("band").eqNullSafe(F.lit(b))).alias(f"band_{i}") for i, b in enumerate(bands)
-    ]
+    in_band = [F.col("joinable") & F.col("band").eqNullSafe(F.lit(b)) for b in bands]
+    per_title = [F.count_if(c).alias(f"band_{i}") for i, c in enumerate(in_band)]
     titles = rows.groupBy("title").agg(F.count(F.lit(1)).alias("n"), *per_title)
     sums = titles.agg(*[_sum_over_join("n", f"band_{i}").alias(f"band_{i}") for i in range(len(bands))])
     lines = [

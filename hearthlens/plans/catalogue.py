@@ -1,7 +1,7 @@
 """Every registered query: the listings columns it reads and what it does with them.
 
-Measures that are sums or means of floats are rounded here so that they compare equal to another engine's;
-the operators themselves return them unrounded.
+Measures that are sums or means of floats are rounded here, and dates given as text, so that they compare equal
+to another engine's; the operators themselves return them as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ PRICED_RATED = ["price", RATING]
 SCORED = ["price", RATING]
 RELIABLE = [*SCORED, "number_of_reviews"]
 TITLED = ["name", *RELIABLE, "host_is_superhost"]
-SUB_SCORES = [f"review_scores_{s}" for s in ("accuracy", "cleanliness", "checkin", "communication", "location", "value")]
+SUB_SCORES = [
+    f"review_scores_{s}" for s in ("accuracy", "cleanliness", "checkin", "communication", "location", "value")
+]
 LOCAL = ["host_id", "host_name", "host_neighbourhood", AREA]
 LOCAL_DETAILS = [
     *LOCAL, "name", "neighborhood_overview", "neighbourhood", BOROUGH, "property_type", "room_type", "accommodates",
@@ -68,6 +70,10 @@ def _plain_counts(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def _dates_as_text(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, F.col(col).cast("string"))
+
+
 def _scored_by(operator: Callable[..., DataFrame], dim: str, source: str, reviews: bool = False) -> Query:
     columns = [source, *(RELIABLE if reviews else SCORED)]
     return Query(columns, lambda li: operator(clean.review_fact(li), dim))
@@ -75,7 +81,11 @@ def _scored_by(operator: Callable[..., DataFrame], dim: str, source: str, review
 
 def _range_by(dim: str, source: str, measure: str = "score") -> Query:
     columns = [source, *RELIABLE, *(["review_scores_cleanliness"] if measure == "cleanliness" else [])]
-    return Query(columns, lambda li: _rounded(summary.score_range(clean.review_fact(li), dim, measure), "average_rating"))
+
+    def run(listings: DataFrame) -> DataFrame:
+        return _rounded(summary.score_range(clean.review_fact(listings), dim, measure), "average_rating")
+
+    return Query(columns, run)
 
 
 _SOURCES = {
@@ -99,7 +109,8 @@ def _corr(x: str, by: list[str], min_reviews: int | None = None, positive: bool
         if by:
             return _rounded(correlation.pearson(rows, x, "score", by), "r")
         moments = correlation.pearson_moments(rows, x, "score")
-        return _rounded(moments.withColumns({c: significant(F.col(c)) for c in ("sx", "sy", "sxy", "sx2", "sy2")}), "r")
+        sums = {c: significant(F.col(c)) for c in ("sx", "sy", "sxy", "sx2", "sy2")}
+        return _rounded(moments.withColumns(sums), "r")
 
     return Query(columns, run)
 
@@ -114,7 +125,9 @@ _REGION_KEY = [BOROUGH, "neighbourhood_area"]
 
 QUERIES: dict[str, Query] = {
     # cleaning and base rows
-    "listings_scan": Query(list(orders_binding.COLUMNS), clean.ordered_listings),
+    "listings_scan": Query(
+        list(orders_binding.COLUMNS), lambda li: _dates_as_text(clean.ordered_listings(li), "host_since")
+    ),
     "clean_prices": Query(["id", "property_type", *PRICED], clean.clean_prices),
     "bathrooms": Query(["id", "bathrooms_text"], clean.bathrooms),
     "bedrooms": Query(["id", "bedrooms"], clean.bedrooms),
@@ -127,7 +140,9 @@ QUERIES: dict[str, Query] = {
         ["name", "bedrooms", "bathrooms_text"], lambda li: clean.named(clean.review_fact(li), SPOT_CHECK)
     ),
     "rooms_spot_check_raw": Query(["name", "bedrooms", "bathrooms_text"], lambda li: clean.named(li, SPOT_CHECK)),
-    "priced_rated_listings": Query(list(orders_binding.COLUMNS), clean.priced_and_rated),
+    "priced_rated_listings": Query(
+        list(orders_binding.COLUMNS), lambda li: _dates_as_text(clean.priced_and_rated(li), "host_since")
+    ),
     "listing_details": Query(DETAILS, clean.listing_details),
     # key figures and price ranges
     "kpi_overall": Query([*RELIABLE, "accommodates"], summary.kpi),
@@ -168,7 +183,9 @@ QUERIES: dict[str, Query] = {
     "local_host_count": Query(LOCAL, hosts.local_host_count),
     "local_host_listings": Query(LOCAL_DETAILS, hosts.local_host_listings, (_host_columns,)),
     "local_host_by_borough": Query(LOCAL_DETAILS, hosts.local_host_by_borough, (_host_columns,)),
-    "host_signup_running": Query(["host_since", *PRICED], hosts.signup_running),
+    "host_signup_running": Query(
+        ["host_since", *PRICED], lambda li: _dates_as_text(hosts.signup_running(li), "host_date")
+    ),
     "listings_per_host": Query(["host_id", *PRICED_RATED], hosts.listings_per_host),
     "multi_listing_hosts": Query(["host_id", *PRICED_RATED], lambda li: hosts.listings_per_host(li, 3)),
     "listings_of_hosts_over": Query(["host_id", *PRICED_RATED], hosts.listings_of_hosts_over),
@@ -189,7 +206,8 @@ QUERIES: dict[str, Query] = {
         lambda li: _plain_counts(title_join.superhost_instant_bookable(li), "instant_bookable", "total"),
     ),
     "superhost_share_by_borough": Query(
-        [*TITLED, BOROUGH], lambda li: _plain_counts(title_join.superhost_share(li, BOROUGH), "total_hosts", "superhosts")
+        [*TITLED, BOROUGH],
+        lambda li: _plain_counts(title_join.superhost_share(li, BOROUGH), "total_hosts", "superhosts"),
     ),
     "superhost_share_by_room_type": Query(
         [*TITLED, "room_type"],

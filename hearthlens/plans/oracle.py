@@ -172,7 +172,8 @@ _REGION = _area_summary("neighbourhood_area", _MERGED)
 def _describe(measures: list[str]) -> str:
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     lines = [
-        f"""SELECT '{m}' AS measure, count({m}) AS count, {_round(f"avg({m})")} AS mean, {_round(f"stddev_samp({m})")} AS std,
+        f"""SELECT '{m}' AS measure, count({m}) AS count, {_round(f"avg({m})")} AS mean,
+          {_round(f"stddev_samp({m})")} AS std,
           {_round(f"min({m})")} AS min,
           {", ".join(f"{_round(f'quantile_cont({m}::DOUBLE, {q})')} AS {name}" for name, q in quartiles.items())},
           {_round(f"max({m})")} AS max FROM region_summary"""
@@ -187,14 +188,15 @@ def _matrix(by: str = "", digits: int = 6) -> str:
     for a in REGION_MEASURES:
         for b in REGION_MEASURES:
             r = _r(a, b) if a != b else f"CASE WHEN NOT isnan(corr({a}, {b})) THEN 1.0::DOUBLE END"
-            lines.append(f"SELECT {keep}'{a}' AS col_x, '{b}' AS col_y, {_round(r, digits)} AS r FROM region_summary{group}")
+            r = _round(r, digits)
+            lines.append(f"SELECT {keep}'{a}' AS col_x, '{b}' AS col_y, {r} AS r FROM region_summary{group}")
     return " UNION ALL ".join(lines)
 
 
 _TITLES_IN = ", ".join(f"'{t}'" for t in SPOT_CHECK)
 
 _SELECTS: dict[str, str] = {
-    "listings_scan": "SELECT * FROM listings",
+    "listings_scan": "SELECT * REPLACE (host_since::VARCHAR AS host_since) FROM listings",
     "clean_prices": "SELECT property_type, pricing FROM priced",
     "bathrooms": "SELECT baths AS bathrooms FROM valued",
     "bedrooms": "SELECT beds AS bedrooms FROM valued",
@@ -204,7 +206,8 @@ _SELECTS: dict[str, str] = {
       FROM fact""",
     "rooms_spot_check": f"SELECT name, bedrooms, bathrooms FROM fact WHERE name IN ({_TITLES_IN})",
     "rooms_spot_check_raw": f"SELECT name, bedrooms, bathrooms_text FROM listings WHERE name IN ({_TITLES_IN})",
-    "priced_rated_listings": "SELECT * EXCLUDE (baths, beds, superhost) FROM rated",
+    "priced_rated_listings": """SELECT * EXCLUDE (baths, beds, superhost)
+      REPLACE (host_since::VARCHAR AS host_since) FROM rated""",
     "listing_details": """SELECT host_id, host_name, coalesce(name, ' - ') AS name,
       coalesce(neighborhood_overview, ' - ') AS neighborhood_overview, neighbourhood_cleansed,
       neighbourhood_group_cleansed, pricing AS price, property_type, room_type,
@@ -223,8 +226,8 @@ _SELECTS: dict[str, str] = {
     "score_by_area": _score_mean("neighbourhood"),
     "score_by_property_type": _score_mean("property_type"),
     "score_by_room_type": _score_mean("room_type"),
-    "weighted_score_by_room_type": f"""SELECT room_type, {_round("sum(score * reviews) / sum(reviews)", 2)} AS avg_mod_score
-      FROM scored GROUP BY room_type""",
+    "weighted_score_by_room_type": f"""SELECT room_type,
+      {_round("sum(score * reviews) / sum(reviews)", 2)} AS avg_mod_score FROM scored GROUP BY room_type""",
     "score_range_by_property_type": _score_range("property_type"),
     "score_range_by_room_type": _score_range("room_type"),
     "score_range_by_area": _score_range("neighbourhood"),
@@ -256,26 +259,29 @@ _SELECTS: dict[str, str] = {
     "local_host_by_borough": _LOCAL_DETAILS.format(
         price="pricing", local=_LOCAL, where="pricing > 0 AND review_scores_rating > 0 AND number_of_reviews > 10"
     ),
-    "host_signup_running": """SELECT pricing, host_since AS host_date,
+    "host_signup_running": """SELECT pricing, host_since::VARCHAR AS host_date,
       row_number() OVER (PARTITION BY host_since ORDER BY pricing, id) AS counts
       FROM priced WHERE host_since IS NOT NULL AND year(host_since) > 2000""",
     "listings_per_host": "SELECT host_id, listings FROM per_host",
     "multi_listing_hosts": "SELECT host_id, listings FROM per_host WHERE listings > 3",
     "listings_of_hosts_over": "SELECT sum(listings)::BIGINT AS listings FROM per_host WHERE listings > 0",
-    "top_host_share": f"""SELECT {_round("sum(listings) FILTER (rank <= ceil(hosts * 4 / 100)) * 100 / sum(listings)")} AS percent
-      FROM (SELECT listings, row_number() OVER (ORDER BY listings DESC) AS rank, count(*) OVER () AS hosts FROM per_host)""",
+    "top_host_share": f"""SELECT
+      {_round("sum(listings) FILTER (rank <= ceil(hosts * 4 / 100)) * 100 / sum(listings)")} AS percent FROM (
+      SELECT listings, row_number() OVER (ORDER BY listings DESC) AS rank, count(*) OVER () AS hosts FROM per_host)""",
     "host_concentration": f"""SELECT more_than, count(*) FILTER (listings > more_than) AS hosts,
       coalesce(sum(listings) FILTER (listings > more_than), 0)::BIGINT AS listings,
       {_round("count(*) FILTER (listings > more_than) / count(*)")} AS host_share,
       {_round("coalesce(sum(listings) FILTER (listings > more_than), 0) / sum(listings)")} AS listing_share
       FROM per_host, (VALUES (1), (2), (3)) t(more_than) GROUP BY more_than""",
-    "superhost_scorecard": f"""SELECT superhost, {_round("avg(pricing)", 2)} AS avg_price, {_range("fact_price")} AS price_range,
+    "superhost_scorecard": f"""SELECT superhost, {_round("avg(pricing)", 2)} AS avg_price,
+      {_range("fact_price")} AS price_range,
       {", ".join(f"{_round(f'avg({c})')} AS {c}" for c in ("score", "score_accuracy", "cleanliness", "checkin",
                                                            "communication", "location", "value"))}
       FROM titles GROUP BY superhost""",
     "superhost_rates": f"""SELECT superhost, {_round("avg(coalesce(host_response_rate, 0))")} AS avg_response_rate,
       {_round("avg(coalesce(host_acceptance_rate, 0))")} AS avg_acceptance_rate FROM titles GROUP BY superhost""",
-    "superhost_instant_bookable": f"""SELECT superhost, sum(bookable)::DOUBLE AS instant_bookable, count(bookable)::DOUBLE AS total,
+    "superhost_instant_bookable": f"""SELECT superhost, sum(bookable)::DOUBLE AS instant_bookable,
+      count(bookable)::DOUBLE AS total,
       {_percent("sum(bookable)", "count(bookable)")} AS percent_bookable
       FROM (SELECT superhost, CASE WHEN instant_bookable = 'f' THEN 0 ELSE 1 END AS bookable FROM titles)
       GROUP BY superhost""",
