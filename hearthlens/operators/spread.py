@@ -65,6 +65,7 @@ def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk
     first = F.col("_chunk") * chunk + one
     last = F.least(F.col(times), (F.col("_chunk") + one) * chunk)
     # With a number given, adaptive execution does not merge these few rows, each of which stands for many.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     spread = chunks.repartition(tasks, *keys, "_chunk")
     return spread.select(*kept, F.explode(F.sequence(first, last)).alias(position))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 from fixtures import listings, money, random_changes, rows_of
+from pyspark.sql import functions as F
 
 from hearthlens.operators import running
 
@@ -26,3 +27,9 @@ def test_equals_the_window_row_by_row(spark):
         want[(r[borough], r[area], round(price, 6), round(score, 6), sum(o["number_of_reviews"] or 0 for o in seen))] += 1
     got = running.area_window_metrics(listings(spark, *rows)).collect()
     assert Counter((r[0], r[1], round(r.avgp, 6), round(r.scores, 6), r.rev) for r in got) == want
+
+
+def test_a_hot_area_is_written_out_by_several_tasks(spark):
+    rows = listings(spark, {}).drop("id").crossJoin(spark.range(60_000, numPartitions=4))
+    tasks = running.area_window_metrics(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t["count"] for t in tasks) == 60_000 and len(tasks) > 1
