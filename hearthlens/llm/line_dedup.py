@@ -92,12 +92,12 @@ REPORT_SQL = r"""
 with lines as (
   select doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents
 ), windows as (
-  select doc_id, i as at, ls[i + 1] as l0, ls[i + 2] as l1, ls[i + 3] as l2
+  select doc_id, i as top, ls[i + 1] as l0, ls[i + 2] as l1, ls[i + 3] as l2
   from lines, unnest(range(0, greatest(len(ls) - 2, 0))) as u(i)
 ), ranked as (
-  select doc_id, at, row_number() over (partition by l0, l1, l2 order by doc_id, at) as nth from windows
+  select doc_id, top, row_number() over (partition by l0, l1, l2 order by doc_id, top) as nth from windows
 ), covered as (
-  select distinct doc_id, at + k as line from ranked, unnest([0, 1, 2]) as u(k) where nth > 1
+  select distinct doc_id, top + k as line from ranked, unnest([0, 1, 2]) as u(k) where nth > 1
 ), kept as (
   select l.doc_id, string_agg(l.ls[i + 1], chr(10) order by i) as text
   from lines l, unnest(range(0, len(l.ls))) as u(i)

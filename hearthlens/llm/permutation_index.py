@@ -21,7 +21,7 @@ PIVOTS = 256
 POSTED = 64
 #: Part of each block's vectors that is scored exactly, at least :data:`LEAST` of them.
 SHARE = 0.18
-LEAST = 64
+LEAST = 256
 
 
 def pivots(rows: DataFrame, number: int = PIVOTS) -> np.ndarray:
