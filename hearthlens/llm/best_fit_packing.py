@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil
+from struct import pack as packed_ints
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ END_OF_TEXT = 2
 GROUP_ROWS = 20_000
 FAN_IN = 8
 #: Words a worker remembers the ids of; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: Splits as the vocabulary's own pattern does, for texts without any other character than these.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
@@ -38,27 +39,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "_bin long, _fill int, _final boolean, doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which byte-level vocabularies write each byte: itself, or the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """Text to token ids as little-endian unsigned 32-bit numbers. One per worker, kept between tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # its threads would not survive the worker's forks
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    known: dict[str, bytes] = {}
+    # The words are cut out here, so the model alone is asked for those not met before.
+    model, letters, known = tokenizer.model, _byte_letters(), {}
 
     def encode(text: str) -> bytes:
         if _OTHER.search(text):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = _WORDS.findall(text)
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        if len(known) > REMEMBERED:
+            known.clear()
+        for word in {w for w in words if w not in known}:
+            found = model.tokenize(word.encode().decode("latin-1").translate(letters))
+            known[word] = packed_ints(f"<{len(found)}I", *[t.id for t in found])
         return b"".join(map(known.__getitem__, words))
 
     return encode
