@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import id_of, row_key, written
+from .tables import id_of, in_slices, row_key, written
 
 LENGTH = 100
 GRAM = 24
 #: A rank that holds more than this part of all sampled places is not gathered in one task. There are at most as many as its inverse.
 HOT_SHARE = 0.001
 #: First places whose strings one task ranks at full length.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -40,7 +40,8 @@ def names(data: np.ndarray, size: int) -> np.ndarray:
         while 2 * n <= size:
             have = have[: len(have) - n] * power[n] + have[n:]
             power[2 * n], n = power[n] * power[n], 2 * n
-            level[n] = have
+            if size & n:  # made use of below
+                level[n] = have
         while n < size:
             part = 1 << ((size - n).bit_length() - 1)
             count = max(0, len(data) - n - part + 1)
@@ -83,7 +84,7 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
     """``rank`` of every sampled place; with ``whole`` also where it is, and ``reach``, the name of all its strings' bytes."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             parts = []
             for i, text in enumerate(batch.column(2)):
                 raw = text.as_py().encode("utf-8", "replace")
@@ -164,7 +165,7 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
     some = texts.join(each, ["_id", "_tie"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc, tie, text, places in zip(*(batch.column(i) for i in range(4))):
                 raw = text.as_py().encode("utf-8", "replace")
@@ -210,7 +211,7 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
     found = small.groupBy("_group").applyInArrow(repeats, spans)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             row, start, name = rank_strings(batch)
             yield pa.record_batch(
                 [
@@ -264,7 +265,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_sh
     joined = texts.join(spans, ["_id", "_tie"], "left").select("_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text, spans in zip(batch.column(1), batch.column(2)):
                 raw = text.as_py().encode("utf-8", "replace")
