@@ -17,14 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .tables import id_of, in_slices, row_key, written
 
 LENGTH = 100
 GRAM = 24
-#: A rank that holds more than this part of all sampled places is not gathered in one task. There are at most as many as its inverse.
-HOT_SHARE = 0.001
 #: First places whose strings one task ranks at full length.
 GROUP_ROWS = 5_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,30 +117,21 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
     return texts.select("_id", "_tie", "text").mapInArrow(sample, schema)
 
 
-def _ranked(texts: DataFrame, length: int, gram: int, hot_share: float) -> DataFrame:
-    """``_id _tie rank first last later``: places that repeat as a whole (``later``), and first places that share a rank."""
+def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Places that repeat as a whole, and first places that share no more than their rank: ``_id _tie rank first last``.
+
+    The first place of a pair of ranks is its name. All joins are on keys that adaptive execution can split or that are
+    unique, so a passage of many documents gathers nowhere.
+    """
     ranks = _places(texts, length, gram, whole=False).groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = written(ranks.filter("_n > 1"), "ranks")
-    total = ranks.agg(F.sum("_n")).first()[0] or 0
-    limit = max(1, int(total * hot_share))
-    hot = F.broadcast(ranks.filter(F.col("_n") > limit).select("rank"))
-    places = _places(texts, length, gram, whole=True)
-    own = F.struct("_id", "_tie", "first")
-    keep = ["_id", "_tie", "rank", "first", "last"]
-
-    pair, rank = Window.partitionBy("rank", "reach"), Window.partitionBy("rank")
-    few = places.join(hot, "rank", "left_anti").join(ranks.filter(F.col("_n") <= limit).select("rank"), "rank")
-    few = few.select(
-        *keep,
-        (own != F.min(own).over(pair)).alias("later"),
-        (F.min("reach").over(rank) != F.max("reach").over(rank)).alias("_several"),
-    )
-    many = places.join(hot, "rank", "left_semi")
-    firsts = many.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
-    several = firsts.groupBy("rank").agg((F.count(F.lit(1)) > 1).alias("_several"))
-    firsts = written(firsts.join(several, "rank"), "firsts")
-    many = many.join(firsts, ["rank", "reach"]).select(*keep, (own != F.col("_own")).alias("later"), "_several")
-    return few.unionByName(many).filter("later or _several").drop("_several")
+    ranks = written(ranks.filter("_n > 1").select("rank"), "ranks")
+    places = written(_places(texts, length, gram, whole=True).join(ranks, "rank", "left_semi"), "places")
+    own = F.struct("_id", "_tie", "first", "last")
+    firsts = places.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
+    firsts = written(firsts.select("rank", "reach", "_own.*"), "firsts")
+    later = places.join(firsts, ["rank", "reach", "_id", "_tie", "first"], "left_anti")
+    several = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return later, firsts.join(several, "rank", "left_semi")
 
 
 def _runs(start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +144,6 @@ def _runs(start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray
 
 def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: int) -> DataFrame:
     """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank."""
-    firsts = firsts.select("_id", "_tie", "rank", "first", "last").distinct()
     sizes = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
     firsts = written(firsts.join(sizes, "rank"), "first-places")
     count = firsts.count()
@@ -231,11 +218,11 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
     return found.unionByName(later.select("_id", "_tie", "start", (F.col("start") + length).alias("end")))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_share: float = HOT_SHARE, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``_id _tie spans``: the byte ranges to remove (start, end; they may overlap) of documents that have any."""
-    ranked = written(_ranked(texts, length, gram, hot_share), "ranked")
-    whole = ranked.filter("later").select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    rest = _full_length(texts, ranked.filter("not later"), length, group_rows)
+    later, firsts = _ranked(texts, length, gram)
+    whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    rest = _full_length(texts, firsts, length, group_rows)
     spans = whole.unionByName(rest).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return written(spans, "spans")
 
@@ -252,7 +239,7 @@ def _apply(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return np.frombuffer(raw, np.uint8)[~removed].tobytes(), runs
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_share: float = HOT_SHARE, group_rows: int = GROUP_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier, in a document of smaller id (NULL is smallest; of
@@ -261,7 +248,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_sh
     Other columns are ignored; an empty table gives no rows. Texts are below 2 GB.
     """
     texts = _texts(docs)
-    spans = repeated_spans(texts, length, gram, hot_share, group_rows)
+    spans = repeated_spans(texts, length, gram, group_rows)
     joined = texts.join(spans, ["_id", "_tie"], "left").select("_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
