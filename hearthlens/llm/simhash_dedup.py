@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ BITS = 64
 #: Members of a shard that one task searches. Larger shards are split again.
 SHARD_ROWS = 1000
 SHINGLES_AT_ONCE = 65_536
+#: Members of shards that a task gets, about.
+TASK_ROWS = 4000
 
 
 def fingerprint(text: str | None, words_each: int = 3) -> int:
@@ -144,7 +147,9 @@ def near_links(distinct: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROW
         sizes = shards.groupBy("_shard").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1")
         shared = written(shards.join(sizes, "_shard"), "shards")
         small = shared.filter(F.col("_members") <= shard_rows).select("_shard", "fingerprint")
-        links = small.groupBy("_shard").applyInPandas(search, "a long, b long").distinct()
+        # Few bytes may be much work, which a number of tasks by bytes would not see.
+        dealt = small.repartition(max(1, ceil(small.count() / TASK_ROWS)), "_shard")
+        links = dealt.groupBy("_shard").applyInPandas(search, "a long, b long").distinct()
         found = links if found is None else found.unionByName(links)
         rows = shared.filter(F.col("_members") > shard_rows).select("_shard", "fingerprint")
         if rows.isEmpty():
