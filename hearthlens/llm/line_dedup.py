@@ -54,7 +54,8 @@ def covered_lines(docs: DataFrame, size: int = WINDOW_LINES) -> DataFrame:
 def _cleaned(docs: DataFrame, size: int) -> DataFrame:
     keyed = docs.select(*row_key(), whole_row(docs).alias("_doc"), _lines("text").alias("_lines"))
     covered = written(covered_lines(docs, size), "covered")
-    joined = keyed.join(covered, ["_id", "_text"], "left")
+    # Dealt by document at every size, so that the plan of a small corpus is that of a large one.
+    joined = keyed.join(covered.hint("merge"), ["_id", "_text"], "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
     kept = F.array_join(F.transform(numbers, lambda i: F.get("_lines", i)), "\n")
     text = F.when(F.col("_covered").isNull(), F.col("_doc.text")).otherwise(kept)
