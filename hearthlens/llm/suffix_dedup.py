@@ -15,6 +15,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     return keyed.select("_id", tie.alias("_tie"), "text")
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    """``_id _tie packed``: the texts' bytes, compressed better than a shuffle would, for joins that move them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in in_slices(batches):
+            packed = [compress(t.as_py().encode("utf-8", "replace")) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["_id", "_tie", "packed"])
+
+    return texts.select("_id", "_tie", "text").mapInArrow(pack, "_id long, _tie long, packed binary")
+
+
 def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
     """``rank`` of every sampled place; with ``whole`` also where it is, and ``reach``, the name of all its strings' bytes."""
 
@@ -149,13 +162,13 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
     count = firsts.count()
     groups = max(1, ceil(count / group_rows))
     each = firsts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("rank", "first", "last", "_n")).alias("places"))
-    some = texts.join(each, ["_id", "_tie"])
+    some = _packed(texts).join(each, ["_id", "_tie"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             rows = []
-            for doc, tie, text, places in zip(*(batch.column(i) for i in range(4))):
-                raw = text.as_py().encode("utf-8", "replace")
+            for doc, tie, packed, places in zip(*(batch.column(i) for i in range(4))):
+                raw = zstandard.decompress(packed.as_py())
                 for p in places.as_py():
                     rows.append((doc.as_py(), tie.as_py(), p["rank"], p["first"], p["_n"], raw[p["first"] : p["last"] + length]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -163,7 +176,7 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_id", "_tie", "rank", "first", "_n", "bytes"])
 
     schema = "_id long, _tie long, rank long, first int, _n long, bytes binary"
-    strings = some.select("_id", "_tie", "text", "places").mapInArrow(cut, schema)
+    strings = some.select("_id", "_tie", "packed", "places").mapInArrow(cut, schema)
 
     def rank_strings(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row number, start and name of each string of the rows."""
@@ -249,13 +262,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_
     """
     texts = _texts(docs)
     spans = repeated_spans(texts, length, gram, group_rows)
-    joined = texts.join(spans, ["_id", "_tie"], "left").select("_id", "text", "spans")
+    joined = _packed(texts).join(spans, ["_id", "_tie"], "left").select("_id", "packed", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             rows = []
-            for text, spans in zip(batch.column(1), batch.column(2)):
-                raw = text.as_py().encode("utf-8", "replace")
+            for packed, spans in zip(batch.column(1), batch.column(2)):
+                raw = zstandard.decompress(packed.as_py())
                 kept, runs = _apply(raw, spans.as_py())
                 rows.append((len(raw), len(raw) - len(kept), runs, kept))
             columns = list(zip(*rows)) if rows else [()] * 4
