@@ -14,8 +14,11 @@ from pyspark.sql.window import Window
 from .tables import id_of, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Seeds of different text that a lexical pattern needs, and how much of its slot must be trusted.
+#: Seeds of different text that a lexical pattern needs: so many, and this part of its kind's. By number alone, every frequent pair of words
+#: would become a pattern of a large corpus.
 LEAST_SEEDS = 5
+LEAST_PART = 0.005
+#: How much of a pattern's slot must be trusted.
 LEAST_TRUST = 0.8
 ROUNDS = 3
 #: Slots that hold nothing known, added to a pattern's, so that few sightings convince little.
@@ -128,7 +131,13 @@ def _seed_patterns(matches: DataFrame) -> DataFrame:
     return seeds
 
 
-def discovered(docs: DataFrame, matches: DataFrame, least_seeds: int = LEAST_SEEDS, least_trust: float = LEAST_TRUST) -> DataFrame:
+def discovered(
+    docs: DataFrame,
+    matches: DataFrame,
+    least_seeds: int = LEAST_SEEDS,
+    least_part: float = LEAST_PART,
+    least_trust: float = LEAST_TRUST,
+) -> DataFrame:
     """Words with a digit that trusted patterns give away: ``_id _text kind start end``, none overlapping a base match.
 
     A pattern is two words next to a seed and the seed's kind. Its trust is the trusted part of all words, known or not, that stand in
@@ -136,7 +145,10 @@ def discovered(docs: DataFrame, matches: DataFrame, least_seeds: int = LEAST_SEE
     """
     seeds = written(_seed_patterns(matches), "seeds")
     several = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_seeds"), F.sum("times").alias("_known"))
-    several = written(several.filter(F.col("_seeds") >= least_seeds), "patterns")
+    # One number for each of the kinds.
+    ofs = seeds.select("kind", "instance").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("_of"))
+    several = several.join(F.broadcast(ofs), "kind").filter(F.col("_seeds") >= F.greatest(F.lit(least_seeds), F.col("_of") * least_part))
+    several = written(several.drop("_of"), "patterns")
     if several.isEmpty():
         spans = "_id long, _text long, kind string, start long, end long"
         return docs.sparkSession.createDataFrame([], spans)
