@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def parse_money(text: Column) -> Column:
-    """``'$1,234.00'`` to 1234.0: ten characters after the currency sign, commas dropped.
+    """``'$1,234.00'`` to 1234.0: the whole text but for one leading currency sign and the commas.
 
     Empty text is 0, NULL and text that is no finite number are NULL.
     """
-    digits = F.replace(F.substring(text, 2, 10), F.lit(","), F.lit(""))
-    # Unlike a double, a decimal takes no "NaN", "Infinity" or "12d"; ten characters always fit.
-    number = digits.try_cast("decimal(19,9)").cast("double")
+    signed = F.substring(text, 1, 1).isin("$", "€", "£", "¥")
+    digits = F.replace(F.when(signed, F.substr(text, F.lit(2))).otherwise(text), F.lit(","), F.lit(""))
+    # Unlike a double, a decimal takes no "NaN", "Infinity" or "12d".
+    number = digits.try_cast("decimal(38,9)").cast("double")
     return F.coalesce(number, F.when(F.trim(digits) == "", F.lit(0.0)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold, parse_bathrooms, parse_money, superhost_label
 from ..schema import AREA, BOROUGH, RATING
-from .spread import sort_spread
+from .spread import sorted_rows
 
 # review fact column -> listings column and the expression over it
 _FACT = {
@@ -79,25 +79,25 @@ def scored(fact: DataFrame, min_reviews: int | None = None, positive: bool = Fal
 
 def ordered_listings(listings: DataFrame) -> DataFrame:
     """All listings by id."""
-    return sort_spread(listings, "id", copies_of="id")
+    return sorted_rows(listings, "id")
 
 
 def clean_prices(listings: DataFrame) -> DataFrame:
     """Property type and price of the priced listings, dearest first."""
     rows = priced(listings).select("id", "property_type", "pricing")
-    return sort_spread(rows, F.desc("pricing"), copies_of="id").select("property_type", "pricing")
+    return sorted_rows(rows, F.desc("pricing")).select("property_type", "pricing")
 
 
 def bathrooms(listings: DataFrame) -> DataFrame:
     """Number of bathrooms of every listing, in listing order."""
     rows = listings.select("id", parse_bathrooms(F.col("bathrooms_text")).alias("bathrooms"))
-    return sort_spread(rows, "id", copies_of="id").select("bathrooms")
+    return sorted_rows(rows, "id").select("bathrooms")
 
 
 def bedrooms(listings: DataFrame) -> DataFrame:
     """Number of bedrooms of every listing, unknown as 0, in listing order."""
     rows = listings.select("id", F.coalesce(F.col("bedrooms").cast("double"), F.lit(0.0)).alias("bedrooms"))
-    return sort_spread(rows, "id", copies_of="id").select("bedrooms")
+    return sorted_rows(rows, "id").select("bedrooms")
 
 
 def named(rows: DataFrame, names: list[str], match: str = "binary") -> DataFrame:
@@ -139,4 +139,4 @@ def listing_details(listings: DataFrame) -> DataFrame:
         "number_of_reviews",
         "listing_url",
     )
-    return sort_spread(details, "superhost", copies_of="id").drop("id")
+    return sorted_rows(details, "superhost").drop("id")

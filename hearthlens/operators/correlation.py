@@ -36,30 +36,16 @@ def correlation_matrix(df: DataFrame, cols: list[str], by: str | None = None) ->
     diagonal otherwise.
     """
     group = [by] if by else []
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("col_x"),
-                F.lit(b).alias("col_y"),
-                F.col(a).cast("double").alias("x"),
-                F.col(b).cast("double").alias("y"),
-            )
-            for i, a in enumerate(cols)
-            for b in cols[i:]
-        ]
-    )
-    half = (
-        df.select(*group, F.inline(pairs))
-        .groupBy(*group, "col_x", "col_y")
-        .agg(pearson_r(F.col("x"), F.col("y")).alias("r"))
-    )
-    diagonal = F.col("col_x") == F.col("col_y")
-    r = F.when(diagonal & F.col("r").isNotNull(), 1.0).otherwise(F.col("r")).alias("r")
-    one = F.array(F.struct("col_x", "col_y"))
-    both = F.array(
-        F.struct("col_x", "col_y"), F.struct(F.col("col_y").alias("col_x"), F.col("col_x").alias("col_y"))
-    )
-    return half.select(*group, F.inline(F.when(diagonal, one).otherwise(both)), r)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    values = {(a, b): pearson_r(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs}
+    # One wide row for each group; pairs become rows only after that.
+    wide = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *[v.alias(f"_{i}") for i, v in enumerate(values.values())])
+    cells = []
+    for i, (a, b) in enumerate(pairs):
+        r = F.col(f"_{i}") if a != b else F.when(F.col(f"_{i}").isNotNull(), 1.0)
+        for x, y in {(a, b), (b, a)}:
+            cells.append(F.struct(F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), r.alias("r")))
+    return wide.filter("_n > 0").select(*group, F.inline(F.array(*cells)))
 
 
 def rounded_for_heatmap(matrix: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import fold, parse_money
 from ..schema import AREA, BOROUGH, RATING
 from .clean import priced, priced_and_rated
 from .running import numbered_within
-from .spread import semi_join_spread, sort_spread
+from .spread import sorted_rows
 
 _KEYS = ["_name_key", "_home_key"]
 
@@ -29,7 +29,7 @@ def _keyed(rows: DataFrame, match: str) -> DataFrame:
 
 
 def _places(listings: DataFrame, match: str) -> DataFrame:
-    """The (host name, area) pairs lived in, with how many rows live there and whether any lists there.
+    """The (host name, area) pairs that are both lived in and listed in, once each.
 
     Each listing is counted once for its host's home and once for its own area, so one pass and one
     group-by replace the self-join.
@@ -38,20 +38,18 @@ def _places(listings: DataFrame, match: str) -> DataFrame:
     lives = F.struct(key("host_neighbourhood").alias("_home_key"), F.lit(True).alias("home"))
     lists = F.struct(key(AREA).alias("_home_key"), F.lit(False).alias("home"))
     places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists)))
-    counted = places.filter("_name_key is not null and _home_key is not null").groupBy(*_KEYS)
-    return (
-        counted.agg(F.count_if("home").alias("_rows"), F.count_if(~F.col("home")).alias("_listed"))
-        .filter("_rows > 0")
-        .select(*_KEYS, "_rows", (F.col("_listed") > 0).alias("_wanted"))
-    )
+    told = places.filter("_name_key is not null and _home_key is not null").groupBy(*_KEYS)
+    both = told.agg(F.bool_or("home").alias("_lived"), F.bool_or(~F.col("home")).alias("_listed"))
+    return both.filter("_lived and _listed").select(*_KEYS)
 
 
 def _local_host_rows(listings: DataFrame, match: str) -> DataFrame:
-    """Distinct hosts with a listing under their name in their home area."""
+    """Distinct hosts with a listing under their name in their home area.
+
+    Adaptive execution splits the rows of a name that holds many of them, as the places hold each name and area once.
+    """
     hosts = _keyed(listings.select("host_id", "host_name", "host_neighbourhood").distinct(), match)
-    homes = hosts.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
-    counted = homes.join(_places(listings, match).drop("_rows"), _KEYS)
-    return semi_join_spread(hosts, counted, _KEYS).drop(*_KEYS)
+    return hosts.join(_places(listings, match), _KEYS, "left_semi").drop(*_KEYS)
 
 
 def local_hosts(listings: DataFrame, match: str = "binary") -> DataFrame:
@@ -83,10 +81,10 @@ _DETAILS = [
 
 def _local_details(rows: DataFrame, hosts: DataFrame, match: str) -> DataFrame:
     """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
-    local = semi_join_spread(_keyed(rows, match), _places(hosts, match), _KEYS).drop(*_KEYS)
+    local = _keyed(rows, match).join(_places(hosts, match), _KEYS, "left_semi").drop(*_KEYS)
     details = local.distinct().withColumnRenamed(BOROUGH, "borough")
     most_loved = F.desc(F.col(RATING) * F.col("number_of_reviews"))
-    return sort_spread(details, "host_neighbourhood", most_loved).drop("host_id")
+    return sorted_rows(details, "host_neighbourhood", most_loved).drop("host_id")
 
 
 def local_host_listings(listings: DataFrame, hosts: DataFrame | None = None, match: str = "binary") -> DataFrame:

@@ -13,25 +13,24 @@ def describe(df: DataFrame, cols: list[str], accuracy: int | None = None) -> Dat
     a column in memory: right for summaries. For listing-sized tables pass an ``accuracy``; the
     quartiles are then values with a rank error of at most rows/accuracy.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in cols])
-
-    def quartile(p: float) -> Column:
-        return F.percentile("v", p) if accuracy is None else F.percentile_approx("v", p, accuracy)
-
-    return (
-        df.select(F.inline(cells))
-        .groupBy("measure")
-        .agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            quartile(0.25).alias("p25"),
-            quartile(0.5).alias("p50"),
-            quartile(0.75).alias("p75"),
-            F.max("v").alias("max"),
-        )
-    )
+    def quartile(v: Column, p: float) -> Column:
+        return F.percentile(v, p) if accuracy is None else F.percentile_approx(v, p, accuracy)
+
+    statistics = {
+        "count": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "p25": lambda v: quartile(v, 0.25),
+        "p50": lambda v: quartile(v, 0.5),
+        "p75": lambda v: quartile(v, 0.75),
+        "max": F.max,
+    }
+    # One wide row, which then becomes a row for each column.
+    values = [f(F.col(c).cast("double")).alias(f"{i}_{s}") for i, c in enumerate(cols) for s, f in statistics.items()]
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *values)
+    rows = [F.struct(F.lit(c).alias("measure"), *[F.col(f"{i}_{s}").alias(s) for s in statistics]) for i, c in enumerate(cols)]
+    return wide.filter("_n > 0").select(F.inline(F.array(*rows)))
 
 
 def head(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:

@@ -1,55 +1,13 @@
-"""Keeping hot keys from ending up in one task."""
+"""Global sorts that split ties, and rows written out many times."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Hot keys are looked up in a broadcast, so their number is fixed. A key that is not among the 1000 most
-# frequent holds under a thousandth of the rows.
-HOT_KEYS = 1000
-# A key with fewer rows than this is no burden to one task.
-HOT_ROWS = 1_000_000
-
-
-def _hottest(counts: DataFrame, on: list[str]) -> DataFrame:
-    """The hot keys of ``counts``, which has one row per key with its number of rows in ``_rows``.
-
-    The order is total, so every evaluation picks the same keys.
-    """
-    return counts.orderBy(F.desc("_rows"), *on).limit(HOT_KEYS).filter(F.col("_rows") >= HOT_ROWS)
-
-
-def semi_join_spread(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is ``_wanted`` in ``keys``, without moving the rows of hot keys.
-
-    ``keys`` has one row for each key found in ``rows``, with their number (or more) in ``_rows``. Whether a
-    hot key is wanted is known from a broadcast; only the rows of the other keys are shuffled.
-    """
-    hot = _hottest(keys, on)
-    settled = rows.join(F.broadcast(hot.filter("_wanted").select(*on)), on, "left_semi")
-    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    found = others.join(keys.filter("_wanted").select(*on), on, "left_semi")
-    return settled.unionByName(found).select(*rows.columns)
-
-
-def sort_spread(df: DataFrame, *order: str | Column, copies_of: str | None = None) -> DataFrame:
-    """Global sort that no value of the sort columns can pile up in one task.
-
-    Range partitions cannot split rows that compare equal, so ties are ordered by a hash of the row. That
-    leaves exact copies of a row. If there may be many, ``copies_of`` names a column on which copies agree and
-    other rows mostly differ. The rows of its hot values are counted, written out again and numbered, and the
-    number is the last sort key.
-    """
-    tie = F.xxhash64(*df.columns)
-    if copies_of is None:
-        return df.orderBy(*order, tie)
-    counts = df.groupBy(copies_of).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(_hottest(counts, [copies_of]).select(copies_of))
-    single = df.join(hot, copies_of, "left_anti").withColumn("_copy", F.lit(0).cast("long"))
-    counted = df.join(hot, copies_of, "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_times"))
-    numbered = repeat_rows(counted, "_times", "_copy", df.columns)
-    return single.unionByName(numbered).orderBy(*order, tie, "_copy").select(*df.columns)
+def sorted_rows(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Global sort in one pass. Ties are ordered by a hash of the row, so range partitions can split them."""
+    return df.orderBy(*order, F.xxhash64(*df.columns))
 
 
 def repeat_rows(df: DataFrame, times: str, position: str, keys: list[str], chunk: int = 10_000) -> DataFrame:

@@ -163,12 +163,14 @@ QUERIES: dict[str, Query] = {
     "lowest_scored_area": _scored_by(summary.lowest_scored, "neighbourhood", AREA, reviews=True),
     "cleanliness_by_room_type": _range_by("room_type", "room_type", "cleanliness"),
     "cleanliness_by_area": _range_by("neighbourhood", AREA, "cleanliness"),
+    "cleanliness_by_borough": _range_by("neighbourhood_group", BOROUGH, "cleanliness"),
     # correlations
     "corr_price_score": _corr("price", []),
     "corr_price_score_by_area": _corr("price", ["neighbourhood"]),
     "corr_price_score_by_property_type": _corr("price", ["property_type"], positive=True),
     "corr_price_score_by_room_type": _corr("price", ["room_type"], MANY_REVIEWS, positive=True),
     "corr_price_score_by_area_room": _corr("price", ["neighbourhood", "room_type"]),
+    "corr_price_score_by_borough_room": _corr("price", ["neighbourhood_group", "room_type"]),
     "corr_bedrooms_score": _corr("bedrooms", []),
     "corr_bedrooms_score_by_borough": _corr("bedrooms", ["neighbourhood_group"]),
     "corr_bedrooms_score_by_property_type": _corr("bedrooms", ["property_type"], positive=True),
@@ -183,6 +185,9 @@ QUERIES: dict[str, Query] = {
     "local_host_count": Query(LOCAL, hosts.local_host_count),
     "local_host_listings": Query(LOCAL_DETAILS, hosts.local_host_listings, (_host_columns,)),
     "local_host_by_borough": Query(LOCAL_DETAILS, hosts.local_host_by_borough, (_host_columns,)),
+    "local_host_in_borough": Query(
+        LOCAL_DETAILS, lambda li, all_: hosts.local_host_by_borough(li, all_, borough=ONE_BOROUGH), (_host_columns,)
+    ),
     "host_signup_running": Query(
         ["host_since", *PRICED], lambda li: _dates_as_text(hosts.signup_running(li), "host_date")
     ),
@@ -224,8 +229,8 @@ QUERIES: dict[str, Query] = {
     "area_window_metrics": Query(
         [BOROUGH, AREA, *RELIABLE], lambda li: _rounded(running.area_window_metrics(li), "avgp", "scores")
     ),
-    "area_summary": Query(AREA_SUMMARY, regions.area_summary),
-    "area_summary_remapped": _remapped(lambda summary_: summary_),
+    "area_summary": Query(AREA_SUMMARY, lambda li: regions.area_summary(li).orderBy(BOROUGH, AREA)),
+    "area_summary_remapped": _remapped(lambda summary_: summary_.orderBy(*_REGION_KEY)),
     "region_head": _remapped(lambda s: profile.head(s, _REGION_KEY)),
     "region_describe": _remapped(
         lambda s: _rounded(profile.describe(s, ["listings", *REGION_MEASURES]), *_STATISTICS)

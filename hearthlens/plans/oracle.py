@@ -55,7 +55,7 @@ listings AS (
   LEFT JOIN part ON p_partkey = l_partkey
 ),
 valued AS (
-  SELECT *, TRY_CAST(replace(substr(price, 2, 10), ',', '') AS DOUBLE) AS pricing,
+  SELECT *, TRY_CAST(replace(regexp_replace(price, '^[$€£¥]', ''), ',', '') AS DOUBLE) AS pricing,
     coalesce(TRY_CAST(trim(regexp_extract(bathrooms_text, '^([^A-Za-z]*)', 1)) AS DOUBLE), 0) AS baths,
     coalesce(bedrooms, 0) AS beds,
     CASE WHEN host_is_superhost = 'f' THEN 0 ELSE 1 END AS superhost
@@ -236,11 +236,13 @@ _SELECTS: dict[str, str] = {
       ORDER BY minimum, neighbourhood LIMIT 1""",
     "cleanliness_by_room_type": _score_range("room_type", "cleanliness"),
     "cleanliness_by_area": _score_range("neighbourhood", "cleanliness"),
+    "cleanliness_by_borough": _score_range("neighbourhood_group", "cleanliness"),
     "corr_price_score": _corr("price"),
     "corr_price_score_by_area": _corr("price", "neighbourhood"),
     "corr_price_score_by_property_type": _corr("price", "property_type", "score > 0"),
     "corr_price_score_by_room_type": _corr("price", "room_type", f"score > 0 AND reviews > {MANY_REVIEWS}"),
     "corr_price_score_by_area_room": _corr("price", "neighbourhood, room_type"),
+    "corr_price_score_by_borough_room": _corr("price", "neighbourhood_group, room_type"),
     "corr_bedrooms_score": _corr("bedrooms"),
     "corr_bedrooms_score_by_borough": _corr("bedrooms", "neighbourhood_group"),
     "corr_bedrooms_score_by_property_type": _corr("bedrooms", "property_type", "score > 0"),
@@ -259,6 +261,9 @@ _SELECTS: dict[str, str] = {
     "local_host_by_borough": _LOCAL_DETAILS.format(
         price="pricing", local=_LOCAL, where="pricing > 0 AND review_scores_rating > 0 AND number_of_reviews > 10"
     ),
+    "local_host_in_borough": _LOCAL_DETAILS.format(
+        price="pricing", local=_LOCAL, where="pricing > 0 AND review_scores_rating > 0 AND number_of_reviews > 10 AND neighbourhood_group_cleansed = \'" + ONE_BOROUGH + "\'"
+    ),
     "host_signup_running": """SELECT pricing, host_since::VARCHAR AS host_date,
       row_number() OVER (PARTITION BY host_since ORDER BY pricing, id) AS counts
       FROM priced WHERE host_since IS NOT NULL AND year(host_since) > 2000""",

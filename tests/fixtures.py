@@ -91,7 +91,7 @@ def money(text):
     """The money rule in plain Python, for the brute-force checks."""
     if text is None:
         return None
-    digits = text[1:11].replace(",", "")
+    digits = text.removeprefix("$").replace(",", "")
     if not digits.strip():
         return 0.0
     try:

@@ -16,7 +16,12 @@ def test_money(spark):
         "$0.00": 0.0,
         "$10.00": 10.0,
         "$999,999.99": 999999.99,
-        "$12,345,678.90": 12345678.0,  # only ten characters are read
+        "$12,345,678.90": 12345678.9,
+        "$1,234,567.89": 1234567.89,
+        "$100,000,000.00": 100000000.0,
+        "1234.00": 1234.0,
+        "€99.50": 99.5,
+        "$$5": None,
         "$-5.00": -5.0,
         "$ 7.5": 7.5,
         None: None,

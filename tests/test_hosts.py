@@ -83,61 +83,13 @@ def test_names_may_match_without_case(spark):
     assert [r.host_id for r in hosts.local_hosts(rows, match="ci").collect()] == [1]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, 10**9])
-def test_semi_join_spread_keeps_every_row_once(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(spread, "HOT_ROWS", hot_rows)
-    rng = random.Random(8)
-    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(40)}") for i in range(3000)]
-    df = spark.createDataFrame(rows, "i int, k string")
-    for wanted in ({"hot", *[f"k{i}" for i in range(0, 40, 2)]}, {f"k{i}" for i in range(40)}):
-        keys = df.groupBy("k").agg(F.count("*").alias("_rows")).withColumn("_wanted", F.col("k").isin(*wanted))
-        got = spread.semi_join_spread(df, keys, ["k"]).collect()
-        assert sorted(tuple(r) for r in got) == sorted(r for r in rows if r[1] in wanted)
-
-
-@pytest.fixture
-def plain_shuffles(spark):
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    before = {s: spark.conf.get(s) for s in settings}
-    for s, value in settings.items():
-        spark.conf.set(s, value)
-    yield
-    for s, value in before.items():
-        spark.conf.set(s, value)
-
-
-def largest_task(df):
-    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
-
-
-def test_semi_join_spread_does_not_gather_a_hot_key(spark, monkeypatch, plain_shuffles):
-    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
-    df = spark.range(20_000, numPartitions=8).select("id", key.alias("k"))
-    keys = df.groupBy("k").agg(F.count("*").alias("_rows"), F.lit(True).alias("_wanted"))
-    gathered = spread.semi_join_spread(df, keys, ["k"])
-    monkeypatch.setattr(spread, "HOT_ROWS", 1000)
-    spread_out = spread.semi_join_spread(df, keys, ["k"])
-    assert gathered.count() == spread_out.count() == 20_000
-    assert largest_task(gathered) >= 6667 and largest_task(spread_out) < 2500
-
-
-def test_sort_spread_orders_and_keeps_copies(spark, monkeypatch):
+def test_sorted_rows_orders_and_keeps_copies(spark):
     rng = random.Random(16)
     rows = [(7, "copy", 1.5)] * 400 + [(rng.randrange(50), rng.choice("ab"), None) for _ in range(800)]
     df = spark.createDataFrame(rows, "id int, k string, v double")
-    for hot_rows in (1, 100, 10**9):
-        monkeypatch.setattr(spread, "HOT_ROWS", hot_rows)
-        got = [tuple(r) for r in spread.sort_spread(df, F.desc("id"), copies_of="id").collect()]
-        assert [r[0] for r in got] == sorted((r[0] for r in rows), reverse=True)
-        assert Counter(got) == Counter(rows)
-
-
-def test_sort_spread_splits_copies(spark, monkeypatch, plain_shuffles):
-    same = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
-    df = spark.range(30_000, numPartitions=8).select(same.alias("id"), F.lit("x").alias("k"))
-    assert largest_task(spread.sort_spread(df, "id", copies_of="id")) >= 10_000
-    monkeypatch.setattr(spread, "HOT_ROWS", 1000)
-    assert largest_task(spread.sort_spread(df, "id", copies_of="id")) < 6000
+    got = [tuple(r) for r in spread.sorted_rows(df, F.desc("id")).collect()]
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), reverse=True)
+    assert Counter(got) == Counter(rows)
 
 
 def test_repeat_rows(spark):

@@ -8,7 +8,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from hearthlens.plans.catalogue import QUERIES
+from hearthlens.plans.oracle import ORACLE
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -47,7 +48,7 @@ def _kind(type_name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def assert_equal(df, con, sql):
@@ -61,6 +62,6 @@ def assert_equal(df, con, sql):
     assert not missing and not extra, (list(missing.items())[:3], list(extra.items())[:3])
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, key):
-    assert_equal(contract.queries()[key](spark, SF_DIR), duck, contract.oracle_sql()[key])
+    assert_equal(QUERIES[key](spark, SF_DIR), duck, ORACLE[key])

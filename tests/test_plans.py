@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from hearthlens.operators import clean, hosts, summary
+from hearthlens.plans.catalogue import QUERIES
 from hearthlens.sources import files, orders_binding
 
 SMALL = "/root/testdata/sf0.001"
@@ -18,15 +18,15 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {key: plan_of(query(spark, SMALL)) for key, query in contract.queries().items()}
+    return {key: plan_of(query(spark, SMALL)) for key, query in QUERIES.items()}
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_python_and_no_cross_join(plans, key):
     assert not [word for word in FORBIDDEN if word in plans[key]]
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_only_aggregates_go_to_a_single_task(plans, key):
     lines = plans[key].splitlines()
     for i, line in enumerate(lines):
@@ -35,7 +35,7 @@ def test_only_aggregates_go_to_a_single_task(plans, key):
             assert "HashAggregate" in next(below), line
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_windows_run_over_aggregates_only(plans, key):
     lines = plans[key].splitlines()
     for i, line in enumerate(lines):
@@ -60,8 +60,22 @@ def test_the_title_join_reads_and_shuffles_its_rows_once(plans):
         assert "Window" not in plan.split("HashAggregate", 3)[-1], key
 
 
-def test_local_hosts_use_a_semi_join(plans):
-    assert "LeftSemi" in plans["local_hosts"] and "LeftSemi" in plans["local_host_listings"]
+@pytest.mark.parametrize("key", ["local_hosts", "local_host_count", "local_host_listings", "local_host_by_borough"])
+def test_local_hosts_use_a_semi_join_of_two_scans(plans, key):
+    assert "LeftSemi" in plans[key] and plans[key].count("lineitem.parquet") == 2
+
+
+@pytest.mark.parametrize("key", ["listings_scan", "clean_prices", "bathrooms", "bedrooms", "listing_details"])
+def test_sorts_read_once(plans, key):
+    assert plans[key].count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("key", ["region_corr", "region_heatmap", "region_describe", "region_corr_by_borough"])
+def test_statistics_neither_sort_nor_explode_before_they_aggregate(plans, key):
+    lines = plans[key].splitlines()
+    last = max(i for i, li in enumerate(lines) if "Generate inline" in li)
+    assert "rangepartitioning" not in plans[key]
+    assert "HashAggregate" in "".join(lines[last + 1 : last + 4])
 
 
 def test_the_area_mapping_meets_aggregates_only(plans):

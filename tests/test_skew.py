@@ -8,7 +8,6 @@ import pytest
 from test_oracle import TABLES, assert_equal, connect
 
 import __spark_entry__ as contract
-from hearthlens.operators import spread
 
 SOURCE = "/root/testdata/sf0.001"
 # Every query that sorts rows, joins rows by a key, multiplies counts or repeats rows.
@@ -44,6 +43,5 @@ def skewed():
 
 
 @pytest.mark.parametrize("key", KEYS)
-def test_hot_keys_and_copies(spark, skewed, monkeypatch, key):
-    monkeypatch.setattr(spread, "HOT_ROWS", 25)
+def test_hot_keys_and_copies(spark, skewed, key):
     assert_equal(contract.queries()[key](spark, skewed), connect(skewed), contract.oracle_sql()[key])
