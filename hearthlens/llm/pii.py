@@ -33,7 +33,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE)))
 #: A character that every match of a kind has, to spare most texts the search.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def _digits(text: Column) -> Column:
