@@ -142,9 +142,9 @@ def test_area_summary_and_merged_areas(spark):
         {AREA: "Inwood", "review_scores_rating": 0.0},
         {AREA: "Richmondtown", BOROUGH: "Staten Island"},
     )
-    plain = {r[AREA]: r for r in regions.area_summary(rows).collect()}
+    plain = {r[AREA]: r for r in regions.area_summary(rows).orderBy(1, 2).collect()}
     assert (plain["Murray Hill"].listings, plain["Murray Hill"].avgp, plain["Inwood"].listings) == (2, 40.01, 1)
-    merged = regions.area_summary_remapped(rows, new_york_areas(spark)).collect()
+    merged = regions.area_summary_remapped(rows, new_york_areas(spark)).orderBy(1, 2).collect()
     assert [(r[BOROUGH], r.neighbourhood_area, r.listings) for r in merged] == [
         ("Manhattan", "Inwood", 1),
         ("Manhattan", "Murray Hill-Kips Bay", 3),
