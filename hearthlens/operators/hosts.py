@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import fold, parse_money
 from ..schema import AREA, BOROUGH, RATING
@@ -15,26 +16,32 @@ from .running import numbered_within
 from .spread import sorted_rows
 
 _KEYS = ["_name_key", "_home_key"]
+PLAIN = "UTF8_BINARY"
 
 
-def _as_key(match: str) -> Callable[[str], Column]:
-    return (lambda c: fold(F.col(c))) if match == "ci" else F.col
+def _as_key(listings: DataFrame, match: str) -> Callable[[str], Column]:
+    """How names and places are compared: exactly, without case, or as the first collated one of these columns is."""
+    kinds = [listings.schema[c].dataType for c in ("host_name", "host_neighbourhood", AREA) if c in listings.columns]
+    collations = [k.collation for k in kinds if isinstance(k, StringType) and k.collation != PLAIN]
+    if not collations:
+        return (lambda c: fold(F.col(c))) if match == "ci" else F.col
+    if match == "ci":
+        return lambda c: fold(F.collate(F.col(c), PLAIN))
+    return lambda c: F.collate(F.col(c), collations[0])
 
 
-def _keyed(rows: DataFrame, match: str) -> DataFrame:
+def _keyed(rows: DataFrame, key: Callable[[str], Column]) -> DataFrame:
     """Rows with a host name and a home area, and the keys these are matched by."""
-    key = _as_key(match)
     keyed = rows.select("*", key("host_name").alias("_name_key"), key("host_neighbourhood").alias("_home_key"))
     return keyed.filter("_name_key is not null and _home_key is not null")
 
 
-def _places(listings: DataFrame, match: str) -> DataFrame:
+def _places(listings: DataFrame, key: Callable[[str], Column]) -> DataFrame:
     """The (host name, area) pairs that are both lived in and listed in, once each.
 
     Each listing is counted once for its host's home and once for its own area, so one pass and one
     group-by replace the self-join.
     """
-    key = _as_key(match)
     lives = F.struct(key("host_neighbourhood").alias("_home_key"), F.lit(True).alias("home"))
     lists = F.struct(key(AREA).alias("_home_key"), F.lit(False).alias("home"))
     places = listings.select(key("host_name").alias("_name_key"), F.inline(F.array(lives, lists)))
@@ -48,8 +55,9 @@ def _local_host_rows(listings: DataFrame, match: str) -> DataFrame:
 
     Adaptive execution splits the rows of a name that holds many of them, as the places hold each name and area once.
     """
-    hosts = _keyed(listings.select("host_id", "host_name", "host_neighbourhood").distinct(), match)
-    return hosts.join(_places(listings, match), _KEYS, "left_semi").drop(*_KEYS)
+    key = _as_key(listings, match)
+    hosts = _keyed(listings.select("host_id", "host_name", "host_neighbourhood").distinct(), key)
+    return hosts.join(_places(listings, key), _KEYS, "left_semi").drop(*_KEYS)
 
 
 def local_hosts(listings: DataFrame, match: str = "binary") -> DataFrame:
@@ -81,7 +89,8 @@ _DETAILS = [
 
 def _local_details(rows: DataFrame, hosts: DataFrame, match: str) -> DataFrame:
     """Distinct details of the rows whose host is local, by home area and then by score times reviews."""
-    local = _keyed(rows, match).join(_places(hosts, match), _KEYS, "left_semi").drop(*_KEYS)
+    key = _as_key(hosts, match)
+    local = _keyed(rows, key).join(_places(hosts, key), _KEYS, "left_semi").drop(*_KEYS)
     details = local.distinct().withColumnRenamed(BOROUGH, "borough")
     most_loved = F.desc(F.col(RATING) * F.col("number_of_reviews"))
     return sorted_rows(details, "host_neighbourhood", most_loved).drop("host_id")

@@ -7,7 +7,7 @@ import pytest
 from fixtures import listings, money, random_changes, rows_of
 from pyspark.sql import functions as F
 
-from hearthlens.operators import hosts, running, spread
+from hearthlens.operators import clean, hosts, running, spread
 
 
 def is_local(row, rows):
@@ -154,3 +154,12 @@ def test_host_concentration(spark):
     got = {r.more_than: r for r in hosts.host_concentration(hosts_with(spark, 1, 1, 2, 4)).collect()}
     assert {t: (r.hosts, r.listings) for t, r in got.items()} == {1: (2, 6), 2: (1, 4), 3: (1, 4)}
     assert (got[1].host_share, got[1].listing_share) == (0.5, 0.75)
+
+
+@pytest.mark.parametrize("columns", [["host_name"], ["host_neighbourhood"], ["neighbourhood_cleansed"], ["host_name", "host_neighbourhood"]])
+@pytest.mark.parametrize("match", ["binary", "ci"])
+def test_any_collated_columns_join(spark, columns, match):
+    rows = listings(spark, {}, {"host_name": "Bo", "host_neighbourhood": "harlem "}, {"host_name": None})
+    found = hosts.local_hosts(clean.collated(rows, columns), match=match)
+    assert [r.host_name for r in found.orderBy("host_name").collect()] == ["Ann", "Bo"]
+    assert hosts.local_host_listings(clean.collated(rows, columns), match=match).count() == 2
