@@ -11,8 +11,8 @@ listings AS (
     '/l/' || l_orderkey AS listing_url,
     CASE WHEN l_orderkey % 97 <> 0 THEN 'Order ' || l_orderkey END AS name,
     CASE WHEN l_partkey % 11 <> 0 THEN 'About ' || p_name END AS neighborhood_overview,
-    l_suppkey AS host_id,
-    CASE WHEN l_suppkey % 50 <> 0 THEN s_name END AS host_name,
+    l_orderkey AS host_id,
+    CASE WHEN l_orderkey % 50 <> 0 THEN 'Host ' || l_orderkey // 16 END AS host_name,
     CASE WHEN o_custkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) END AS host_since,
     CASE WHEN l_discount <> 0.01::DOUBLE THEN l_discount * 10 END AS host_response_rate,
     CASE WHEN l_tax <> 0.01::DOUBLE THEN l_tax * 10 END AS host_acceptance_rate,
@@ -24,8 +24,8 @@ listings AS (
     40 + area.n_nationkey / 100 AS latitude,
     -74 + home.n_nationkey / 100 AS longitude,
     p_type AS property_type,
-    o_orderpriority AS room_type,
-    l_linenumber AS accommodates,
+    CASE WHEN l_orderkey % 89 <> 0 THEN o_orderpriority END AS room_type,
+    l_linenumber - 1 AS accommodates,
     CASE p_size % 6 WHEN 0 THEN 'Half-bath' WHEN 1 THEN '1 bath' WHEN 2 THEN '1.5 baths'
       WHEN 3 THEN '2 shared baths' WHEN 5 THEN 'Shared half-bath' END AS bathrooms_text,
     nullif(l_linenumber, 7)::DOUBLE AS bedrooms,
@@ -37,7 +37,7 @@ listings AS (
     (p_size + 10)::DOUBLE AS availability_90,
     (p_size * 7)::DOUBLE AS availability_365,
     p_size AS number_of_reviews,
-    CASE WHEN l_tax <> 0 THEN l_quantity / 10 END AS review_scores_rating,
+    CASE WHEN l_tax = 0 THEN NULL WHEN l_quantity = 50 THEN 5.5::DOUBLE ELSE (l_quantity - 1) / 10 END AS review_scores_rating,
     5 - l_tax * 10 AS review_scores_accuracy,
     5 - l_discount * 10 AS review_scores_cleanliness,
     5 - l_tax * 20 AS review_scores_checkin,
@@ -49,9 +49,8 @@ listings AS (
   LEFT JOIN orders ON o_orderkey = l_orderkey
   LEFT JOIN customer ON c_custkey = o_custkey
   LEFT JOIN nation area ON area.n_nationkey = c_nationkey
-  LEFT JOIN region ON r_regionkey = area.n_regionkey
-  LEFT JOIN supplier ON s_suppkey = l_suppkey
-  LEFT JOIN nation home ON home.n_nationkey = s_nationkey
+  LEFT JOIN region ON r_regionkey = (area.n_regionkey + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) % 5
+  LEFT JOIN nation home ON home.n_nationkey = l_orderkey % 25
   LEFT JOIN part ON p_partkey = l_partkey
 ),
 valued AS (
