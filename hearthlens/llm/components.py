@@ -16,7 +16,7 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node in ``links`` (``a``, ``b``).
 
     Stars alternate: each node first passes its smallest neighbour to the larger ones, then to the smaller ones, until
-    every node hangs on its component's smallest. Every round is written to the shared folder. A hub's links are not
+    every node hangs on its component's smallest. Every round is one query, written to the shared folder. A hub's links are not
     gathered; they meet its smallest neighbour in a join.
     """
     links = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -25,7 +25,6 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b")).distinct()
-        large = written(large, "links")
         low = large.groupBy("a").agg(F.min("b").alias("_low"))
         under = large.join(low, "a")
         small = under.select("a", F.col("_low").alias("b")).unionByName(
