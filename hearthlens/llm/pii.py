@@ -14,15 +14,15 @@ from pyspark.sql.window import Window
 from .tables import id_of, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Seeds of different text that a lexical pattern needs: so many, and this part of its kind's. By number alone, every frequent pair of words
-#: would become a pattern of a large corpus.
+#: Seeds of different text that a lexical pattern needs.
 LEAST_SEEDS = 5
-LEAST_PART = 0.005
 #: How much of a pattern's slot must be trusted.
 LEAST_TRUST = 0.8
 ROUNDS = 3
 #: Slots that hold nothing known, added to a pattern's, so that few sightings convince little.
 DOUBT = 1.0
+#: One in so many documents is looked through first for patterns that already fail there.
+FIRST_LOOK = 16
 
 # The fixed patterns. A guard in front keeps a long run of characters from being tried anew at each of its places, and
 # possessive repeats keep what cannot match otherwise from being tried again; neither changes what is found.
@@ -135,39 +135,50 @@ def discovered(
     docs: DataFrame,
     matches: DataFrame,
     least_seeds: int = LEAST_SEEDS,
-    least_part: float = LEAST_PART,
     least_trust: float = LEAST_TRUST,
 ) -> DataFrame:
     """Words with a digit that trusted patterns give away: ``_id _text kind start end``, none overlapping a base match.
 
     A pattern is two words next to a seed and the seed's kind. Its trust is the trusted part of all words, known or not, that stand in
-    its slot anywhere in the corpus; so what stands next to everything convinces nobody.
+    its slot anywhere in the corpus; so what stands next to everything convinces nobody. A pattern whose trust would be too low if all
+    words with a digit in its slot were identifiers takes no part; no other is left out.
     """
     seeds = written(_seed_patterns(matches), "seeds")
     several = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_seeds"), F.sum("times").alias("_known"))
-    # One number for each of the kinds.
-    ofs = seeds.select("kind", "instance").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("_of"))
-    several = several.join(F.broadcast(ofs), "kind").filter(F.col("_seeds") >= F.greatest(F.lit(least_seeds), F.col("_of") * least_part))
-    several = written(several.drop("_of"), "patterns")
+    several = written(several.filter(F.col("_seeds") >= least_seeds), "patterns")
     if several.isEmpty():
         spans = "_id long, _text long, kind string, start long, end long"
         return docs.sparkSession.createDataFrame([], spans)
-    slots = _word_slots(docs)
-    both = slots.select("_id", "_text", "at", "word", F.explode(F.array("left", "right")).alias("pattern"))
-    wanted = several.select("pattern").distinct()
-    seen = both.join(wanted, "pattern", "left_semi")
-    # All sightings of a pattern, counted before they move; and those of words that may be identifiers.
-    totals = written(seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("_all")), "totals")
+
+    def seen(slots: DataFrame, patterns: DataFrame) -> DataFrame:
+        both = slots.select("_id", "_text", "at", "word", F.explode(F.array("left", "right")).alias("pattern"))
+        return both.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+
+    # Words that may be identifiers, at every pattern. They are the most that can ever add to a pattern's seeds.
     trimmed = F.regexp_replace("word", r"^[(\[\"'<]+|[)\]\"'>.,;:!?]+$", "")
-    sightings = seen.filter("word is not null").withColumn("word", trimmed)
+    sightings = seen(_word_slots(docs).filter("word is not null"), several).withColumn("word", trimmed)
     sightings = written(sightings.filter(F.regexp_like("word", F.lit("[0-9]"))), "sightings")
+    candidates = sightings.groupBy("pattern").agg(F.count(F.lit(1)).alias("_most"))
+    several = written(several.join(candidates, "pattern", "left").fillna(0, ["_most"]), "bounded")
+
+    def possible(patterns: DataFrame, totals: DataFrame) -> DataFrame:
+        counted = patterns.join(totals, "pattern", "left").withColumn("_all", F.greatest("_all", "_known"))
+        return counted.filter((F.col("_known") + F.col("_most")) / (F.col("_all") + DOUBT) >= least_trust)
+
+    def sights(part: DataFrame, patterns: DataFrame) -> DataFrame:
+        return seen(_word_slots(part), patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("_all"))
+
+    # What a few documents hold is less than the whole, so a pattern that fails by their count fails. This spares counting, in all
+    # documents, the many frequent pairs of words that stand next to some seed by chance.
+    few = docs.filter(F.pmod(F.xxhash64(*row_key()), F.lit(FIRST_LOOK)) == 0)
+    several = written(possible(several, sights(few, several)).drop("_all"), "patterns")
+    base = written(possible(several, sights(docs, several)).select("kind", "pattern", "_known", "_all"), "base")
+    sightings = sightings.join(base.select("pattern").distinct(), "pattern", "left_semi")
     edges = sightings.groupBy("pattern", F.xxhash64(F.lower("word")).alias("instance")).agg(F.count(F.lit(1)).alias("times"))
     known = seeds.select("kind", "instance").distinct().withColumn("_seed", F.lit(1.0))
-    edges = edges.join(several.select("kind", "pattern"), "pattern").join(known, ["kind", "instance"], "left")
+    edges = edges.join(base.select("kind", "pattern"), "pattern").join(known, ["kind", "instance"], "left")
     edges = written(edges, "edges").filter("_seed is null")
     # What a pattern's seeds fill of its slots is trusted from the start.
-    base = several.join(totals, "pattern").select("kind", "pattern", "_known", F.greatest("_all", "_known").alias("_all"))
-    base = written(base, "base")
     trust = base.withColumn("_trust", F.col("_known") / (F.col("_all") + DOUBT))
     for _ in range(ROUNDS):
         # An identifier is doubted only as far as all its patterns are.

@@ -239,6 +239,15 @@ def test_context_gives_identifiers_away(spark):
     assert got[100] == "phone:23:31" and got[101] == ""
 
 
+def test_a_pattern_of_few_seeds_counts_among_many(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{rng.random():.9f}a b{i} +1 555 {100000 + i} c{i} d{i}") for i in range(2000)]
+    rows += [(i, f"please ring desk +1 777 {100000 + i} until six pm") for i in range(5000, 5009)]
+    rows += [(9000, "so ring desk 0800-555 until six")]
+    got = {r.doc_id: r.spans for r in pii.span_report(table(spark, rows)).collect()}
+    assert got[9000] == "phone:13:21" and got[5000] == "phone:17:30"
+
+
 def test_quality(spark, edge, empty):
     rng = random.Random(2)
     good = [(i, " ".join(rng.choice("sun moon star wind rain snow".split()) for _ in range(40))) for i in range(150)]
