@@ -23,6 +23,12 @@ ROUNDS = 3
 DOUBT = 1.0
 #: One in so many documents is looked through first for patterns that already fail there.
 FIRST_LOOK = 16
+#: Most words between two patterns: a card of 19 digits with a blank after each.
+MOST_WORDS = 19
+#: What a word must have to be taken for an identifier by a pattern at one side alone, and to lend that pattern trust: a digit, or for
+#: addresses another sign between letters.
+_SHAPED = {k: "[0-9]" for k in KINDS} | {"email": r"[0-9]|[\p{L}_][^\p{L}\p{M}_\s'’-]+[\p{L}_]"}
+_AHEAD, _BEHIND = r"^[(\[\"'<]+", r"[)\]\"'>.,;:!?]+$"
 
 # The fixed patterns. A guard in front keeps a long run of characters from being tried anew at each of its places, and
 # possessive repeats keep what cannot match otherwise from being tried again; neither changes what is found.
@@ -102,14 +108,14 @@ def _matches(docs: DataFrame) -> DataFrame:
 
 
 def _word_slots(docs: DataFrame) -> DataFrame:
-    """Each word of each text with hashes of the two words before it and after it, and the word itself if it has a digit."""
+    """Each word of each text with hashes of the two words before it and after it, and the word itself if it is shaped for any kind."""
     texts = docs.select(*row_key(), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", -1).alias("_words"))
     hashed = texts.select("_id", "_text", "_words", F.transform("_words", lambda w: F.xxhash64(F.lower(w))).alias("_hashes"))
     cells = F.transform(
         F.sequence(F.lit(0), F.size("_words") - 1),
         lambda i: F.struct(
             i.alias("at"),
-            F.when(F.regexp_like(F.get("_words", i), F.lit("[0-9]")), F.get("_words", i)).alias("word"),
+            F.when(F.regexp_like(F.get("_words", i), F.lit(_SHAPED["email"])), F.get("_words", i)).alias("word"),
             F.xxhash64(F.lit("L"), F.get("_hashes", i - 2), F.get("_hashes", i - 1)).alias("left"),
             F.xxhash64(F.lit("R"), F.get("_hashes", i + 1), F.get("_hashes", i + 2)).alias("right"),
         ),
@@ -137,11 +143,15 @@ def discovered(
     least_seeds: int = LEAST_SEEDS,
     least_trust: float = LEAST_TRUST,
 ) -> DataFrame:
-    """Words with a digit that trusted patterns give away: ``_id _text kind start end``, none overlapping a base match.
+    """What trusted patterns give away: ``_id _text kind start end``, also where a base match is.
 
     A pattern is two words next to a seed and the seed's kind. Its trust is the trusted part of all words, known or not, that stand in
     its slot anywhere in the corpus; so what stands next to everything convinces nobody. A pattern whose trust would be too low if all
-    words with a digit in its slot were identifiers takes no part; no other is left out.
+    shaped words in its slot were identifiers takes no part; no other is left out.
+
+    Between trusted patterns of a kind at both sides, all of the one to :data:`MOST_WORDS` words is an identifier, whatever it looks like.
+    Next to one trusted pattern alone, it is the one word in its slot, if shaped for the kind. In scoring, an instance is likewise a shaped
+    word, or all words between two patterns if each is shaped.
     """
     seeds = written(_seed_patterns(matches), "seeds")
     several = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_seeds"), F.sum("times").alias("_known"))
@@ -151,33 +161,41 @@ def discovered(
         return docs.sparkSession.createDataFrame([], spans)
 
     def seen(slots: DataFrame, patterns: DataFrame) -> DataFrame:
-        both = slots.select("_id", "_text", "at", "word", F.explode(F.array("left", "right")).alias("pattern"))
+        sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("pattern")) for n in ("left", "right")])
+        both = slots.select("_id", "_text", "at", "word", F.inline(sides))
         return both.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
 
     # Words that may be identifiers, at every pattern. They are the most that can ever add to a pattern's seeds.
-    trimmed = F.regexp_replace("word", r"^[(\[\"'<]+|[)\]\"'>.,;:!?]+$", "")
-    sightings = seen(_word_slots(docs).filter("word is not null"), several).withColumn("word", trimmed)
-    sightings = written(sightings.filter(F.regexp_like("word", F.lit("[0-9]"))), "sightings")
-    candidates = sightings.groupBy("pattern").agg(F.count(F.lit(1)).alias("_most"))
-    several = written(several.join(candidates, "pattern", "left").fillna(0, ["_most"]), "bounded")
+    some = seen(_word_slots(docs).filter("word is not null"), several).withColumn("word", _trimmed("word"))
+    some = some.join(several.select("kind", "pattern"), "pattern")
+    sightings = written(some.filter(_shaped("word")).withColumn("instance", F.xxhash64(F.lower("word"))), "sightings")
+    candidates = sightings.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_most"))
+    several = written(several.join(candidates, ["kind", "pattern"], "left").fillna(0, ["_most"]), "bounded")
 
     def possible(patterns: DataFrame, totals: DataFrame) -> DataFrame:
         counted = patterns.join(totals, "pattern", "left").withColumn("_all", F.greatest("_all", "_known"))
         return counted.filter((F.col("_known") + F.col("_most")) / (F.col("_all") + DOUBT) >= least_trust)
 
-    def sights(part: DataFrame, patterns: DataFrame) -> DataFrame:
-        return seen(_word_slots(part), patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("_all"))
+    def count(sights: DataFrame) -> DataFrame:
+        return sights.groupBy("pattern").agg(F.count(F.lit(1)).alias("_all"))
 
     # What a few documents hold is less than the whole, so a pattern that fails by their count fails. This spares counting, in all
     # documents, the many frequent pairs of words that stand next to some seed by chance.
     few = docs.filter(F.pmod(F.xxhash64(*row_key()), F.lit(FIRST_LOOK)) == 0)
-    several = written(possible(several, sights(few, several)).drop("_all"), "patterns")
-    base = written(possible(several, sights(docs, several)).select("kind", "pattern", "_known", "_all"), "base")
-    sightings = sightings.join(base.select("pattern").distinct(), "pattern", "left_semi")
-    edges = sightings.groupBy("pattern", F.xxhash64(F.lower("word")).alias("instance")).agg(F.count(F.lit(1)).alias("times"))
+    several = written(possible(several, count(seen(_word_slots(few), several))).drop("_all"), "patterns")
+    hits = written(seen(_word_slots(docs), several).drop("word"), "hits")
+    base = written(possible(several, count(hits)).select("kind", "pattern", "_known", "_all"), "base")
+    hits = written(hits.join(base.select("kind", "pattern"), "pattern"), "hits")
+    sightings = sightings.join(base.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
+    # Several shaped words between two patterns are one instance of both, instead of one word each.
+    several_words = _instances(docs, _between(hits).filter("last > first"))
+    ends = [F.struct(F.col(n).alias("pattern"), F.col(at).alias("at")) for n, at in (("left", "first"), ("right", "last"))]
+    several_words = written(several_words.select("_id", "_text", "kind", F.inline(F.array(*ends)), "instance"), "several-words")
+    one_word = sightings.join(several_words, ["_id", "_text", "kind", "pattern", "at"], "left_anti")
+    edges = one_word.select("kind", "pattern", "instance").unionByName(several_words.select("kind", "pattern", "instance"))
+    edges = edges.groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("times"))
     known = seeds.select("kind", "instance").distinct().withColumn("_seed", F.lit(1.0))
-    edges = edges.join(base.select("kind", "pattern"), "pattern").join(known, ["kind", "instance"], "left")
-    edges = written(edges, "edges").filter("_seed is null")
+    edges = written(edges.join(known, ["kind", "instance"], "left"), "edges").filter("_seed is null")
     # What a pattern's seeds fill of its slots is trusted from the start.
     trust = base.withColumn("_trust", F.col("_known") / (F.col("_all") + DOUBT))
     for _ in range(ROUNDS):
@@ -193,11 +211,55 @@ def discovered(
         )
         trust = written(trust.select("kind", "pattern", "_trust"), "trust")
     good = trust.filter(F.col("_trust") >= least_trust)
+    whole = _between(hits.join(good, ["kind", "pattern"]))
+    whole = written(whole.select("_id", "_text", "kind", "first", "last", "_trust"), "whole")
+    single = sightings.join(good, ["kind", "pattern"]).select("_id", "_text", "kind", F.col("at").alias("first"), F.col("at").alias("last"), "_trust")
+    covered = whole.groupBy("_id", "_text").agg(F.collect_list(F.struct("first", "last")).alias("_whole"))
+    inside = F.exists("_whole", lambda w: (w["first"] <= F.col("first")) & (w["last"] >= F.col("last")))
+    single = single.join(covered, ["_id", "_text"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("_whole")
     kinds = F.array(*[F.lit(k) for k in KINDS])
-    chosen = sightings.join(good, "pattern").groupBy("_id", "_text", "at", "word")
+    chosen = whole.unionByName(single).groupBy("_id", "_text", "first", "last")
     chosen = chosen.agg(F.max_by("kind", F.struct("_trust", -F.array_position(kinds, F.col("kind")))).alias("kind"))
-    chosen = written(chosen, "chosen")
-    return _places(docs, chosen)
+    return _places(docs, written(chosen, "chosen"))
+
+
+def _trimmed(word: str) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, _AHEAD, ""), _BEHIND, "")
+
+
+def _shaped(word: str | Column) -> Column:
+    """Whether a word is shaped for the row's ``kind``."""
+    return F.coalesce(*[F.when(F.col("kind") == k, F.regexp_like(word, F.lit(_SHAPED[k]))) for k in KINDS])
+
+
+def _between(hits: DataFrame) -> DataFrame:
+    """What stands between a left and the next right pattern of its kind: ``_id _text kind first last left right``, and the lesser ``_trust``.
+
+    ``first`` and ``last`` are numbers of words. Stretches of a kind don't overlap: each pattern is next to the other.
+    """
+    trust = F.col("_trust") if "_trust" in hits.columns else F.lit(1.0)
+    end = F.struct(F.col("at").alias("last"), F.col("pattern").alias("right"), trust.alias("_least"))
+    # From the end of a text, with the right patterns of a word before its left one.
+    back = Window.partitionBy("_id", "_text", "kind").orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = hits.withColumn("_end", F.last(F.when(F.col("side") == "right", end), ignorenulls=True).over(back))
+    rows = rows.filter((F.col("side") == "left") & (F.col("_end.last") - F.col("at") < MOST_WORDS))
+    start = F.struct(F.col("at").alias("first"), F.col("pattern").alias("left"), trust.alias("_own"))
+    rows = rows.groupBy("_id", "_text", "kind", "_end").agg(F.max(start).alias("_start"))
+    return rows.select("_id", "_text", "kind", "_start.*", "_end.*").withColumn("_trust", F.least("_own", "_least")).drop("_own", "_least")
+
+
+def _instances(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The stretches all of whose words are shaped for their kind, with ``instance``, the hash of the words."""
+    each = stretches.groupBy("_id", "_text").agg(F.collect_list(F.struct("kind", "first", "last", "left", "right")).alias("_stretches"))
+    texts = docs.select(*row_key(), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", -1).alias("_words"))
+    cells = F.transform(
+        "_stretches",
+        lambda s: F.struct(*[s[n].alias(n) for n in ("kind", "first", "last", "left", "right")],
+                           F.slice("_words", s["first"] + 1, s["last"] - s["first"] + 1).alias("_inner")),
+    )
+    rows = texts.join(each, ["_id", "_text"]).select("_id", "_text", F.inline(cells))
+    rows = rows.filter(F.forall("_inner", _shaped)).withColumn("_inner", F.array_join("_inner", " "))
+    return rows.withColumn("instance", F.xxhash64(F.lower(_trimmed("_inner")))).drop("_inner")
 
 
 def _places(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -219,10 +281,15 @@ def _places(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     along = Window.partitionBy("_id", "_text").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.when(F.length("_word") > 0, F.length("_word") + F.col("_blank")).otherwise(0)
     rows = rows.withColumn("_end", F.sum(whole).over(along))
-    found = rows.join(chosen, ["_id", "_text", "at"])
-    start = F.col("_end") - F.length("_word") + F.expr("instr(_word, word)") - 1
-    found = found.withColumn("start", start.cast("long"))
-    return found.select("_id", "_text", "kind", "start", (F.col("start") + F.length("word")).cast("long").alias("end"))
+    ends = F.array(*[F.struct(F.lit(n).alias("_is"), F.col(n).alias("at")) for n in ("first", "last")])
+    found = rows.join(chosen.select("*", F.inline(ends)), ["_id", "_text", "at"])
+    start = F.col("_end") - F.length(F.regexp_replace("_word", _AHEAD, ""))
+    end = F.col("_end") - F.length("_word") + F.length(F.regexp_replace("_word", _BEHIND, ""))
+    found = found.groupBy("_id", "_text", "kind", "first", "last").agg(
+        F.max(F.when(F.col("_is") == "first", start)).cast("long").alias("start"),
+        F.max(F.when(F.col("_is") == "last", end)).cast("long").alias("end"),
+    )
+    return found.filter("end > start").select("_id", "_text", "kind", "start", "end")
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:

@@ -239,6 +239,23 @@ def test_context_gives_identifiers_away(spark):
     assert got[100] == "phone:23:31" and got[101] == ""
 
 
+def test_context_gives_away_addresses_without_digits_and_spaced_numbers(spark):
+    rows = [(i, f"noise {i * 7} here, please call support +1 555 010-{1000 + i} now or never") for i in range(30)]
+    rows += [(50 + i, f"for more write to {'abcdefghij'[i % 10] * (1 + i // 10)}@corp.example or come by") for i in range(30)]
+    texts = {
+        100: ("please call support 0800 555 1234 now or never", "phone", "0800 555 1234"),
+        101: ("for more write to jane.doe(at)corp or come by", "email", "jane.doe(at)corp"),
+        102: ("for more write to <jane@localhost>, or come by", "email", "jane@localhost"),
+        103: ("for more write to jane doe at corp or come by", "email", "jane doe at corp"),
+        104: ("please write to jane@localhost today", "email", "jane@localhost"),
+    }
+    rows += [(i, text) for i, (text, _, _) in texts.items()] + [(200, "jane@localhost 0800 555 1234 now and then, write to")]
+    got = {r.doc_id: r.spans for r in pii.span_report(table(spark, rows)).collect()}
+    for i, (text, kind, found) in texts.items():
+        assert got[i] == f"{kind}:{text.index(found)}:{text.index(found) + len(found)}"
+    assert got[200] == ""
+
+
 def test_a_pattern_of_few_seeds_counts_among_many(spark):
     rng = random.Random(6)
     rows = [(i, f"{rng.random():.9f}a b{i} +1 555 {100000 + i} c{i} d{i}") for i in range(2000)]
