@@ -336,6 +336,22 @@ def test_permutation_index_recall(spark):
     assert permutation_index.nearest(df.limit(0)).count() == 0
 
 
+def test_permutation_index_recall_where_postings_decide(spark):
+    rows = np.random.default_rng(8).normal(size=(6000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    # Two blocks, each far above the number that is scored at least.
+    assert permutation_index.SHARE * len(rows) / 2 > 2 * permutation_index.LEAST
+    got = defaultdict(set)
+    for r in permutation_index.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, len(rows), 20):
+        scores = rows.astype(float) @ rows[q].astype(float)
+        scores[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_top_k_is_exact(spark):
     df = vectors(spark)
     got = defaultdict(list)
