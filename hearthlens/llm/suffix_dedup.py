@@ -1,10 +1,11 @@
 """Removal of repeated passages: byte strings of a given length that also start earlier in the corpus.
 
-Sampled prefix doubling. In every string of the length looked for, one place is sampled: the one whose k bytes hash lowest, which
-depends on the string alone, so equal strings sample the same place. Spark ranks the sampled places by their k bytes and drops those whose rank
-is unique. The others get the pair of that rank and the rank of everything that strings sampled there reach, and Spark sorts
-by the pair: a place that is not the first of its pair repeats as a whole. First places that share only the
-short rank are ranked once more, string by string, at the full length, past which nothing is left to tell apart.
+Winnowing and grouping by hashes, in place of prefix doubling: no ranks are sorted, and there are no rounds with growing offsets. In every
+string of the length looked for, one place is sampled: the one whose k bytes hash lowest, which depends on the string alone, so equal
+strings sample the same place. Spark groups the sampled places by the hash of their k bytes and drops those whose hash is unique. The others
+are grouped by that hash and the hash of everything that strings sampled there reach: a place that is not the first of its group repeats as a
+whole. First places that share only the short hash are compared string by string, by a hash of the full length. "Rank" below is the short hash.
+Strings count as equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
