@@ -12,6 +12,7 @@ from . import (
     best_fit_packing,
     language_id,
     line_dedup,
+    merkle_manifest,
     mixing,
     permutation_index,
     pii,
@@ -72,6 +73,10 @@ def op10_pivot_table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_table_search.nearest(read(spark, sf_dir, "embeddings"), k=20)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.tampering_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_permutation_index,
         op10_pivot_table_search,
+        op11_merkle_manifest,
     )
 }
 
@@ -92,4 +98,5 @@ ORACLE = {
     "op5_line_dedup": line_dedup.REPORT_SQL,
     "op8_mixing": mixing.REPORT_SQL,
     "op10_pivot_table_search": pivot_table_search.SEARCH_SQL,
+    "op11_merkle_manifest": merkle_manifest.REPORT_SQL,
 }
