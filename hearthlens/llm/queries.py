@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     best_fit_packing,
+    divergence_audit,
     language_id,
     line_dedup,
     merkle_manifest,
@@ -77,6 +78,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.tampering_report(read(spark, sf_dir, "documents"))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_permutation_index,
         op10_pivot_table_search,
         op11_merkle_manifest,
+        op12_divergence_audit,
     )
 }
 
@@ -99,4 +105,5 @@ ORACLE = {
     "op8_mixing": mixing.REPORT_SQL,
     "op10_pivot_table_search": pivot_table_search.SEARCH_SQL,
     "op11_merkle_manifest": merkle_manifest.REPORT_SQL,
+    "op12_divergence_audit": divergence_audit.AUDIT_SQL,
 }
