@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (
     best_fit_packing,
     divergence_audit,
+    embedding_dedup,
     language_id,
     line_dedup,
     merkle_manifest,
@@ -82,6 +83,10 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(read(spark, sf_dir, "documents"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pivot_table_search,
         op11_merkle_manifest,
         op12_divergence_audit,
+        op13_embedding_dedup,
     )
 }
 
