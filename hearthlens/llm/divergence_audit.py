@@ -2,14 +2,15 @@
 
 K-squared quadtree over the group-term count matrix: groups (a language's sources) are rows, terms columns. The matrix is cut into stripes of
 columns and tiles of rows. In each, the places of counts become interleaved codes; the distinct prefixes of these, level by level, are
-the quadrants that hold anything. For a pair of tiles their trees are traversed jointly: a block of columns in which neither has a count is
-left at once, as all its terms are priced alike, from the groups' totals alone; only leaves that hold counts are evaluated, for all
-pairs of their groups at once. Everything is integers, so the result does not depend on how the matrix was cut.
+the quadrants that hold anything. What is zero in both groups of a pair is priced at once from their totals alone, and a count against a zero
+by how many of the group's counts are equal. For the rest, the trees of a pair of tiles are traversed jointly: only leaves that both hold
+are visited, for all pairs of their groups at once. Everything is integers, so the result does not depend on how the matrix was cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,33 +46,28 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, list[int]]] = {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
 
-        def passed_on() -> pa.RecordBatch:
-            rows = [(*group, term.decode("utf-8", "replace"), *x) for group, found in held.items() for term, x in found.items()]
-            columns = list(zip(*rows)) if rows else [()] * 5
-            kinds = [*[pa.string()] * 3, pa.int64(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "term", "n", "docs"])
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for group, (n, docs_) in held.items():
+                columns = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in group]
+                columns.append(pa.array(list(n), pa.binary()).cast(pa.string()))
+                columns += [pa.array(list(n.values()), pa.int64()), pa.array(list(map(docs_.__getitem__, n)), pa.int64())]
+                yield pa.record_batch(columns, names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = held.setdefault((lang, source), {})
-                size -= len(found)
-                seen = set()
-                for term in terms(text.as_py()):
-                    at = found.get(term)
-                    if at is None:
-                        at = found[term] = [0, 0]
-                    at[0] += 1
-                    if term not in seen:
-                        seen.add(term)
-                        at[1] += 1
-                size += len(found)
+                n, docs_ = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(n)
+                found = terms(text.as_py())
+                n.update(found)
+                docs_.update(set(found))
+                size += len(n)
                 if size > HELD:
-                    yield passed_on()
+                    yield from passed_on()
                     held, size = {}, 0
-        yield passed_on()
+        yield from passed_on()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")])
     counted = rows.mapInArrow(count, "lang string, source string, term string, n long, docs long")
@@ -95,78 +91,116 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Quadtree:
     """The quadrants of a sparse matrix that hold anything: at each level, the sorted codes of these.
 
-    A cell's code interleaves the bits of its row and column (numbers below 2**16), so its quadrant ``level`` levels above the cells is
-    the code without the last ``2 * level`` bits. A quadrant that is not listed is zero throughout.
+    A code interleaves the bits of a row and a column (numbers below 2**16), so the quadrant a level higher is the code without its last two
+    bits. A quadrant that is not listed is zero throughout. The leaves are squares of ``leaf`` cells a side.
     """
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, leaf: int):
-        self.floor = leaf.bit_length() - 1
-        found = np.unique(self._code(rows >> self.floor, columns >> self.floor))
-        self.levels = [found]
-        while len(self.levels[-1]) > 1 or (len(self.levels[-1]) and self.levels[-1][0] > 0):
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, leaf: int = LEAF):
+        self.levels = [np.unique(quadrant(rows // leaf, columns // leaf))]
+        while self.levels[-1].max(initial=0) > 0:
             self.levels.append(np.unique(self.levels[-1] >> 2))
-        self.sets = [set(level.tolist()) for level in self.levels]
 
-    @staticmethod
-    def _spread(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.int64)
-        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-            x = (x | (x << shift)) & mask
-        return x
+    def holds(self, level: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which quadrants hold anything; ``level`` 0 are the leaves."""
+        return np.isin(quadrant(rows, columns), self.levels[min(level, len(self.levels) - 1)])
 
-    @classmethod
-    def _code(cls, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        return (cls._spread(rows) << 1) | cls._spread(columns)
 
-    def holds(self, level: int, row: int, column: int) -> bool:
-        """Whether the quadrant has a count; ``level`` 0 are the leaves."""
-        if level >= len(self.levels):
-            return bool(len(self.levels[0])) and not (row or column)
-        code = int(self._code(np.array([row]), np.array([column]))[0])
-        return code in self.sets[level]
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64)
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        x = (x | (x << shift)) & mask
+    return x
 
 
-def joint_leaves(left: Quadtree, right: Quadtree) -> Iterator[tuple[int, int, int]]:
-    """``(row of left, row of right, column)`` of the leaf blocks in which either has a count.
+def quadrant(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return (_spread(rows) << 1) | _spread(columns)
 
-    Both are descended together. Where both quadrants are zero nothing is visited.
+
+def joint_leaves(left: Quadtree, right: Quadtree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of left, row of right, column)`` of the leaf blocks in which both have a count.
+
+    Both trees are descended together, a level at a time. Where either quadrant is zero nothing is visited.
     """
-    top = max(len(left.levels), len(right.levels)) - 1
-    todo = [(top, 0, 0, 0)]
-    while todo:
-        level, a, b, column = todo.pop()
-        if not (left.holds(level, a, column) or right.holds(level, b, column)):
-            continue
+    level = max(len(left.levels), len(right.levels)) - 1
+    a = b = column = np.zeros(1, np.int64)
+    while True:
+        both = left.holds(level, a, column) & right.holds(level, b, column)
+        a, b, column = a[both], b[both], column[both]
         if level == 0:
-            yield a, b, column
-        else:
-            todo += [(level - 1, 2 * a + i, 2 * b + j, 2 * column + k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
-
-
-def _pair_sums(left: np.ndarray, right: np.ndarray, wholes: tuple, trees: tuple, priced: int, same: bool) -> list[np.ndarray]:
-    """Sums of the distances of all left from all right groups over a stripe's terms, less what they would be if all counts were zero,
-    and the other way round unless both are the ``same``. ``priced`` terms are added at the price of zero counts."""
-    p, q = (shares(n, w[:, None]) for n, w in zip((left, right), wholes))
-    p0, q0 = (shares(np.zeros(1, np.int64), w) for w in wholes)
-    zero = [distances(p0[:, None], q0[None, :]), distances(q0[None, :], p0[:, None])][: 1 + (not same)]
-    sums = [z * priced for z in zero]
-    for i, j, c in joint_leaves(*trees):
-        rows, others, columns = (slice(x * LEAF, (x + 1) * LEAF) for x in (i, j, c))
-        a, b = p[rows, columns][:, None, :], q[others, columns][None, :, :]
-        for total, z, x, y in zip(sums, zero, (a, b), (b, a)):
-            total[rows, others] += distances(x, y).sum(axis=2) - z[rows, others] * a.shape[2]
-    return sums
-
-
-def _standing_out(sources: list[str], n: np.ndarray, p: np.ndarray, q: np.ndarray, names: list[str], top: int) -> Iterator[tuple]:
+            return a, b, column
+        level -= 1
+        a, b, column = (np.repeat(2 * x, 8) + np.tile(np.arange(8) >> bit & 1, len(x)) for x, bit in ((a, 0), (b, 1), (column, 2)))
+
+
+class Side:
+    """The counts of one tile of groups in one stripe, by blocks of rows and then by columns."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, n: np.ndarray, wholes: np.ndarray, width: int):
+        self.width = -(-width // LEAF) * LEAF
+        order = np.lexsort((columns, rows // LEAF))
+        self.rows, self.columns, n = rows[order], columns[order], n[order]
+        keys = self.rows // LEAF * self.width + self.columns
+        self.ends = np.searchsorted(keys, np.arange(-(-len(wholes) // LEAF) * self.width + 1))
+        self.tree = Quadtree(self.rows, self.columns)
+        self.p, self.zero = shares(n, wholes[self.rows]), shares(np.zeros(1, np.int64), wholes)
+        # A group's equal counts are priced alike.
+        order = np.lexsort((n, self.rows))
+        rows, n = self.rows[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (n[1:] != n[:-1])])) if len(n) else np.zeros(0, np.int64)
+        self.some_rows, self.some_p = rows[first], self.p[order][first]
+        self.times = np.diff(np.concatenate([first, [len(n)]]))
+
+
+def met(left: Side, right: Side, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the left and right counts that share a column, by the leaves that both trees hold; about ``most`` at once."""
+    a, b, column = joint_leaves(left.tree, right.tree)
+    begin, end = (left.ends[a * left.width + (column + k) * LEAF] for k in (0, 1))
+    block = np.repeat(np.arange(len(a)), end - begin)
+    i = np.arange(len(block)) - np.repeat(np.cumsum(end - begin) - end, end - begin)
+    key = b[block] * right.width + left.columns[i]
+    first, times = right.ends[key], right.ends[key + 1] - right.ends[key]
+    upto = np.cumsum(times)
+    at = 0
+    while at < len(i):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most)))
+        part = slice(at, to)
+        j = np.arange(times[part].sum()) + np.repeat(first[part] - (upto[part] - times[part] - (upto[at] - times[at])), times[part])
+        yield np.repeat(i[part], times[part]), j
+        at = to
+
+
+def _pair_sums(x: Side, y: Side, priced: int, joint: Callable[[], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """Sums of the distances of all groups of ``x`` from all of ``y``.
+
+    ``priced`` terms are added as if neither had any count. To this comes what each count changes if the other group has none, and
+    last what two counts of one term change that each alone doesn't.
+    """
+    zero = distances(x.zero[:, None], y.zero[None, :])
+    total = zero * priced
+    alone = distances(x.some_p[:, None], y.zero[None, :]) - zero[x.some_rows]
+    np.add.at(total, x.some_rows, x.times[:, None] * alone)
+    alone = distances(x.zero[None, :], y.some_p[:, None]) - zero.T[y.some_rows]
+    np.add.at(total.T, y.some_rows, y.times[:, None] * alone)
+    flat = total.reshape(-1)
+    for i, j in joint():
+        g, h, p, q = x.rows[i], y.rows[j], x.p[i], y.p[j]
+        pair = g * len(y.zero) + h
+        np.add.at(flat, pair, distances(p, q) - distances(p, y.zero[h]) - distances(x.zero[g], q) + zero.reshape(-1)[pair])
+    return total
+
+
+def _standing_out(side: Side, sources: list[str], q: np.ndarray, names: list[str], top: int) -> Iterator[tuple]:
     """``(source, term, value)`` of the ``top`` terms of each group that are more frequent in it than in the language."""
     alphabet = np.empty(len(names), np.int64)
     alphabet[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-    for source, counts, own in zip(sources, n, p):
-        at = np.flatnonzero((counts > 0) & (own > q))
-        value = distances(own[at], q[at])
-        for k in np.lexsort((alphabet[at], -value))[:top].tolist():
-            yield source, names[at[k]], int(value[k])
+    more = np.flatnonzero(side.p > q[side.columns])
+    rows, columns = side.rows[more], side.columns[more]
+    value = distances(side.p[more], q[columns])
+    order = np.lexsort((alphabet[columns], -value, rows))
+    rows, columns, value = rows[order], columns[order], value[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    for k in np.flatnonzero(place < top).tolist():
+        yield sources[rows[k]], names[columns[k]], int(value[k])
 
 
 def _priced_block(top: int):
@@ -195,22 +229,21 @@ def _priced_block(top: int):
             column = np.empty(len(names), np.int64)
             column[order] = np.arange(len(names))
             names, total, term, group, n = [names[i] for i in order], total[order], column[term], at[~marks], cells.column("n").to_numpy()
-            counts, wholes, trees, owners = [], [], [], []
-            for tile in (a, b):
+            sides, owners = [], []
+            for tile in [a, b][: 1 + (a != b)]:
                 own, mine = np.flatnonzero(places // TILE == tile), group // TILE == tile
-                matrix = np.zeros((len(own), len(names)), np.int64)
-                matrix[group[mine] - tile * TILE, term[mine]] = n[mine]
-                counts.append(matrix)
-                wholes.append(whole[own])
-                trees.append(Quadtree(group[mine] - tile * TILE, term[mine], LEAF))
+                sides.append(Side(group[mine] - tile * TILE, term[mine], n[mine], whole[own], len(names)))
                 owners.append([sources[i] for i in own])
-            sums = _pair_sums(*counts, tuple(wholes), tuple(trees), vocabulary if stripe == 0 else 0, a == b)
-            for total_, firsts, others in zip(sums if a == b else [sums[0], sums[1].T], owners, owners[::-1]):
+            x, y, priced = sides[0], sides[-1], vocabulary if stripe == 0 else 0
+            sums = [_pair_sums(x, y, priced, lambda: met(x, y))]
+            if a != b:
+                sums.append(_pair_sums(y, x, priced, lambda: ((j, i) for i, j in met(x, y))))
+            for total_, firsts, others in zip(sums, owners, owners[::-1]):
                 for i, source in enumerate(firsts):
                     rows += [("pair", source, o, v) for o, v in zip(others, total_[i].tolist()) if o != source]
             if a == b:
                 q = shares(total, np.full(len(total), lang_whole))
-                rows += [("term", *r) for r in _standing_out(owners[0], counts[0], shares(counts[0], wholes[0][:, None]), q, names, top)]
+                rows += [("term", *r) for r in _standing_out(x, owners[0], q, names, top)]
         elif stripe == 0:
             tiles = [[s for s, p in zip(sources, places) if p // TILE == tile] for tile in (a, b)]
             for firsts, others in [tiles, tiles[::-1]][: 1 + (a != b)]:

@@ -75,17 +75,24 @@ def test_shares_of_counts_beyond_a_thousand_million():
     assert divergence_audit.shares(n, whole).tolist() == [1 + 10**9 * (int(x) + 1) // int(whole[0]) for x in n]
 
 
-def test_trees_know_every_count_and_visit_no_other_block():
+def test_only_blocks_that_both_trees_hold_are_visited():
     rng = np.random.default_rng(1)
     rows, columns = rng.integers(0, 120, 40), rng.integers(0, 900, 40)
-    left = divergence_audit.Quadtree(rows, columns, 32)
-    right = divergence_audit.Quadtree(rows[:1], columns[:1], 32)
-    seen = set(divergence_audit.joint_leaves(left, right))
-    held = {(r // 32, c // 32) for r, c in zip(rows.tolist(), columns.tolist())}
-    for a in range(4):
-        for b in range(4):
-            for c in range(29):
-                assert ((a, b, c) in seen) == ((a, c) in held or (b, c) == (rows[0] // 32, columns[0] // 32))
-    assert {(a, c) for a, _, c in seen} >= held
-    nothing = divergence_audit.Quadtree(rows[:0], columns[:0], 32)
-    assert not list(divergence_audit.joint_leaves(nothing, nothing))
+    left, right = divergence_audit.Quadtree(rows, columns), divergence_audit.Quadtree(rows[:9], columns[:9])
+    held, others = ({(r // 32, c // 32) for r, c in zip(rows[:n].tolist(), columns[:n].tolist())} for n in (40, 9))
+    want = {(a, b, c) for a, c in held for b, d in others if c == d}
+    assert set(zip(*[x.tolist() for x in divergence_audit.joint_leaves(left, right)])) == want
+    nothing = divergence_audit.Quadtree(rows[:0], columns[:0])
+    assert not len(divergence_audit.joint_leaves(nothing, left)[0]) and not len(divergence_audit.joint_leaves(nothing, nothing)[0])
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 21])
+def test_counts_that_share_a_column_meet_once(most):
+    rng = np.random.default_rng(4)
+    sides = []
+    for n in (70, 200):
+        cells = np.unique(np.stack([rng.integers(0, 100, n), rng.integers(0, 77, n)]), axis=1)
+        sides.append(divergence_audit.Side(*cells, rng.integers(1, 9, cells.shape[1]), np.full(100, 1000), 77))
+    x, y = sides
+    got = sorted((i, j) for a, b in divergence_audit.met(x, y, most) for i, j in zip(a.tolist(), b.tolist()))
+    assert got == sorted((i, j) for i in range(len(x.p)) for j in range(len(y.p)) if x.columns[i] == y.columns[j])
