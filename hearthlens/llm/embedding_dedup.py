@@ -28,7 +28,7 @@ RECALL = 0.999
 #: Rows that codebooks and radius are fitted on.
 SAMPLE = 8192
 #: Classes of a cell aimed at, and the most codewords of a half.
-CELL_ROWS = 64
+CELL_ROWS = 512
 MOST_WORDS = 512
 #: Posted rows of a task; fuller cells are cut into blocks, each of which meets the blocks before it.
 BLOCK_ROWS = 2048
