@@ -19,6 +19,8 @@ from .clean import SUB_SCORES, fact_column
 
 # Joined rows grow with the square of a title's listings, beyond the range of a long for hot titles.
 _COUNT = "decimal(38,0)"
+#: Values of a dimension that a title keeps counts of as columns.
+MOST_VALUES = 64
 
 
 def _titled(listings: DataFrame, min_reviews: int, match: str, columns: dict[str, Column]) -> DataFrame:
@@ -136,18 +138,64 @@ def superhost_instant_bookable(listings: DataFrame, min_reviews: int = 10, match
     return counts.select("superhost", "instant_bookable", "total", percent)
 
 
-def superhost_share(listings: DataFrame, dim: str, min_reviews: int = 10, match: str = "binary") -> DataFrame:
-    """Joined rows, those of superhosts and their percentage for each value of the listing's ``dim``."""
-    rows = _titled(listings, min_reviews, match, {dim: F.col(dim), "flag": flag(F.col("host_is_superhost"))})
+def superhost_share(
+    listings: DataFrame, dim: str, min_reviews: int = 10, match: str = "binary", values: DataFrame | None = None
+) -> DataFrame:
+    """Joined rows, those of superhosts and their percentage for each value of the listing's ``dim``.
+
+    What a title keeps is a count for each value of ``dim``, which adds up before the one shuffle by title, however hot the
+    title. For that the values are looked up first; ``values`` may give them, in one column, where that is cheaper to read than the
+    listings, and a listing with another value then fails the query. More than :data:`MOST_VALUES` values are not kept as columns: their counts
+    become rows by title and value, which are shuffled twice.
+    """
+    columns = {dim: F.col(dim), "flag": flag(F.col("host_is_superhost"))}
+    rows = _titled(listings, min_reviews, match, columns)
+    source = listings.select(dim) if values is None else values
+    known = [r[0] for r in source.distinct().limit(MOST_VALUES + 1).collect()]
+    if len(known) > MOST_VALUES:
+        counts = _share_by_rows(rows, dim)
+    else:
+        if values is not None:
+            # An unknown place may be one that no value was given for.
+            known = [*known, *[None for _ in range(None not in known)]]
+        counts = _share_by_columns(rows, dim, known)
+    percent = percent_text(F.col("superhosts"), F.col("n")).alias("percent_superhosts")
+    return counts.select(dim, F.col("n").alias("total_hosts"), "superhosts", percent).orderBy(dim)
+
+
+def _share_by_columns(rows: DataFrame, dim: str, known: list) -> DataFrame:
+    """``dim n superhosts`` over the join, with a column for each of the known values while counting."""
+    kind = rows.schema[dim].dataType
+    found = [F.col(dim).eqNullSafe(F.lit(v).cast(kind)) for v in known]
+    number = F.lit(None).cast("int")
+    for i, is_value in enumerate(found):
+        number = F.when(is_value, i).otherwise(number)
+    unknown = F.raise_error(F.concat(F.lit(f"{dim} has a value that was not given: "), F.col(dim).cast("string"))).cast("int")
+    rows = rows.withColumn("_nth", F.coalesce(number, unknown))
+    per_title = [F.count_if("joinable").alias("n_facts")]
+    for i in range(len(known)):
+        per_title += [F.count_if(F.col("_nth") == i).alias(f"n_{i}"), F.sum(F.when(F.col("_nth") == i, F.col("flag"))).alias(f"s_{i}")]
+    titles = rows.groupBy("title").agg(*per_title).filter("n_facts > 0")
+    sums = [_sum_over_join(f"{c}_{i}", "n_facts").alias(f"{c}_{i}") for i in range(len(known)) for c in "ns"]
+    lines = [
+        F.struct(F.lit(v).cast(kind).alias(dim), F.col(f"n_{i}").alias("n"), F.col(f"s_{i}").alias("superhosts"))
+        for i, v in enumerate(known)
+    ]
+    if not lines:
+        lines = [F.struct(F.lit(None).cast(kind).alias(dim), F.lit(0).cast(_COUNT).alias("n"), F.lit(0).cast(_COUNT).alias("superhosts"))]
+        sums = [F.count(F.lit(1))]
+    return titles.agg(*sums).select(F.inline(F.array(*lines))).filter("n > 0")
+
+
+def _share_by_rows(rows: DataFrame, dim: str) -> DataFrame:
+    """The same with a row for each title and value."""
     parts = rows.groupBy("title", dim).agg(
         F.count(F.lit(1)).alias("n"), F.sum("flag").alias("superhosts"), F.count_if("joinable").alias("n_facts")
     )
     # One row per value of dim under each title, so the window holds few rows however hot the title is.
     facts = F.sum("n_facts").over(Window.partitionBy("title"))
     pairs = parts.withColumn("n_facts", facts).filter("n_facts > 0")
-    counts = pairs.groupBy(dim).agg(*[_sum_over_join(c, "n_facts").alias(c) for c in ("n", "superhosts")])
-    percent = percent_text(F.col("superhosts"), F.col("n")).alias("percent_superhosts")
-    return counts.select(dim, F.col("n").alias("total_hosts"), "superhosts", percent).orderBy(dim)
+    return pairs.groupBy(dim).agg(*[_sum_over_join(c, "n_facts").alias(c) for c in ("n", "superhosts")])
 
 
 def score_histogram(listings: DataFrame, min_reviews: int = 10, match: str = "binary") -> DataFrame:

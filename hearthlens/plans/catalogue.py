@@ -212,11 +212,13 @@ QUERIES: dict[str, Query] = {
     ),
     "superhost_share_by_borough": Query(
         [*TITLED, BOROUGH],
-        lambda li: _plain_counts(title_join.superhost_share(li, BOROUGH), "total_hosts", "superhosts"),
+        lambda li, v: _plain_counts(title_join.superhost_share(li, BOROUGH, values=v), "total_hosts", "superhosts"),
+        (orders_binding.boroughs,),
     ),
     "superhost_share_by_room_type": Query(
         [*TITLED, "room_type"],
-        lambda li: _plain_counts(title_join.superhost_share(li, "room_type"), "total_hosts", "superhosts"),
+        lambda li, v: _plain_counts(title_join.superhost_share(li, "room_type", values=v), "total_hosts", "superhosts"),
+        (orders_binding.room_types,),
     ),
     "superhost_availability": Query(
         [*TITLED, *[f"availability_{d}" for d in (30, 60, 90, 365)]],

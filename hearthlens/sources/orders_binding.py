@@ -112,3 +112,13 @@ def area_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("n_nationkey < 10")
         .selectExpr("n_name as area", "concat('CLUSTER_', char(65 + n_nationkey % 5)) as merged_area")
     )
+
+
+def boroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boroughs that a listing can lie in."""
+    return table(spark, sf_dir, "region").select("r_name")
+
+
+def room_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All room types that a listing can be of."""
+    return table(spark, sf_dir, "orders").select("o_orderpriority").distinct()

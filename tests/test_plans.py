@@ -53,7 +53,7 @@ def test_only_needed_columns_and_tables_are_read(plans):
 
 
 def test_the_title_join_reads_and_shuffles_its_rows_once(plans):
-    for key in ("superhost_scorecard", "superhost_rates", "superhost_instant_bookable", "score_histogram"):
+    for key in ("superhost_scorecard", "superhost_rates", "superhost_instant_bookable", "score_histogram", "superhost_share_by_borough", "superhost_share_by_room_type"):
         plan = plans[key]
         assert plan.count("lineitem.parquet") == 1, key
         assert len(re.findall(r"hashpartitioning\(title#", plan)) == 1, key

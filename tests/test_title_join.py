@@ -82,6 +82,25 @@ def test_superhost_share(spark, rows, dim):
     assert got == {k: (len(p), sum(superhost(t) for t, _ in p)) for k, p in want.items()}
 
 
+@pytest.mark.parametrize("most", [0, 2, 64])
+def test_superhost_share_of_few_and_many_values(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(title_join, "MOST_VALUES", most)
+    rows = [r | {"room_type": None} if i % 7 == 0 else r for i, r in enumerate(rows)]
+    got = title_join.superhost_share(listings(spark, *rows), "room_type").collect()
+    want = groups(joined(rows), lambda t: t["room_type"])
+    assert {r.room_type: (r.total_hosts, r.superhosts) for r in got} == {k: (len(p), sum(superhost(t) for t, _ in p)) for k, p in want.items()}
+
+
+def test_superhost_share_of_given_values(spark, rows):
+    frame = listings(spark, *rows)
+    values = spark.createDataFrame([("Private room",), ("Shared room",), ("Hotel room",), ("Castle",)], "v string")
+    got = title_join.superhost_share(frame, "room_type", values=values).collect()
+    assert got == title_join.superhost_share(frame, "room_type").collect()
+    with pytest.raises(Exception, match="not given"):
+        title_join.superhost_share(frame, "room_type", values=values.limit(2)).collect()
+    assert title_join.superhost_share(frame.limit(0), "room_type").count() == 0
+
+
 def test_histogram(spark, rows):
     def band(score):
         if score == 5:
