@@ -120,6 +120,8 @@ def _remapped(run: Callable[[DataFrame], DataFrame]) -> Query:
     return Query(AREA_SUMMARY, lambda li, pairs: run(regions.area_summary_remapped(li, pairs)), (orders_binding.area_pairs,))
 
 
+# Columns of any number of rows and different values.
+_DESCRIBED = ["price", RATING, "number_of_reviews", "bedrooms", "host_response_rate", "id"]
 _STATISTICS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
 _REGION_KEY = [BOROUGH, "neighbourhood_area"]
 
@@ -151,6 +153,9 @@ QUERIES: dict[str, Query] = {
     "price_by_room_type": Query(["room_type", *PRICED], lambda li: summary.price_summary(li, "room_type")),
     "price_by_borough": Query([BOROUGH, *PRICED], lambda li: summary.price_summary(li, BOROUGH)),
     "price_by_area": Query([AREA, *PRICED_RATED], lambda li: summary.price_summary(li, AREA, rated_only=True)),
+    "listings_describe": Query(
+        _DESCRIBED, lambda li: _rounded(profile.describe(clean.with_price(li), [*_DESCRIBED[1:], "pricing"]), *_STATISTICS)
+    ),
     # scores
     "score_by_area": _scored_by(summary.score_mean, "neighbourhood", AREA),
     "score_by_property_type": _scored_by(summary.score_mean, "property_type", "property_type"),
@@ -235,9 +240,9 @@ QUERIES: dict[str, Query] = {
     "area_summary_remapped": _remapped(lambda summary_: summary_.orderBy(*_REGION_KEY)),
     "region_head": _remapped(lambda s: profile.head(s, _REGION_KEY)),
     "region_describe": _remapped(
-        lambda s: _rounded(profile.describe(s, ["listings", *REGION_MEASURES]), *_STATISTICS)
+        lambda s: _rounded(profile.describe(s, ["listings", *REGION_MEASURES], summary=True), *_STATISTICS)
     ),
-    "region_describe_measures": _remapped(lambda s: _rounded(profile.describe(s, REGION_MEASURES), *_STATISTICS)),
+    "region_describe_measures": _remapped(lambda s: _rounded(profile.describe(s, REGION_MEASURES, summary=True), *_STATISTICS)),
     "region_corr": _remapped(lambda s: _rounded(correlation.correlation_matrix(s, REGION_MEASURES), "r")),
     "region_heatmap": _remapped(
         lambda s: correlation.rounded_for_heatmap(correlation.correlation_matrix(s, REGION_MEASURES))

@@ -168,14 +168,14 @@ _MERGED = """(SELECT rated.*, coalesce(merged_area, neighbourhood_cleansed) AS n
 _REGION = _area_summary("neighbourhood_area", _MERGED)
 
 
-def _describe(measures: list[str]) -> str:
+def _describe(measures: list[str], source: str = "region_summary") -> str:
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     lines = [
         f"""SELECT '{m}' AS measure, count({m}) AS count, {_round(f"avg({m})")} AS mean,
           {_round(f"stddev_samp({m})")} AS std,
           {_round(f"min({m})")} AS min,
           {", ".join(f"{_round(f'quantile_cont({m}::DOUBLE, {q})')} AS {name}" for name, q in quartiles.items())},
-          {_round(f"max({m})")} AS max FROM region_summary"""
+          {_round(f"max({m})")} AS max FROM {source}"""
         for m in measures
     ]
     return " UNION ALL ".join(lines)
@@ -222,6 +222,9 @@ _SELECTS: dict[str, str] = {
     "price_by_room_type": _price_summary("room_type"),
     "price_by_borough": _price_summary("neighbourhood_group_cleansed"),
     "price_by_area": _price_summary("neighbourhood_cleansed", "rated"),
+    "listings_describe": _describe(
+        ["review_scores_rating", "number_of_reviews", "bedrooms", "host_response_rate", "id", "pricing"], "valued"
+    ),
     "score_by_area": _score_mean("neighbourhood"),
     "score_by_property_type": _score_mean("property_type"),
     "score_by_room_type": _score_mean("room_type"),

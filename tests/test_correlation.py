@@ -93,12 +93,6 @@ def test_describe_equals_pandas(spark):
             assert r[ours] == pytest.approx(want.loc[theirs, r.measure])
 
 
-def test_describe_with_accuracy(spark):
-    df = spark.range(1, 10_001).withColumnRenamed("id", "v")
-    r = profile.describe(df, ["v"], accuracy=1000).first()
-    assert r["count"] == 10_000 and abs(r.p50 - 5000) <= 10 and abs(r.p25 - 2500) <= 10
-
-
 def test_head_and_tail(spark):
     df = spark.createDataFrame([(i,) for i in (5, 3, 9, 1, 7, 2)], "v int")
     assert [r.v for r in profile.head(df, ["v"], 2).collect()] == [1, 2]
