@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import round_to
+from ..functions.measures import pearson_r, round_to
 from ..functions.text import money_text, range_text
 from ..schema import RATING
 from .clean import priced, priced_and_rated, scored
@@ -61,3 +65,82 @@ def score_range(fact: DataFrame, dim: str, measure: str = "score", min_reviews:
 def lowest_scored(fact: DataFrame, dim: str, min_reviews: int = 10) -> DataFrame:
     """The value of ``dim`` with the lowest single score, the first by name on a tie."""
     return scored(fact, min_reviews).groupBy(dim).agg(F.min("score").alias("minimum")).orderBy("minimum", dim).limit(1)
+
+
+def dashboard(listings: DataFrame, groupings: Sequence[Sequence[str]], min_reviews: int = 10) -> DataFrame:
+    """All key figures of the priced listings for many groupings at once: one pass, and one shuffle of what each task has added up.
+
+    ``groupings`` are lists of columns, the empty one for all listings. A row has the names of its grouping in ``dimension`` and the values
+    in the columns, which are NULL where the grouping lacks them; a listing without a value is in the group without one. The figures are
+    those of :func:`kpi`, :func:`price_summary`, :func:`score_mean`, :func:`weighted_score` and :func:`score_range` (for the rating and for
+    cleanliness) and the correlation of price and rating, each over the listings that it takes. They are NULL, and texts of ranges empty at both
+    ends, where a group has none of these. An empty table gives no rows.
+    """
+    columns = list(dict.fromkeys(c for g in groupings for c in g))
+    rated, clean_score = F.col(RATING).isNotNull(), F.col("review_scores_cleanliness")
+    reliable = rated & (F.col("number_of_reviews") > min_reviews)
+    rows = priced(listings).select(
+        *columns,
+        "pricing",
+        F.col("accommodates").alias("_beds"),
+        F.col("number_of_reviews").alias("_reviews"),
+        F.col(RATING).alias("_score"),
+        rated.alias("_rated"),
+        F.when(reliable, F.col(RATING)).alias("_reliable"),
+        F.when(reliable, clean_score).alias("_clean"),
+    )
+
+    def of_rated(value: str) -> Column:
+        return F.when(F.col("_rated"), F.col(value))
+
+    sums = rows.groupingSets([[F.col(c) for c in g] for g in groupings], *columns).agg(
+        *[F.grouping(c).alias(f"_without_{c}") for c in columns],
+        F.count(F.lit(1)).alias("_listings"),
+        F.count_if("_rated").alias("_rated_listings"),
+        *[F.sum(v).alias(f"_sum{v}") for v in ("_beds", "_reviews")],
+        *[F.sum(of_rated(v)).alias(f"_rated{v}") for v in ("_beds", "_reviews")],
+        round_to(F.avg("_score"), 2).alias("avg_score"),
+        round_to(F.avg("pricing"), 2).alias("avg_price"),
+        round_to(F.avg(of_rated("pricing")), 2).alias("_rated_price"),
+        F.min("pricing").alias("min_price"),
+        F.max("pricing").alias("max_price"),
+        round_to(F.try_divide(F.sum(F.col("_score") * F.col("_reviews")), F.sum(of_rated("_reviews")).cast("double")), 2).alias("avg_mod_score"),
+        range_text(F.min("_reliable"), F.max("_reliable")).alias("range_of_ratings"),
+        F.avg("_reliable").alias("average_reliable_rating"),
+        range_text(F.min("_clean"), F.max("_clean")).alias("range_of_cleanliness"),
+        F.avg("_clean").alias("average_cleanliness"),
+        pearson_r(of_rated("pricing"), F.col("_score")).alias("price_score_r"),
+    )
+    # Which columns a row is grouped by tells its grouping.
+    label, valued = F.lit(None).cast("string"), F.lit(True)
+    for g in groupings:
+        own = [F.col(f"_without_{c}") == (0 if c in g else 1) for c in columns]
+        label = F.when(reduce(and_, own, F.lit(True)), ", ".join(g) or "all").otherwise(label)
+    for c in columns:
+        valued = valued & ((F.col(f"_without_{c}") == 1) | F.col(c).isNotNull())
+    whole = label == "all"
+
+    def by_grouping(all_listings: str, rated_listings: str) -> Column:
+        return F.when(whole, F.col(all_listings)).otherwise(F.col(rated_listings))
+
+    return sums.select(
+        label.alias("dimension"),
+        *columns,
+        by_grouping("_listings", "_rated_listings").alias("listings"),
+        by_grouping("_sum_beds", "_rated_beds").alias("accommodations"),
+        by_grouping("_sum_reviews", "_rated_reviews").alias("reviews"),
+        F.col("avg_score").alias("average_rating"),
+        money_text(by_grouping("avg_price", "_rated_price")).alias("average_pricing"),
+        F.when(valued, F.col("_listings")).otherwise(0).alias("units"),
+        "min_price",
+        "max_price",
+        "avg_price",
+        range_text(F.col("min_price"), F.col("max_price")).alias("price_range"),
+        "avg_score",
+        "avg_mod_score",
+        "range_of_ratings",
+        "average_reliable_rating",
+        "range_of_cleanliness",
+        "average_cleanliness",
+        "price_score_r",
+    )

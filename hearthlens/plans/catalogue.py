@@ -39,6 +39,7 @@ DETAILS = [
     "host_is_superhost", "latitude", "longitude", "accommodates", "bathrooms_text", "bedrooms", "minimum_nights",
     "maximum_nights", *RELIABLE, *SUB_SCORES, "listing_url",
 ]
+DASHBOARD = [[], [BOROUGH], [AREA], ["room_type"], ["property_type"], [BOROUGH, "room_type"], [AREA, "room_type"]]
 SPOT_CHECK = ["Order 100", "Order 2024", "Order 5979"]
 ONE_BOROUGH = "ASIA"
 # No listing of the test tables has more than 50 reviews, the number the report asks for.
@@ -149,6 +150,10 @@ QUERIES: dict[str, Query] = {
     # key figures and price ranges
     "kpi_overall": Query([*RELIABLE, "accommodates"], summary.kpi),
     "kpi_by_borough": Query([BOROUGH, *RELIABLE, "accommodates"], lambda li: summary.kpi(li, BOROUGH)),
+    "dashboard": Query(
+        [BOROUGH, AREA, "room_type", "property_type", *RELIABLE, "accommodates", "review_scores_cleanliness"],
+        lambda li: _rounded(summary.dashboard(li, DASHBOARD), "average_reliable_rating", "average_cleanliness", "price_score_r"),
+    ),
     "price_by_property_type": Query(["property_type", *PRICED], lambda li: summary.price_summary(li, "property_type")),
     "price_by_room_type": Query(["room_type", *PRICED], lambda li: summary.price_summary(li, "room_type")),
     "price_by_borough": Query([BOROUGH, *PRICED], lambda li: summary.price_summary(li, BOROUGH)),

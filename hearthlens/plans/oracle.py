@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..schema import REGION_MEASURES
-from .catalogue import MANY_REVIEWS, ONE_BOROUGH, SPOT_CHECK
+from .catalogue import DASHBOARD, MANY_REVIEWS, ONE_BOROUGH, SPOT_CHECK
 
 _LISTINGS = """
 listings AS (
@@ -192,6 +192,34 @@ def _matrix(by: str = "", digits: int = 6) -> str:
     return " UNION ALL ".join(lines)
 
 
+def _dashboard() -> str:
+    columns = list(dict.fromkeys(c for g in DASHBOARD for c in g))
+    reliable = "CASE WHEN review_scores_rating IS NOT NULL AND number_of_reviews > 10 THEN {} END"
+    rating, cleanliness = (reliable.format(c) for c in ("review_scores_rating", "review_scores_cleanliness"))
+    rated_price = "CASE WHEN review_scores_rating IS NOT NULL THEN pricing END"
+    lines = []
+    for g in DASHBOARD:
+        kpi = f"SELECT * FROM priced{' WHERE review_scores_rating IS NOT NULL' if g else ''}"
+        group = f" GROUP BY {', '.join(g)}" if g else ""
+        keys = ", ".join(f"{c if c in g else 'NULL::VARCHAR'} AS {c}" for c in columns)
+        valued = " AND ".join(f"{c} IS NOT NULL" for c in g) or "true"
+        same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM k.{c}" for c in g) or "true"
+        lines.append(f"""SELECT a.*, coalesce(k.listings, 0) AS listings, k.accommodations, k.reviews,
+          '$' || {_number("k.price")} AS average_pricing FROM (
+          SELECT '{', '.join(g) or 'all'}' AS dimension, {keys},
+            {_round("avg(review_scores_rating)", 2)} AS average_rating,
+            count(*) FILTER ({valued}) AS units, min(pricing) AS min_price, max(pricing) AS max_price,
+            {_round("avg(pricing)", 2)} AS avg_price, {_range("pricing")} AS price_range,
+            {_round("avg(review_scores_rating)", 2)} AS avg_score,
+            {_round("sum(review_scores_rating * number_of_reviews) / sum(number_of_reviews) FILTER (review_scores_rating IS NOT NULL)", 2)} AS avg_mod_score,
+            {_range(rating)} AS range_of_ratings, {_round(f"avg({rating})")} AS average_reliable_rating,
+            {_range(cleanliness)} AS range_of_cleanliness, {_round(f"avg({cleanliness})")} AS average_cleanliness,
+            {_round(_r(rated_price, "review_scores_rating"))} AS price_score_r FROM priced{group}) a
+          LEFT JOIN (SELECT {', '.join([*g, 'count(*) AS listings'])}, sum(accommodates)::BIGINT AS accommodations,
+            sum(number_of_reviews)::BIGINT AS reviews, {_round("avg(pricing)", 2)} AS price FROM ({kpi}){group}) k ON {same}""")
+    return " UNION ALL ".join(lines)
+
+
 _TITLES_IN = ", ".join(f"'{t}'" for t in SPOT_CHECK)
 
 _SELECTS: dict[str, str] = {
@@ -218,6 +246,7 @@ _SELECTS: dict[str, str] = {
     "kpi_overall": f"SELECT {_KPI} FROM priced",
     "kpi_by_borough": f"""SELECT neighbourhood_group_cleansed, {_KPI} FROM priced
       WHERE review_scores_rating IS NOT NULL GROUP BY neighbourhood_group_cleansed""",
+    "dashboard": _dashboard(),
     "price_by_property_type": _price_summary("property_type"),
     "price_by_room_type": _price_summary("room_type"),
     "price_by_borough": _price_summary("neighbourhood_group_cleansed"),

@@ -1,9 +1,10 @@
 import datetime
 
+import pytest
 from fixtures import listings, random_changes
 
 from hearthlens.functions.area_map import new_york_areas
-from hearthlens.operators import clean, regions, summary
+from hearthlens.operators import clean, correlation, regions, summary
 from hearthlens.schema import AREA, BOROUGH
 
 
@@ -167,3 +168,41 @@ def test_host_since_may_be_text(spark):
 
     rows = listings(spark, {}).drop("host_since").selectExpr("*", "'2015-06-01' as host_since")
     assert hosts.signup_running(rows).collect() == [(100.0, datetime.date(2015, 6, 1), 1)]
+
+
+def test_dashboard_equals_the_single_summaries(spark):
+    rows = [r | {"room_type": None} if i % 9 == 0 else r for i, r in enumerate(random_changes(21))]
+    frame = listings(spark, *rows)
+    borough, area = "neighbourhood_group_cleansed", "neighbourhood_cleansed"
+    groupings = [[], [borough], [area], ["room_type"], [borough, "room_type"]]
+    found = summary.dashboard(frame, groupings).collect()
+    fact = clean.review_fact(frame)
+
+    def of(*names):
+        return {tuple(r[c] for c in names): r for r in found if r.dimension == (", ".join(names) or "all")}
+
+    def same(singles, own, names, figures):
+        singles = {tuple(r[c] for c in names): r for r in singles.collect()}
+        for key, r in of(*own).items():
+            for wanted, mine in figures.items():
+                if key in singles:
+                    assert singles[key][wanted] == (pytest.approx(r[mine]) if isinstance(r[mine], float) else r[mine]), (own, key, wanted)
+                else:
+                    assert not r[mine] or r[mine] in (" - ", "$")
+        assert singles and set(singles) <= set(of(*own))
+
+    kpis = {c: c for c in ("listings", "accommodations", "reviews", "average_rating", "average_pricing")}
+    same(summary.kpi(frame), [], [], kpis)
+    same(summary.kpi(frame, borough), [borough], [borough], kpis)
+    for dim, in_fact in ((area, "neighbourhood"), ("room_type", "room_type"), (borough, "neighbourhood_group")):
+        prices = {c: c for c in ("units", "min_price", "max_price", "avg_price", "price_range")}
+        same(summary.price_summary(frame, dim), [dim], ["category"], prices)
+        same(summary.score_mean(fact, in_fact), [dim], [in_fact], {"avg_score": "avg_score"})
+        same(summary.weighted_score(fact, in_fact), [dim], [in_fact], {"avg_mod_score": "avg_mod_score"})
+        ratings = {"range_of_ratings": "range_of_ratings", "average_rating": "average_reliable_rating"}
+        same(summary.score_range(fact, in_fact), [dim], [in_fact], ratings)
+        ratings = {"range_of_ratings": "range_of_cleanliness", "average_rating": "average_cleanliness"}
+        same(summary.score_range(fact, in_fact, "cleanliness"), [dim], [in_fact], ratings)
+    pairs = correlation.pearson(clean.scored(fact), "price", "score", ["neighbourhood_group", "room_type"])
+    same(pairs, [borough, "room_type"], ["neighbourhood_group", "room_type"], {"r": "price_score_r"})
+    assert summary.dashboard(frame.limit(0), groupings).filter("listings > 0").count() == 0

@@ -52,6 +52,12 @@ def test_only_needed_columns_and_tables_are_read(plans):
     assert plans["listings_per_host"].count("FileScan") == 1
 
 
+def test_the_dashboard_reads_and_shuffles_once(plans):
+    plan = plans["dashboard"]
+    assert plan.count("lineitem.parquet") == 1 and len(re.findall(r"[-+:] (\*\(\d+\) )?Expand ", plan)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(.*spark_grouping_id", plan)) == 1
+
+
 def test_the_title_join_reads_and_shuffles_its_rows_once(plans):
     for key in ("superhost_scorecard", "superhost_rates", "superhost_instant_bookable", "score_histogram", "superhost_share_by_borough", "superhost_share_by_room_type"):
         plan = plans[key]
