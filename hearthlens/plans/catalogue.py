@@ -6,6 +6,7 @@ to another engine's; the operators themselves return them as they are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from ..functions.measures import round_to, significant
 from ..operators import clean, correlation, hosts, profile, regions, running, summary, title_join
 from ..schema import AREA, BOROUGH, RATING, REGION_MEASURES
 from ..session import tune
-from ..sources import orders_binding
+from ..sources import orders_binding, versions
 
 PRICED = ["price"]
 PRICED_RATED = ["price", RATING]
@@ -89,6 +90,12 @@ def _range_by(dim: str, source: str, measure: str = "score") -> Query:
     return Query(columns, run)
 
 
+def _stored(df: DataFrame, name: str, **layout) -> DataFrame:
+    """``df`` written as a version of a table of its own, and read back."""
+    folder = f"{versions.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return versions.write_version(df, folder, **layout)
+
+
 _SOURCES = {
     "neighbourhood": AREA,
     "neighbourhood_group": BOROUGH,
@@ -212,6 +219,12 @@ QUERIES: dict[str, Query] = {
     "superhost_scorecard": Query(
         [*TITLED, *SUB_SCORES], lambda li: _rounded(title_join.superhost_scorecard(li), "score", *clean.SUB_SCORES)
     ),
+    "superhost_scorecard_stored": Query(
+        [*TITLED, *SUB_SCORES],
+        lambda li: _rounded(
+            title_join.superhost_scorecard(_stored(li, "by-title", bucket_by="name", buckets=16)), "score", *clean.SUB_SCORES
+        ),
+    ),
     "superhost_rates": Query(
         [*TITLED, "host_response_rate", "host_acceptance_rate"],
         lambda li: _rounded(title_join.superhost_rates(li), "avg_response_rate", "avg_acceptance_rate"),
@@ -249,6 +262,9 @@ QUERIES: dict[str, Query] = {
     ),
     "region_describe_measures": _remapped(lambda s: _rounded(profile.describe(s, REGION_MEASURES, summary=True), *_STATISTICS)),
     "region_corr": _remapped(lambda s: _rounded(correlation.correlation_matrix(s, REGION_MEASURES), "r")),
+    "region_corr_stored": _remapped(
+        lambda s: _rounded(correlation.correlation_matrix(_stored(s, "regions"), REGION_MEASURES), "r")
+    ),
     "region_heatmap": _remapped(
         lambda s: correlation.rounded_for_heatmap(correlation.correlation_matrix(s, REGION_MEASURES))
     ),

@@ -354,6 +354,9 @@ _SELECTS: dict[str, str] = {
     "boroughs": "SELECT DISTINCT neighbourhood_group_cleansed FROM region_summary",
 }
 
+# Tables that were stored and read back give the same.
+_SELECTS |= {f"{key}_stored": _SELECTS[key] for key in ("superhost_scorecard", "region_corr")}
+
 ORACLE: dict[str, str] = {
     key: f"WITH {_LISTINGS.strip()},\nregion_summary AS ({_REGION})\n{select}" for key, select in _SELECTS.items()
 }
