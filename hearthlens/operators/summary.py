@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import pearson_r, round_to
-from ..functions.text import money_text, range_text
+from ..functions.text import fold, money_text, range_text
 from ..schema import RATING
 from .clean import priced, priced_and_rated, scored
 
@@ -27,18 +27,30 @@ def kpi(listings: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def price_summary(listings: DataFrame, dim: str, rated_only: bool = False) -> DataFrame:
+def price_summary(listings: DataFrame, dim: str, rated_only: bool = False, match: str = "binary") -> DataFrame:
     """Units with lowest, highest and mean price for each value of ``dim``.
 
-    Units count the values of ``dim``, so the group without a value has 0.
+    Units count the values of ``dim``, so the group without a value has 0. With ``match="ci"`` values that differ in case or trailing
+    blanks are one, shown in the spelling that is first in byte order. Rows are grouped by spelling, which hashes, and only these sums by the
+    folded text, as a least spelling can't be kept in a hash table.
     """
     rows = priced_and_rated(listings) if rated_only else priced(listings)
-    summary = rows.groupBy(F.col(dim).alias("category")).agg(
+    parts = rows.groupBy(F.col(dim).alias("category")).agg(
         F.count(dim).alias("units"),
+        F.count(F.lit(1)).alias("_n"),
         F.min("pricing").alias("min_price"),
         F.max("pricing").alias("max_price"),
-        round_to(F.avg("pricing"), 2).alias("avg_price"),
+        F.sum("pricing").alias("_sum"),
     )
+    if match == "ci":
+        parts = parts.groupBy(fold(F.col("category")).alias("_key")).agg(
+            F.min("category").alias("category"),
+            *[F.sum(c).alias(c) for c in ("units", "_n", "_sum")],
+            F.min("min_price").alias("min_price"),
+            F.max("max_price").alias("max_price"),
+        )
+    mean = round_to(F.col("_sum") / F.col("_n"), 2)
+    summary = parts.select("category", "units", "min_price", "max_price", mean.alias("avg_price"))
     return summary.withColumn("price_range", range_text(F.col("min_price"), F.col("max_price")))
 
 

@@ -90,6 +90,18 @@ def _range_by(dim: str, source: str, measure: str = "score") -> Query:
     return Query(columns, run)
 
 
+def _respelled(listings: DataFrame, *cols: str) -> DataFrame:
+    """Texts of every other host in capitals, and of every third with blanks at the end, so that equal texts differ in spelling."""
+    host = F.col("host_id")
+    cased = {c: F.when(host % 2 == 0, F.upper(c)).otherwise(F.col(c)) for c in cols}
+    return listings.withColumns({c: F.when(host % 3 == 0, F.concat(v, F.lit("  "))).otherwise(v) for c, v in cased.items()})
+
+
+def _half_titles(listings: DataFrame) -> DataFrame:
+    """Titles that two orders share, one of them in another spelling."""
+    return _respelled(listings.withColumn("name", F.concat(F.lit("Orders "), F.floor(F.col("host_id") / 2).cast("string"))), "name")
+
+
 def _stored(df: DataFrame, name: str, **layout) -> DataFrame:
     """``df`` written as a version of a table of its own, and read back."""
     folder = f"{versions.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -163,6 +175,10 @@ QUERIES: dict[str, Query] = {
     ),
     "price_by_property_type": Query(["property_type", *PRICED], lambda li: summary.price_summary(li, "property_type")),
     "price_by_room_type": Query(["room_type", *PRICED], lambda li: summary.price_summary(li, "room_type")),
+    "price_by_property_type_any_case": Query(
+        ["property_type", "host_id", *PRICED],
+        lambda li: summary.price_summary(_respelled(li, "property_type"), "property_type", match="ci"),
+    ),
     "price_by_borough": Query([BOROUGH, *PRICED], lambda li: summary.price_summary(li, BOROUGH)),
     "price_by_area": Query([AREA, *PRICED_RATED], lambda li: summary.price_summary(li, AREA, rated_only=True)),
     "listings_describe": Query(
@@ -200,6 +216,11 @@ QUERIES: dict[str, Query] = {
     # hosts
     "local_hosts": Query(LOCAL, hosts.local_hosts),
     "local_host_count": Query(LOCAL, hosts.local_host_count),
+    "local_host_count_any_case": Query(
+        LOCAL,
+        # The home is shown in its spelling, so hosts alone are respelled.
+        lambda li: hosts.local_host_count(_respelled(li, "host_name"), match="ci"),
+    ),
     "local_host_listings": Query(LOCAL_DETAILS, hosts.local_host_listings, (_host_columns,)),
     "local_host_by_borough": Query(LOCAL_DETAILS, hosts.local_host_by_borough, (_host_columns,)),
     "local_host_in_borough": Query(
@@ -219,6 +240,10 @@ QUERIES: dict[str, Query] = {
     "superhost_scorecard": Query(
         [*TITLED, *SUB_SCORES], lambda li: _rounded(title_join.superhost_scorecard(li), "score", *clean.SUB_SCORES)
     ),
+    "superhost_rates_any_case": Query(
+        [*TITLED, "host_id", "host_response_rate", "host_acceptance_rate"],
+        lambda li: _rounded(title_join.superhost_rates(_half_titles(li), match="ci"), "avg_response_rate", "avg_acceptance_rate"),
+    ),
     "superhost_scorecard_stored": Query(
         [*TITLED, *SUB_SCORES],
         lambda li: _rounded(

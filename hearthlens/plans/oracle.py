@@ -23,8 +23,8 @@ listings AS (
     r_name AS neighbourhood_group_cleansed,
     40 + area.n_nationkey / 100 AS latitude,
     -74 + home.n_nationkey / 100 AS longitude,
-    p_type AS property_type,
-    CASE WHEN l_orderkey % 89 <> 0 THEN o_orderpriority END AS room_type,
+    CASE WHEN l_orderkey < 40 THEN 'Kind ' || l_orderkey ELSE p_type END AS property_type,
+    CASE WHEN l_orderkey % 89 = 0 THEN NULL WHEN l_quantity = 50 THEN 'Top' ELSE o_orderpriority END AS room_type,
     l_linenumber - 1 AS accommodates,
     CASE p_size % 6 WHEN 0 THEN 'Half-bath' WHEN 1 THEN '1 bath' WHEN 2 THEN '1.5 baths'
       WHEN 3 THEN '2 shared baths' WHEN 5 THEN 'Shared half-bath' END AS bathrooms_text,
@@ -37,7 +37,8 @@ listings AS (
     (p_size + 10)::DOUBLE AS availability_90,
     (p_size * 7)::DOUBLE AS availability_365,
     p_size AS number_of_reviews,
-    CASE WHEN l_tax = 0 THEN NULL WHEN l_quantity = 50 THEN 5.5::DOUBLE ELSE (l_quantity - 1) / 10 END AS review_scores_rating,
+    CASE WHEN l_tax = 0 THEN NULL WHEN l_quantity = 50 THEN 5.5::DOUBLE
+      WHEN l_quantity = 49 THEN 5::DOUBLE ELSE (l_quantity - 1) / 10 END AS review_scores_rating,
     5 - l_tax * 10 AS review_scores_accuracy,
     5 - l_discount * 10 AS review_scores_cleanliness,
     5 - l_tax * 20 AS review_scores_checkin,
@@ -354,6 +355,22 @@ _SELECTS: dict[str, str] = {
     "boroughs": "SELECT DISTINCT neighbourhood_group_cleansed FROM region_summary",
 }
 
+# Spelling by host, and comparison in small letters without blanks at the end.
+_SPELLED = "CASE WHEN host_id % 2 = 0 THEN upper({0}) ELSE {0} END || CASE WHEN host_id % 3 = 0 THEN '  ' ELSE '' END"
+_TITLED = f"""(SELECT * REPLACE ({_SPELLED.format("('Orders ' || host_id // 2)")} AS name) FROM valued)"""
+_SELECTS |= {
+    "local_host_count_any_case": f"""SELECT host_neighbourhood, count(DISTINCT host_id) AS hosts_live_here FROM
+      (SELECT *, lower(rtrim({_SPELLED.format("host_name")})) AS told, lower(rtrim(host_neighbourhood)) AS home FROM listings) a WHERE EXISTS
+      (SELECT 1 FROM listings b WHERE lower(rtrim(b.neighbourhood_cleansed)) = a.home AND lower(rtrim(b.host_name)) = a.told)
+      GROUP BY host_neighbourhood""",
+    "superhost_rates_any_case": f"""SELECT t.superhost, {_round("avg(coalesce(t.host_response_rate, 0))")} AS avg_response_rate,
+        {_round("avg(coalesce(t.host_acceptance_rate, 0))")} AS avg_acceptance_rate
+      FROM {_TITLED} t JOIN {_TITLED} f ON lower(rtrim(t.name)) = lower(rtrim(f.name))
+      WHERE f.pricing > 0 AND f.number_of_reviews > 10 AND f.review_scores_rating IS NOT NULL GROUP BY t.superhost""",
+    "price_by_property_type_any_case": f"""SELECT min(spelled) AS category, count(spelled) AS units, min(pricing) AS min_price,
+      max(pricing) AS max_price, {_round("avg(pricing)", 2)} AS avg_price, {_range("pricing")} AS price_range
+      FROM (SELECT *, {_SPELLED.format("property_type")} AS spelled FROM priced) GROUP BY lower(rtrim(spelled))""",
+}
 # Tables that were stored and read back give the same.
 _SELECTS |= {f"{key}_stored": _SELECTS[key] for key in ("superhost_scorecard", "region_corr")}
 

@@ -2,7 +2,8 @@
 
 Order stands for title and host, nation for area, region for borough; a tenth of the orders lie in the next borough. Sixteen
 orders share a host name, and an order's number tells the host's home, so that about half of the hosts are local at every
-scale. Every listings column is one expression with the dimension tables it needs, and only the tables behind the
+scale. The first orders have property types of their own, of a few lines each, and the highest score, out of range, has a room type. Every
+listings column is one expression with the dimension tables it needs, and only the tables behind the
 requested columns are joined. Dimension keys are unique and the joins are left joins, so a join left out changes neither
 the rows nor the other columns.
 """
@@ -44,8 +45,8 @@ COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
     "neighbourhood_group_cleansed": ("r_name", (*_PLACE, "region")),
     "latitude": ("40 + area.n_nationkey / 100", _PLACE),
     "longitude": ("-74 + home.n_nationkey / 100", ("home",)),
-    "property_type": ("p_type", ("part",)),
-    "room_type": ("if(l_orderkey % 89 = 0, null, o_orderpriority)", ("orders",)),
+    "property_type": ("if(l_orderkey < 40, concat('Kind ', l_orderkey), p_type)", ("part",)),
+    "room_type": ("case when l_orderkey % 89 = 0 then null when l_quantity = 50 then 'Top' else o_orderpriority end", ("orders",)),
     "accommodates": ("l_linenumber - 1", ()),
     "bathrooms_text": (
         "case p_size % 6 when 0 then 'Half-bath' when 1 then '1 bath' when 2 then '1.5 baths' "
@@ -61,7 +62,7 @@ COLUMNS: dict[str, tuple[str, tuple[str, ...]]] = {
     "availability_90": ("cast(p_size + 10 as double)", ("part",)),
     "availability_365": ("cast(p_size * 7 as double)", ("part",)),
     "number_of_reviews": ("p_size", ("part",)),
-    "review_scores_rating": ("if(l_tax = 0, null, if(l_quantity = 50, 5.5D, (l_quantity - 1) / 10))", ()),
+    "review_scores_rating": ("case when l_tax = 0 then null when l_quantity = 50 then 5.5D when l_quantity = 49 then 5D else (l_quantity - 1) / 10 end", ()),
     "review_scores_accuracy": ("5 - l_tax * 10", ()),
     "review_scores_cleanliness": ("5 - l_discount * 10", ()),
     "review_scores_checkin": ("5 - l_tax * 20", ()),
@@ -121,4 +122,4 @@ def boroughs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def room_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All room types that a listing can be of."""
-    return table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
+    return table(spark, sf_dir, "orders").select("o_orderpriority").distinct().union(spark.sql("select 'Top'"))

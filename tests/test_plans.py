@@ -46,12 +46,19 @@ def test_windows_run_over_aggregates_only(plans, key):
 
 def test_only_needed_columns_and_tables_are_read(plans):
     plan = plans["price_by_room_type"]
-    assert "struct<l_orderkey:bigint,l_extendedprice:double,l_discount:double>" in plan
+    assert "struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
     assert "struct<o_orderkey:bigint,o_orderpriority:string>" in plan
     assert plan.count("FileScan") == 2
     assert plans["listings_per_host"].count("FileScan") == 1
 
 
+@pytest.mark.parametrize("key", ["local_host_count_any_case", "superhost_rates_any_case", "price_by_property_type_any_case"])
+def test_text_without_case_is_grouped_by_hash(plans, key):
+    rows = [li for li in plans[key].splitlines() if re.search(r"[-+:] (\*\(\d+\) )?(Sort|Hash|ObjectHash)Aggregate", li)]
+    # What stands next to the listings; only sums by spelling may be sorted.
+    assert "HashAggregate" in rows[-1] and "HashAggregate" in rows[-2]
+
+
 def test_the_dashboard_reads_and_shuffles_once(plans):
     plan = plans["dashboard"]
     assert plan.count("lineitem.parquet") == 1 and len(re.findall(r"[-+:] (\*\(\d+\) )?Expand ", plan)) == 1

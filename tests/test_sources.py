@@ -3,7 +3,7 @@ from fixtures import listings, random_changes
 from pyspark.sql import functions as F
 
 from hearthlens.functions.area_map import new_york_areas
-from hearthlens.operators import clean, correlation, hosts, regions
+from hearthlens.operators import clean, correlation, hosts, regions, title_join
 from hearthlens.schema import LISTINGS, REGION_MEASURES
 from hearthlens.sources import files, orders_binding
 
@@ -102,6 +102,21 @@ def test_predicates_keep_some_of_the_binding_and_reject_some(spark):
     whole.unpersist()
 
 
+def test_groups_without_a_correlation_and_every_band_occur(spark):
+    whole = orders_binding.listings(spark, SMALL).persist()
+    fact = clean.review_fact(whole)
+    for dim, positive, why in (("property_type", True, "n = 1"), ("room_type", False, "n > 1 and low = high")):
+        rows = clean.scored(fact, positive=positive)
+        groups = rows.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        left_out = groups.filter(why).select(dim)
+        kept = correlation.pearson(rows, "price", "score", [dim]).select(dim)
+        assert left_out.count() > 0 and left_out.join(kept, dim).count() == 0, dim
+        assert 0 < kept.count() < groups.count()
+    bands = {r.range for r in title_join.score_histogram(whole).collect()}
+    assert bands == {"0-1", "1-2", "2-3", "3-4", "4-5", "5", None}
+    whole.unpersist()
+
+
 def test_binding_reads_no_table_it_does_not_need(spark):
     plan = orders_binding.listings(spark, SMALL, ["host_id", "price"])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FileScan") == 1
