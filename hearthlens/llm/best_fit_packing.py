@@ -53,12 +53,13 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    # Strings that are one token of their own wherever a text holds them.
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     # The words are cut out here, so the model alone is asked for those not met before.
     model, letters, known = tokenizer.model, _byte_letters(), {}
 
     def encode(text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(a in text for a in added):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = _WORDS.findall(text)
         if len(known) > REMEMBERED:
@@ -160,11 +161,12 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = GROUP_ROWS)
     if (counted[1] or 0) > capacity:
         raise ValueError(f"a piece of {counted[1]} tokens does not fit {capacity}")
     full = pieces.filter(F.col("length") == capacity)
-    number = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     groups = max(1, ceil(counted[0] / group_rows))
+    # Equal rows are dealt apart, as the numbers of the stored rows differ.
+    number = F.monotonically_increasing_id()
     todo = pieces.filter(F.col("length") < capacity).select(
-        F.pmod(number, F.lit(groups)).alias("_group"),
-        F.monotonically_increasing_id().alias("_bin"),
+        F.pmod(F.xxhash64(number), F.lit(groups)).alias("_group"),
+        number.alias("_bin"),
         F.col("length").cast("int").alias("_fill"),
         *pieces.columns,
         F.lit(0).cast("long").alias("offset"),

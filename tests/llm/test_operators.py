@@ -52,8 +52,8 @@ def empty(spark):
 
 def test_packing_keeps_every_token_once(spark, edge):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    texts = ["Ab  c's\n\n 12x_", "naïve “quotes” – ½ ²", "<|endoftext|> \x1c \x85 \xa0", *[t for _, t in EDGE]]
+    assert len(tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 4
+    texts = ["Ab  c's\n\n 12x_", "naïve “quotes” – ½ ²", "<|endoftext|> \x1c \x85 \xa0", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>", *[t for _, t in EDGE]]
     rows = table(spark, list(enumerate(texts)))
     packed = best_fit_packing.pack_documents(rows, PATH, 64).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -87,6 +87,24 @@ def test_packing_merges_groups(spark):
     assert max(fills.values()) <= 128 and len(fills) <= 1.05 * len(best_fit_packing.best_fit(np.array([r[3] for r in rows]), 128)[2])
 
 
+def test_packing_deals_equal_rows_apart(spark, monkeypatch, empty):
+    rows = spark.createDataFrame([(None, 0, 0, 3, 9)] * 4000, best_fit_packing.PIECES)
+    seen = []
+    before = best_fit_packing.written
+
+    def written(df, name):
+        done = before(df, name)
+        seen.append(done)
+        return done
+
+    monkeypatch.setattr(best_fit_packing, "written", written)
+    packed = best_fit_packing.pack(rows, 1024, group_rows=100)
+    first = seen[1].groupBy(F.shiftright("_bin", 24).alias("g")).count().collect()
+    assert len(first) == 40 and max(r["count"] for r in first) < 200
+    assert packed.count() == 4000
+    assert best_fit_packing.pack_documents(empty, PATH).count() == 0
+
+
 def test_fingerprint_words():
     assert simhash_dedup.fingerprint(None) == simhash_dedup.fingerprint(" \t\n") == 0
     assert simhash_dedup.fingerprint("A b") == simhash_dedup.fingerprint("a\x0bB ")
