@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .tables import row_key, whole_row, written
 
-LANGUAGES = ("de", "en", "es", "fr")
+#: Part of the declaring rows that has to declare a language for it to be one. It bounds the number of languages.
+LEAST_SHARE = 0.01
+#: Stands for a language where none is declared; it has no text, so nothing is accepted.
+UNKNOWN = "und"
 BUCKETS = 1 << 15
 GRAM = 4
 BYTES_AT_ONCE = 1 << 22
@@ -61,7 +64,7 @@ def _evidence(
         *row_key(id_column, text_column),
         F.xxhash64(whole_row(rows)).alias("_row"),
         text.cast("string").alias("text"),
-        F.lower(F.substring(F.coalesce(declared.cast("string"), F.lit("")), 1, 2)).alias("declared"),
+        F.regexp_extract(F.lower(F.trim(F.coalesce(declared.cast("string"), F.lit("")))), "^([^_-]*)", 1).alias("declared"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(suffix.cast("string"), F.lit("")).alias("suffix"),
     )
@@ -84,7 +87,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return _evidence(pages, "pages", F.regexp_replace(html, hidden, " "), declared, host, suffix, "page_id", "html")
 
 
-def text_models(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+def declared_languages(evidence: DataFrame, least_share: float = LEAST_SHARE) -> tuple[str, ...]:
+    """The languages that at least ``least_share`` of the rows with a declaration declare, without region or script."""
+    counts = evidence.filter("declared <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") >= least_share * total).select("declared").collect()
+    return tuple(sorted(r["declared"] for r in found)) or (UNKNOWN,)
+
+
+def text_models(evidence: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     """Log probability of each bucket in each language, from all texts that declare it.
 
     Every partition adds up its own counts; the driver gets one number for a language and bucket. A language without
@@ -141,16 +152,19 @@ def _text_scores(evidence: DataFrame, models: np.ndarray) -> DataFrame:
 
 def identify(
     evidence: DataFrame,
-    languages: tuple[str, ...] = LANGUAGES,
+    languages: tuple[str, ...] | None = None,
     least_posterior: float = LEAST_POSTERIOR,
     least_fit: float = LEAST_FIT,
+    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """``origin _id _text _row`` with ``language``, ``posterior`` and ``accepted`` for each row of evidence.
 
     Accepted is a row whose text has letters, suits its language better than random n-grams would, and leaves
     no more doubt than ``least_posterior`` allows. A text without letters (NULL and empty texts too) is judged by the other
-    evidence and not accepted. Missing declarations, hosts and suffixes say nothing. An empty table gives no rows.
+    evidence and not accepted. Missing declarations, hosts and suffixes say nothing. ``languages`` are those that enough rows declare
+    (:func:`declared_languages`), unless given. An empty table gives no rows.
     """
+    languages = languages or declared_languages(evidence, least_share)
     numbers = range(len(languages))
     scored = written(_text_scores(evidence, text_models(evidence, languages)), "text-scores")
     top = F.array_max("_scores")

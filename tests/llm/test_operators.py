@@ -229,6 +229,30 @@ def test_language(spark, edge, empty):
     assert language_id.accepted_documents(empty).count() == 0
 
 
+def test_languages_are_those_that_are_declared(spark):
+    words = {
+        "est": "ja on ei see et ta kui oma aga ning siis oli", "es": "el los las una para que con del por como muy pero",
+        "fry": "de it fan en is dat yn foar mei net om hy", "fr": "le la les des une dans pour que est avec sur pas",
+        "pt": "o os uma para que com do por como mais mas foi",
+    }
+    rng = random.Random(2)
+    # A third of the rows are in a language of three letters; regions don't part a language.
+    langs = ["est", "est", "est", "es", "fry", "fr", "pt", "es-MX", "pt_BR"]
+    rows = []
+    for i in range(360):
+        said = langs[i % 9]
+        text = " ".join(rng.choice(words[said.replace("_", "-").split("-")[0]].split()) for _ in range(30))
+        rows.append((i, text, said if i > 8 else "", "s"))
+    rows += [(900, "wo wo wo", "rare", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    evidence = language_id.document_evidence(docs)
+    assert language_id.declared_languages(evidence) == ("es", "est", "fr", "fry", "pt")
+    found = {r._id: r for r in language_id.identify(evidence).collect()}
+    assert all(found[i].language == langs[i % 9].replace("_", "-").split("-")[0] and found[i].accepted for i in range(360))
+    none = language_id.identify(language_id.document_evidence(docs.withColumn("lang", F.lit(None).cast("string")))).collect()
+    assert len(none) == 361 and not any(r.accepted for r in none)
+
+
 def test_pages_carry_all_evidence(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").unionByName(
         spark.createDataFrame([(None, None, None), (5, "not a url", "<html lang=fr>")], "page_id long, url string, html string")
