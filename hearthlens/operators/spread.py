@@ -41,5 +41,5 @@ def repeat_rows(df: DataFrame, times: str, position: str, chunk: int = 10_000) -
     last = F.least(F.col(times), (F.col("_chunk") + one) * chunk)
     # With a number given, adaptive execution does not merge these few rows, each of which stands for many.
     tasks = max(ceil(total / ROWS_A_TASK), min(session.sparkContext.defaultParallelism, max(1, ceil(total / chunk))))
-    spread = chunks.repartition(tasks, *[F.col(f"`{c}`") for c in stored.columns], "_chunk")
+    spread = chunks if tasks == 1 else chunks.repartition(tasks, *[F.col(f"`{c}`") for c in stored.columns], "_chunk")
     return spread.select(*kept, F.explode(F.sequence(first, last)).alias(position))
