@@ -76,6 +76,33 @@ def test_matrix_equals_pandas(spark, seed):
                     assert r.r is None or r.r == pytest.approx(expected, abs=1e-9)
 
 
+def test_matrix_keeps_one_state_where_nothing_is_null(spark):
+    cols = list("abcdef")
+    rows = spark.range(1000, numPartitions=7).selectExpr("id % 3 as g", *[f"1e9 + (id * {i + 3}) % {11 + i} as {c}" for i, c in enumerate(cols)])
+    states = correlation.shared_moments(rows, cols, "g")
+    assert states.count() == 3
+    k = len(cols)
+    assert len(states.columns) - 2 == k * (k + 1) // 2 + 3 * k + 1
+    plan = correlation.correlation_matrix(rows, cols, "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    pdf = rows.toPandas()
+    for r in correlation.correlation_matrix(rows, cols, "g").collect():
+        part = pdf[pdf.g == r.g]
+        expected = part[r.col_x].corr(part[r.col_y])
+        # Column b is the same in all rows of a group.
+        assert (r.r is None) == math.isnan(expected) == ("b" in (r.col_x, r.col_y))
+        assert r.r is None or r.r == pytest.approx(expected, abs=1e-9)
+
+
+def test_matrix_of_columns_that_never_meet(spark):
+    rows = [("a", float(i), None, 0.1) for i in range(9)] + [("a", None, float(i), 0.1) for i in range(9)] + [(None, 1.0, 2.0, 3.0)]
+    rows += [(None, 2.0, 4.0, 1.0)]
+    got = {(r.g, r.col_x, r.col_y): r.r for r in correlation.correlation_matrix(frame(spark, rows), ["x", "y", "z"], "g").collect()}
+    assert len(got) == 18 and got["a", "x", "y"] is None and got["a", "z", "z"] is None and got["a", "x", "x"] == 1
+    assert got[None, "x", "y"] == pytest.approx(1) and got[None, "z", "x"] == pytest.approx(-1)
+    assert correlation.correlation_matrix(frame(spark, []), ["x", "y"]).count() == 0
+
+
 def test_heatmap_labels(spark):
     labels = correlation.rounded_for_heatmap(correlation.correlation_matrix(frame(spark, random_rows(4)), ["x", "y"]))
     assert all(r.r == round(r.r, 1) for r in labels.collect())
