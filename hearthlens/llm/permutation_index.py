@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_blocks import QUERIES, ROWS, best_of, nearest_in_blocks, usable
+from .vector_blocks import QUERIES, ROWS, best_of, distinct_rows, nearest_in_blocks, own_place, usable
 
 #: Pivots, taken from at most this many rows with the least hash of their id.
 PIVOTS = 256
@@ -78,26 +78,29 @@ def nearest(
 
     Queries are the rows whose id is divisible by 20, candidates all others; ties go to the smaller id. Every vector is
     posted; a block's candidates are its ``share`` with the least footrule distance and all that tie with the last of them.
-    Vectors that are NULL, zero or have a NULL or non-finite component take no part; an empty table gives no rows.
+    Vectors that are NULL, zero or have a NULL or non-finite component take no part; an empty table gives no rows. Rows that share an
+    id are queries of their own and find each other. Vectors of different lengths are refused.
     """
-    rows = usable(vectors, zero=False)
+    rows, width = distinct_rows(usable(vectors, zero=False))
     chosen = pivots(rows, n_pivots)
     posted = min(posted, max(1, len(chosen)))
 
-    def search(query_ids, queries, ids, block):
+    def index(ids, block):
         file = Postings(orders(block, chosen, posted), len(chosen))
         wanted = max(LEAST, k, ceil(share * len(ids)))
-        found = []
-        for query_id, query, order in zip(query_ids.tolist(), queries, orders(queries, chosen, posted)):
-            gain = file.closeness(order)
-            if len(ids) > wanted:
-                some = np.flatnonzero(gain >= np.partition(gain, len(gain) - wanted)[len(gain) - wanted])
-            else:
-                some = np.arange(len(ids))
-            some = some[ids[some] != query_id]
-            scores = block[some] @ query
-            best = best_of(ids[some], scores, k)
-            found.append((query_id, ids[some][best], scores[best]))
-        return found
-
-    return nearest_in_blocks(rows, search, k, block_rows=block_rows, block_queries=block_queries)
+
+        def search(query_ids, queries, floors):
+            for query_id, query, order in zip(query_ids.tolist(), queries, orders(queries, chosen, posted)):
+                gain = file.closeness(order)
+                if len(ids) > wanted:
+                    some = np.flatnonzero(gain >= np.partition(gain, len(gain) - wanted)[len(gain) - wanted])
+                else:
+                    some = np.arange(len(ids))
+                some = some[some != own_place(ids, block, query_id, query)]
+                scores = block[some] @ query
+                best = best_of(ids[some], scores, k)
+                yield some[best], scores[best]
+
+        return search
+
+    return nearest_in_blocks(rows, width, index, k, block_rows=block_rows, block_queries=block_queries)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -362,9 +363,10 @@ def brute(df, zero, change):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect() if r.vec_id is not None and r.embedding and None not in r.embedding]
     rows = [(i, change(v)) for i, v in rows if np.isfinite(v).all() and (zero or v.any())]
     out = []
-    for q, v in rows:
+    for n, (q, v) in enumerate(rows):
         if q % 20 == 0:
-            out.append((q, sorted(((i, float(v @ w)) for i, w in rows if i != q), key=lambda x: (-x[1], x[0]))[:20]))
+            others = [(i, float(v @ w)) for m, (i, w) in enumerate(rows) if m != n]
+            out.append((q, sorted(others, key=lambda x: (-x[1], x[0]))[:20]))
     return out
 
 
@@ -395,27 +397,48 @@ def test_permutation_index_recall_where_postings_decide(spark):
 
 
 def test_top_k_is_exact(spark):
-    df = vectors(spark)
-    got = defaultdict(list)
-    for r in pivot_table_search.nearest(df, block_rows=100, block_queries=20).collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    true = {q: best for q, best in brute(df, True, lambda v: np.floor(64 * v)) if q != 20}
-    for q, best in true.items():
-        assert sorted(got[q]) == [(n + 1, i, int(s)) for n, (i, s) in enumerate(best)]
-    assert 700 in got and pivot_table_search.nearest(df.limit(0)).count() == 0
-
-
-def test_elimination_stops_early():
+    # Equal rows, and rows that share an id.
+    base = vectors(spark)
+    some = [tuple(r)[:2] for r in base.filter("vec_id in (40, 60, 61)").collect()]
+    df = vectors(spark, [some[0]] * 30 + [some[1]] * 2 + [(40, some[2][1])] * 3)
+    got = pivot_table_search.nearest(df, block_rows=100, block_queries=20).collect()
+    true = [(q, n + 1, i, int(s)) for q, best in brute(df, True, lambda v: np.floor(64 * v)) for n, (i, s) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(true)
+    assert 700 in {r.query_id for r in got} and pivot_table_search.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("find", [pivot_table_search.nearest, permutation_index.nearest])
+def test_vectors_of_different_lengths_are_refused(spark, find):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="from 2 to 3 components"):
+        find(df)
+
+
+def test_nearest_ties_and_equal_rows(spark):
+    rows = [(20, [1.0, 0.0])] * 2 + [(i, [2.0, float(i % 3)]) for i in range(1, 20)] + [(20, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    true = [(q, n + 1, i, s) for q, best in brute(df, False, lambda v: v) for n, (i, s) in enumerate(best)]
+    assert sorted(tuple(r) for r in permutation_index.nearest(df).collect()) == sorted(true)
+
+
+def test_elimination_spares_most_vectors():
+    rows = pq.read_table(f"{SMALL.replace('0.001', '0.1')}/embeddings.parquet").to_pandas()
+    rows = np.floor(64 * np.stack([e for e in rows.embedding]).astype(float))
+    ids = np.arange(len(rows))
     rng = np.random.default_rng(0)
-    block = np.floor(64 * np.concatenate([rng.normal(size=(200, 8)) * 0.05 + 1, rng.normal(size=(5000, 8)) * 0.05 - 1]))
-    chosen = block[[0, 300, 600]]
-    table_, asked = pivot_table_search.distances(block, chosen), pivot_table_search.distances(block[:1], chosen)
-    lower = np.abs(asked - table_).max(axis=1)
-    bounds = ((block[0] ** 2).sum() + (block**2).sum(1) - lower**2) / 2
-    ids = np.arange(len(block))
-    places, scores, looked = pivot_table_search.evaluate(block[0], bounds, ids, block, 20, 0)
-    assert looked < len(block) / 2
-    assert list(scores) == sorted((block[1:] @ block[0]).tolist(), reverse=True)[:20]
+    chosen = rows[rng.choice(len(rows), int(pivot_table_search.PIVOT_SHARE * rows.shape[1]), replace=False)]
+    index = pivot_table_search.Table(chosen, ids, rows, 20)
+    queries = ids[::20]
+    found = list(index.search(queries, rows[queries], np.full(len(queries), -np.inf)))
+    assert index.looked < 0.5 * len(rows) * len(queries)
+    for q, (places, scores) in zip(queries, found):
+        every = rows @ rows[q]
+        every[q] = -np.inf
+        assert places.tolist() == np.lexsort((ids, -every))[:20].tolist() and (scores == every[places]).all()
+    # With the scores known from blocks before, fewer are left.
+    before, index.looked = index.looked, 0
+    list(index.search(queries, rows[queries], np.array([s[-1] for _, s in found])))
+    assert index.looked < before
 
 
 def test_pipeline(spark):
