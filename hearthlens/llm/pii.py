@@ -39,6 +39,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE)))
 #: A character that every match of a kind has, to spare most texts the search.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Put around matches; a character that no text should have, and that no pattern matches.
+_MARK = "\uFDD0"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -69,72 +71,82 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _matches(docs: DataFrame) -> DataFrame:
-    """Every base match: ``_id _text kind start end match before after``, places in code points, the end exclusive.
+    """Every base match: ``_id _text kind start end match left right``, places in code points, the end exclusive.
 
-    The texts between matches tell the places; ``before`` and ``after`` are the ends of these next to the match.
+    ``left`` and ``right`` are the patterns of the words next to those that the match touches, by the rule of :func:`_word_slots`;
+    NULL where a side has fewer than two words. Each match is marked at both ends: the text parted by marks gives places, and
+    the words that hold marks the numbers of the words touched.
     """
-    texts = docs.select(*row_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _MARK, "\uFFFD")
+    texts = docs.select(*row_key(), text.alias("text"))
     kinds = []
     for kind in KINDS:
-        pattern = F.lit(_PATTERNS[kind])
-        own = F.regexp_extract_all("text", pattern, F.lit(0))
-        kinds.append(F.when(F.regexp_like("text", F.lit(_NEEDS[kind])), own).alias(f"_{kind}"))
-    some = texts.select("*", *kinds).filter(" or ".join(f"size(_{k}) > 0" for k in KINDS))
-    parts = []
-    for kind in KINDS:
-        gaps = F.when(F.size(f"_{kind}") > 0, F.split("text", _PATTERNS[kind], -1))
-        near = F.transform(
-            gaps, lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(80)).alias("tail"), F.left(g, F.lit(80)).alias("head"))
-        )
-        parts.append(F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("found"), near.alias("gaps")))
-    each = some.select("_id", "_text", F.inline(F.array(*parts))).filter("size(found) > 0")
+        marked = F.regexp_replace("text", _PATTERNS[kind], f"{_MARK}$0{_MARK}")
+        kinds.append(F.when(F.regexp_like("text", F.lit(_NEEDS[kind])), marked).alias(f"_{kind}"))
+    some = texts.select("*", *kinds).filter(" or ".join(f"contains(_{k}, '{_MARK}')" for k in KINDS))
+    some = some.select("_id", "_text", _hashes(_words(F.col("text"))).alias("_hashes"), *[f"_{k}" for k in KINDS])
+    each = some.select("_id", "_text", "_hashes", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("marked")) for k in KINDS])))
+    each = each.filter(F.contains("marked", F.lit(_MARK)))
+    numbers = F.transform(_words(F.col("marked")), lambda w, at: F.array_repeat(at, F.regexp_count(w, F.lit(_MARK))))
+    each = each.select("_id", "_text", "kind", "_hashes", F.split("marked", _MARK, -1).alias("_pieces"), F.flatten(numbers).alias("_at"))
+    # Pieces with odd numbers are matches.
     cells = F.transform(
-        F.sequence(F.lit(0), F.size("found") - 1),
+        F.sequence(F.lit(1), F.size("_pieces") - 2, F.lit(2)),
         lambda i: F.struct(
             i.alias("i"),
-            F.get("found", i).alias("match"),
-            F.get("gaps", i)["n"].alias("gap"),
-            F.get("gaps", i)["tail"].alias("before"),
-            F.get("gaps", i + 1)["head"].alias("after"),
+            F.get("_pieces", i).alias("match"),
+            F.length(F.get("_pieces", i - 1)).alias("gap"),
+            F.when(F.get("_at", i - 1) >= 2, _left("_hashes", F.get("_at", i - 1))).alias("left"),
+            F.when(F.get("_at", i) + 2 < F.size("_hashes"), _right("_hashes", F.get("_at", i))).alias("right"),
         ),
     )
     rows = each.select("_id", "_text", "kind", F.inline(cells)).distinct()
     # Copies of a row are one by now. The places add up along one text.
     along = Window.partitionBy("_id", "_text", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(along)
-    found = rows.select("_id", "_text", "kind", "match", "before", "after", end.cast("long").alias("end"))
+    found = rows.select("_id", "_text", "kind", "match", "left", "right", end.cast("long").alias("end"))
     valid = F.coalesce(*[F.when(F.col("kind") == k, _valid(k, F.col("match"))) for k in KINDS])
     return found.filter(valid).withColumn("start", F.col("end") - F.length("match"))
 
 
+def _words(text: Column) -> Column:
+    return F.split(text, r"\s+", -1)
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def _left(hashes: str, at: Column) -> Column:
+    """The pattern that the two words before the word ``at`` make."""
+    return F.xxhash64(F.lit("L"), F.get(hashes, at - 2), F.get(hashes, at - 1))
+
+
+def _right(hashes: str, at: Column) -> Column:
+    """The pattern that the two words after the word ``at`` make."""
+    return F.xxhash64(F.lit("R"), F.get(hashes, at + 1), F.get(hashes, at + 2))
+
+
 def _word_slots(docs: DataFrame) -> DataFrame:
     """Each word of each text with hashes of the two words before it and after it, and the word itself if it is shaped for any kind."""
-    texts = docs.select(*row_key(), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+", -1).alias("_words"))
-    hashed = texts.select("_id", "_text", "_words", F.transform("_words", lambda w: F.xxhash64(F.lower(w))).alias("_hashes"))
+    texts = docs.select(*row_key(), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_words"))
+    hashed = texts.select("_id", "_text", "_words", _hashes(F.col("_words")).alias("_hashes"))
     cells = F.transform(
         F.sequence(F.lit(0), F.size("_words") - 1),
         lambda i: F.struct(
             i.alias("at"),
             F.when(F.regexp_like(F.get("_words", i), F.lit(_SHAPED["email"])), F.get("_words", i)).alias("word"),
-            F.xxhash64(F.lit("L"), F.get("_hashes", i - 2), F.get("_hashes", i - 1)).alias("left"),
-            F.xxhash64(F.lit("R"), F.get("_hashes", i + 1), F.get("_hashes", i + 2)).alias("right"),
+            _left("_hashes", i).alias("left"),
+            _right("_hashes", i).alias("right"),
         ),
     )
     return hashed.select("_id", "_text", F.inline(cells))
 
 
 def _seed_patterns(matches: DataFrame) -> DataFrame:
-    """``pattern`` (hash of two words at a side) and ``kind`` of the patterns that enough different seeds induce."""
-    before = F.split(F.regexp_extract("before", r"(\S++\s++\S++)\s*+$", 1), r"\s+", -1)
-    after = F.split(F.regexp_extract("after", r"^\s++(\S++\s++\S++)", 1), r"\s+", -1)
-
-    def side(name: str, words: Column) -> Column:
-        both = [F.xxhash64(F.lower(F.get(words, F.lit(k)))) for k in (0, 1)]
-        return F.when(F.size(words) == 2, F.xxhash64(F.lit(name), *both))
-
-    seeds = matches.select("kind", F.xxhash64(F.lower("match")).alias("instance"), F.explode(F.array(side("L", before), side("R", after))).alias("pattern"))
-    seeds = seeds.filter("pattern is not null").groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("times"))
-    return seeds
+    """How often each seed (``instance``) stands at each ``pattern`` (hash of two words at a side) of its ``kind``."""
+    seeds = matches.select("kind", F.xxhash64(F.lower("match")).alias("instance"), F.explode(F.array("left", "right")).alias("pattern"))
+    return seeds.filter("pattern is not null").groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("times"))
 
 
 def discovered(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -299,6 +300,44 @@ def test_context_gives_away_addresses_without_digits_and_spaced_numbers(spark):
     assert got[200] == ""
 
 
+@pytest.mark.parametrize(
+    "frame",
+    ["noise {n} support ({x}) now or", "noise {n} support {x}, thanks a lot", "a " + "w" * 300 + " {x} " + "v" * 300 + " b"],
+)
+def test_seeds_teach_by_the_words_beside_theirs(spark, frame):
+    # In brackets, before a comma, and beside words of any length.
+    rows = [(i, frame.format(n="here,", x=f"+1 555 010-{1000 + i}")) for i in range(30)]
+    text = frame.format(n="here,", x="0800-555")
+    got = {r.doc_id: r.spans for r in pii.span_report(table(spark, [*rows, (100, text), (101, "some 0800-999 other words")])).collect()}
+    assert f"phone:{text.index('0800-555')}:{text.index('0800-555') + 8}" in got[100].split(",") and got[101] == ""
+
+
+def test_base_spans_equal_plain_matching(spark):
+    def luhn(number):
+        doubled = [d if n % 2 == 0 else d * 2 - 9 * (d > 4) for n, d in enumerate(map(int, reversed(number)))]
+        return sum(doubled) % 10 == 0
+
+    def digits(x):
+        return re.sub("[^0-9]", "", x)
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 16 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(digits(x)) <= 15),
+    }
+    rng = random.Random(11)
+    bits = ["a.b@c.de", "x@y", "@", "+1 (555) 010-9999", "+1", "10.0.0.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "999"]
+    bits += [" ", "  ", "\n", ",", "(", "é", "😀", "\uFDD0", "word", "-", "."]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(30)))) for i in range(600)]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id + 10000 as doc_id", "text").collect()]
+    got = {r.doc_id: r for r in pii.span_report(table(spark, rows)).collect()}
+    for i, text in rows:
+        found = [[f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, text or "") if valid(m.group())] for k, (p, valid) in kinds.items()]
+        assert [got[i][f"n_{k}"] for k in kinds] == [len(f) for f in found], text
+        assert got[i].base_sha256 == hashlib.sha256(",".join(sum(found, [])).encode()).hexdigest(), text
+
+
 def test_a_pattern_of_few_seeds_counts_among_many(spark):
     rng = random.Random(6)
     rows = [(i, f"{rng.random():.9f}a b{i} +1 555 {100000 + i} c{i} d{i}") for i in range(2000)]
