@@ -1,17 +1,17 @@
 """Removal of repeated passages: byte strings of a given length that also start earlier in the corpus.
 
-Winnowing and grouping by hashes, in place of prefix doubling: no ranks are sorted, and there are no rounds with growing offsets. In every
-string of the length looked for, one place is sampled: the one whose k bytes hash lowest, which depends on the string alone, so equal
-strings sample the same place. Spark groups the sampled places by the hash of their k bytes and drops those whose hash is unique. The others
-are grouped by that hash and the hash of everything that strings sampled there reach: a place that is not the first of its group repeats as a
-whole. First places that share only the short hash are compared string by string, by a hash of the full length. "Rank" below is the short hash.
-Strings count as equal if their 64-bit hashes are.
+Prefix doubling on sampled places. In every string of the length looked for, one place is sampled: the one whose k bytes hash lowest,
+which depends on the string alone, so equal strings sample the same place. Spark ranks the sampled places by the hash of their k bytes and
+drops those of a rank of their own. Places that agree in everything that strings sampled there reach repeat as a whole, but for the first
+of them. The first places that share no more than a rank go through rounds: blocks of k bytes beside the place are ranked in pairs, the
+pairs in pairs at a greater offset, as long as strings of the length looked for must hold one, and Spark drops pairs that occur once. In
+the last round the strings whose pairs all remain are ranked at their full length. Ranks are 64-bit hashes, and strings count as equal
+if their ranks are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,6 @@ from .tables import id_of, in_slices, row_key, written
 
 LENGTH = 100
 GRAM = 24
-#: First places whose strings one task ranks at full length.
-GROUP_ROWS = 5_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -92,7 +90,8 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
-    """``rank`` of every sampled place; with ``whole`` also where it is, and ``reach``, the name of all its strings' bytes."""
+    """``rank`` of every sampled place; with ``whole`` also its strings, ``at``, its distance from the first of them, and ``reach``,
+    the name of all their bytes."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -105,7 +104,7 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
                 if whole:
                     digest = xxhash.xxh64_intdigest
                     reach = [digest(raw[a:b], p - a) for p, a, b in zip(at.tolist(), first.tolist(), (last + length).tolist())]
-                    parts.append((np.full(len(at), i), rank, np.array(reach, np.uint64), first, last))
+                    parts.append((np.full(len(at), i), rank, np.array(reach, np.uint64), first, last, at - first))
                 else:
                     parts.append((rank,))
             if not parts:
@@ -114,7 +113,7 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
             if not whole:
                 yield pa.record_batch([pa.array(columns[0].view(np.int64))], names=["rank"])
                 continue
-            i, rank, reach, first, last = columns
+            i, rank, reach, first, last, at = columns
             yield pa.record_batch(
                 [
                     pa.array(batch.column(0).to_numpy()[i]),
@@ -123,47 +122,54 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
                     pa.array(reach.view(np.int64)),
                     pa.array(first.astype(np.int32)),
                     pa.array(last.astype(np.int32)),
+                    pa.array(at.astype(np.int32)),
                 ],
-                names=["_id", "_tie", "rank", "reach", "first", "last"],
+                names=["_id", "_tie", "rank", "reach", "first", "last", "at"],
             )
 
-    schema = "_id long, _tie long, rank long, reach long, first int, last int" if whole else "rank long"
+    schema = "_id long, _tie long, rank long, reach long, first int, last int, at int" if whole else "rank long"
     return texts.select("_id", "_tie", "text").mapInArrow(sample, schema)
 
 
+def _shared(rows: DataFrame, rank: str) -> DataFrame:
+    """The ranks that more than one row has."""
+    return rows.groupBy(rank).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(rank)
+
+
 def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Places that repeat as a whole, and first places that share no more than their rank: ``_id _tie rank first last``.
 
     The first place of a pair of ranks is its name. All joins are on keys that adaptive execution can split or that are
     unique, so a passage of many documents gathers nowhere.
     """
-    ranks = _places(texts, length, gram, whole=False).groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = written(ranks.filter("_n > 1").select("rank"), "ranks")
+    ranks = written(_shared(_places(texts, length, gram, whole=False), "rank"), "ranks")
     places = written(_places(texts, length, gram, whole=True).join(ranks, "rank", "left_semi"), "places")
-    own = F.struct("_id", "_tie", "first", "last")
+    own = F.struct("_id", "_tie", "first", "last", "at")
     firsts = places.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
     firsts = written(firsts.select("rank", "reach", "_own.*"), "firsts")
     later = places.join(firsts, ["rank", "reach", "_id", "_tie", "first"], "left_anti")
-    several = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # Written, so that the join has an exchange of its own.
+    several = written(_shared(firsts, "rank"), "several")
     return later, firsts.join(several, "rank", "left_semi")
 
 
-def _runs(start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First index and end of each run of strings that start one after the other in the same group."""
-    new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(group) != 0)])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(start)]]) - 1
-    return first, start[last] + length
+def _windows(length: int, gram: int) -> tuple[int, int]:
+    """Blocks in the longest window of the rounds, and the number of blocks that a window may start before the place.
+
+    Such windows begin a whole number of blocks before the place. They are short enough for every string to hold one.
+    """
+    return max(1, (length - gram + 1) // gram), (length - gram) // gram
 
 
-def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: int) -> DataFrame:
-    """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank."""
-    sizes = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("_n"))
-    firsts = written(firsts.join(sizes, "rank"), "first-places")
-    count = firsts.count()
-    groups = max(1, ceil(count / group_rows))
-    each = firsts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("rank", "first", "last", "_n")).alias("places"))
+def _stretches(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``place _id _tie first at bytes blocks``: what the strings of each place reach, and the names of its blocks.
+
+    ``blocks`` starts with the block that lies furthest before the place; blocks out of reach are NULL. ``place`` is a number for the row.
+    """
+    blocks, before = _windows(length, gram)
+    each = firsts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("first", "last", "at")).alias("places"))
     some = _packed(texts).join(each, ["_id", "_tie"])
+    offsets = np.arange(-before, blocks) * gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -171,72 +177,105 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, group_rows: i
             for doc, tie, packed, places in zip(*(batch.column(i) for i in range(4))):
                 raw = zstandard.decompress(packed.as_py())
                 for p in places.as_py():
-                    rows.append((doc.as_py(), tie.as_py(), p["rank"], p["first"], p["_n"], raw[p["first"] : p["last"] + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_id", "_tie", "rank", "first", "_n", "bytes"])
-
-    schema = "_id long, _tie long, rank long, first int, _n long, bytes binary"
-    strings = some.select("_id", "_tie", "packed", "places").mapInArrow(cut, schema)
-
-    def rank_strings(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row number, start and name of each string of the rows."""
-        raw = [b.as_py() for b in batch.column("bytes")]
-        sizes = np.array([len(b) for b in raw], np.int64)
-        name = names(np.frombuffer(b"".join(raw), np.uint8), length)
-        row = np.repeat(np.arange(len(raw)), sizes - length + 1)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes - length + 1) - (sizes - length + 1), sizes - length + 1)
-        start = batch.column("first").to_numpy().astype(np.int64)[row] + inside
-        return row, start, name[(np.cumsum(sizes) - sizes)[row] + inside]
-
-    spans = "_id long, _tie long, start int, end int"
-
-    def repeats(table: pa.Table) -> pa.Table:
-        """All strings of some ranks at once, sorted by name and place: all but the first of a name repeat."""
-        table = table.combine_chunks()
-        row, start, name = rank_strings(table)
-        doc, tie = table.column("_id").to_numpy()[row], table.column("_tie").to_numpy()[row]
-        order = np.lexsort((start, tie, doc, name))
-        # Equal names follow their first; the first place may stand there more than once.
-        begins = np.concatenate([[True], name[order[1:]] != name[order[:-1]]])
-        lead = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
-        later = np.flatnonzero((doc[order] != doc[lead]) | (tie[order] != tie[lead]) | (start[order] != start[lead]))
-        chosen = np.sort(order[later])
-        if not len(chosen):
-            return pa.table({c: pa.array([], t) for c, t in (("_id", pa.int64()), ("_tie", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))})
-        first, end = _runs(start[chosen], row[chosen], length)
-        at = chosen[first]
-        return pa.table({"_id": doc[at], "_tie": tie[at], "start": start[at].astype(np.int32), "end": end.astype(np.int32)})
-
-    small = strings.filter(F.col("_n") <= group_rows).withColumn("_group", F.pmod("rank", F.lit(groups)))
-    found = small.groupBy("_group").applyInArrow(repeats, spans)
+                    rows.append((doc.as_py(), tie.as_py(), p["first"], p["at"], raw[p["first"] : p["last"] + length]))
+            if not rows:
+                continue
+            columns = list(zip(*rows))
+            name = names(np.frombuffer(b"".join(columns[4]), np.uint8), gram)
+            size = np.array([len(b) for b in columns[4]], np.int64)[:, None]
+            start = np.array(columns[3], np.int64)[:, None] + offsets
+            inside = (start >= 0) & (start + gram <= size)
+            start = np.where(inside, start + np.cumsum(size)[:, None] - size, 0)
+            block = pa.array(name[start].view(np.int64).ravel(), mask=~inside.ravel())
+            ends = pa.array(np.arange(0, inside.size + 1, len(offsets)), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.ListArray.from_arrays(ends, block)]
+            yield pa.record_batch(arrays, names=["_id", "_tie", "first", "at", "bytes", "blocks"])
+
+    schema = "_id long, _tie long, first int, at int, bytes binary, blocks array<long>"
+    rows = some.select("_id", "_tie", "packed", "places").mapInArrow(cut, schema)
+    # The numbers are fixed by being written.
+    return written(rows.withColumn("place", F.monotonically_increasing_id()), "stretches")
+
+
+def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
+    """``place windows``: of each place the windows that occur more than once, by the block that they start with.
+
+    Each round ranks pairs of what the round before left: windows of n blocks, and those that start as many blocks on as make
+    the window twice as long, or as long as the longest. A window whose part is gone occurs once, too.
+    """
+    blocks, before = _windows(length, gram)
+    left, size = stretches.select("place", F.col("blocks").alias("ranks")), 1
+    while True:
+        step = min(size, blocks - size)
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.lit(before + blocks - 1 - step)),
+            lambda j: F.when(
+                F.get("ranks", j).isNotNull() & F.get("ranks", j + step).isNotNull(),
+                F.xxhash64(F.get("ranks", j), F.get("ranks", j + step)),
+            ),
+        )
+        size += step
+        pairs = left.select("place", F.posexplode(pairs).alias("window", "rank")).filter("rank is not null")
+        pairs = written(pairs, "pairs")
+        # Counted and written first: the join has an exchange of its own, which adaptive execution can split.
+        shared = pairs.join(written(_shared(pairs, "rank"), "shared-pairs"), "rank")
+        kept = shared.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("window", "rank"))).alias("kept"))
+        if size == blocks:
+            return kept.select("place", F.map_keys("kept").alias("windows"))
+        every = F.sequence(F.lit(0), F.lit(before + blocks - 1))
+        left = kept.select("place", F.transform(every, lambda j: F.try_element_at("kept", j)).alias("ranks"))
+
+
+def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank."""
+    blocks, before = _windows(length, gram)
+    stretches = _stretches(texts, firsts, length, gram)
+    left = stretches.drop("blocks").join(_rounds(stretches, length, gram), "place")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            row, start, name = rank_strings(batch)
+        for batch in in_slices(batches, 4096):
+            raw = [b.as_py() for b in batch.column("bytes")]
+            sizes = np.array([len(b) for b in raw], np.int64)
+            count = sizes - length + 1
+            row = np.repeat(np.arange(len(raw)), count)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            remains = np.zeros((len(raw), before + blocks), bool)
+            windows = batch.column("windows")
+            remains[np.repeat(np.arange(len(raw)), windows.value_lengths().to_numpy()), windows.flatten().to_numpy()] = True
+            offset = batch.column("at").to_numpy().astype(np.int64)[row] - inside
+            alike = np.ones(len(row), bool)
+            for window in range(before + 1):
+                ahead = (before - window) * gram
+                holds = (offset >= ahead) & (offset <= ahead + length - blocks * gram)
+                alike &= ~holds | remains[row, window]
+            row, inside = row[alike], inside[alike]
+            name = names(np.frombuffer(b"".join(raw), np.uint8), length)
+            start = batch.column("first").to_numpy().astype(np.int64)[row] + inside
             yield pa.record_batch(
                 [
                     pa.array(batch.column("_id").to_numpy()[row]),
                     pa.array(batch.column("_tie").to_numpy()[row]),
                     pa.array(start.astype(np.int32)),
-                    pa.array(name.view(np.int64)),
+                    pa.array(name[(np.cumsum(sizes) - sizes)[row] + inside].view(np.int64)),
                 ],
                 names=["_id", "_tie", "start", "name"],
             )
 
-    # Ranks with more first places than a task takes: each string by itself, in joins that split what is frequent.
-    large = strings.filter(F.col("_n") > group_rows).mapInArrow(spread, "_id long, _tie long, start int, name long")
+    columns = left.select("_id", "_tie", "first", "at", "bytes", "windows")
+    strings = written(columns.mapInArrow(spread, "_id long, _tie long, start int, name long"), "strings")
     own = F.struct("_id", "_tie", "start")
-    first = large.groupBy("name").agg(F.min(own).alias("_first"), F.max(own).alias("_last")).filter("_first != _last")
-    later = large.join(first.drop("_last"), "name").filter(own != F.col("_first"))
-    return found.unionByName(later.select("_id", "_tie", "start", (F.col("start") + length).alias("end")))
+    first = strings.groupBy("name").agg(F.min(own).alias("_first"), F.max(own).alias("_last")).filter("_first != _last")
+    first = written(first.drop("_last"), "first-strings")
+    later = strings.join(first, "name").filter(own != F.col("_first"))
+    return later.select("_id", "_tie", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``_id _tie spans``: the byte ranges to remove (start, end; they may overlap) of documents that have any."""
     later, firsts = _ranked(texts, length, gram)
     whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    rest = _full_length(texts, firsts, length, group_rows)
+    rest = _full_length(texts, firsts, length, gram)
     spans = whole.unionByName(rest).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return written(spans, "spans")
 
@@ -253,7 +292,7 @@ def _apply(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
     return np.frombuffer(raw, np.uint8)[~removed].tobytes(), runs
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier, in a document of smaller id (NULL is smallest; of
@@ -262,7 +301,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_
     Other columns are ignored; an empty table gives no rows. Texts are below 2 GB.
     """
     texts = _texts(docs)
-    spans = repeated_spans(texts, length, gram, group_rows)
+    spans = repeated_spans(texts, length, gram)
     joined = _packed(texts).join(spans, ["_id", "_tie"], "left").select("_id", "packed", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

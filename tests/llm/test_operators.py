@@ -181,8 +181,8 @@ def removed_plainly(docs, length):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [1, 5000])
-def test_repeats_equal_a_plain_search(spark, group_rows):
+@pytest.mark.parametrize("length, gram", [(20, 6), (20, 3), (9, 6), (25, 4)])
+def test_repeats_equal_a_plain_search(spark, length, gram):
     rng = random.Random(3)
     passages = ["".join(rng.choice("abé ") for _ in range(rng.randrange(15, 60))) for _ in range(8)]
     docs = []
@@ -190,8 +190,25 @@ def test_repeats_equal_a_plain_search(spark, group_rows):
         parts = [rng.choice(passages) if rng.random() < 0.6 else "".join(rng.choice("abcdé") for _ in range(30)) for _ in range(4)]
         docs.append((i, "".join(parts)))
     docs += [(40, docs[3][1]), (41, "ab" * 60), (42, ""), (43, "short"), (44, "z" * 90)]
-    got = suffix_dedup.removal_report(table(spark, docs), length=20, gram=6, group_rows=group_rows).collect()
-    assert sorted(tuple(r) for r in got) == sorted(removed_plainly(docs, 20))
+    got = suffix_dedup.removal_report(table(spark, docs), length=length, gram=gram).collect()
+    assert sorted(tuple(r) for r in got) == sorted(removed_plainly(docs, length))
+
+
+def test_repeats_of_a_short_phrase_in_many_contexts(spark):
+    """Its places share their first rank only, and pairs of ranks tell nearly all of them apart before whole strings are made."""
+    rng = random.Random(5)
+    words = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, phrase = words(130), words(66)
+    docs = [(i, words(90) + phrase + words(90)) for i in range(400)]
+    docs += [(400 + i, words(40) + passage[:100 + i] + words(40)) for i in range(30)]
+    frame = table(spark, docs)
+    got = suffix_dedup.removal_report(frame).collect()
+    assert sorted(tuple(r) for r in got) == sorted(removed_plainly(docs, 100))
+    texts = suffix_dedup._texts(frame)
+    _, firsts = suffix_dedup._ranked(texts, 100, 24)
+    assert firsts.count() > 400
+    left = suffix_dedup._rounds(suffix_dedup._stretches(texts, firsts, 100, 24), 100, 24)
+    assert left.count() < 150
 
 
 def test_repeats_edges(edge, empty):
