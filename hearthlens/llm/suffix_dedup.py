@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import id_of, in_slices, row_key, written
+from .tables import id_of, in_slices, release, row_key, written
 
 LENGTH = 100
 GRAM = 24
@@ -137,20 +137,25 @@ def _shared(rows: DataFrame, rank: str) -> DataFrame:
 
 
 def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Places that repeat as a whole, and first places that share no more than their rank: ``_id _tie rank first last``.
+    """``_id _tie start end`` of places that repeat as a whole, and first places that share no more than their rank, both written.
 
     The first place of a pair of ranks is its name. All joins are on keys that adaptive execution can split or that are
     unique, so a passage of many documents gathers nowhere.
     """
     ranks = written(_shared(_places(texts, length, gram, whole=False), "rank"), "ranks")
     places = written(_places(texts, length, gram, whole=True).join(ranks, "rank", "left_semi"), "places")
+    release(ranks)
     own = F.struct("_id", "_tie", "first", "last", "at")
     firsts = places.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
     firsts = written(firsts.select("rank", "reach", "_own.*"), "firsts")
     later = places.join(firsts, ["rank", "reach", "_id", "_tie", "first"], "left_anti")
-    # Written, so that the join has an exchange of its own.
+    whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    whole = written(whole, "whole")
+    # Written first, so that the join has an exchange of its own.
     several = written(_shared(firsts, "rank"), "several")
-    return later, firsts.join(several, "rank", "left_semi")
+    sharing = written(firsts.join(several, "rank", "left_semi").select("_id", "_tie", "first", "last", "at"), "sharing")
+    release(places, firsts, several)
+    return whole, sharing
 
 
 def _windows(length: int, gram: int) -> tuple[int, int]:
@@ -205,7 +210,7 @@ def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
     the window twice as long, or as long as the longest. A window whose part is gone occurs once, too.
     """
     blocks, before = _windows(length, gram)
-    left, size = stretches.select("place", F.col("blocks").alias("ranks")), 1
+    left, size, before_this = stretches.select("place", F.col("blocks").alias("ranks")), 1, None
     while True:
         step = min(size, blocks - size)
         pairs = F.transform(
@@ -217,21 +222,31 @@ def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
         )
         size += step
         pairs = left.select("place", F.posexplode(pairs).alias("window", "rank")).filter("rank is not null")
-        pairs = written(pairs, "pairs")
         # Counted and written first: the join has an exchange of its own, which adaptive execution can split.
-        shared = pairs.join(written(_shared(pairs, "rank"), "shared-pairs"), "rank")
-        kept = shared.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("window", "rank"))).alias("kept"))
-        if size == blocks:
-            return kept.select("place", F.map_keys("kept").alias("windows"))
+        shared = written(_shared(pairs, "rank"), "shared-pairs")
+        kept = pairs.join(shared, "rank").groupBy("place")
+        kept = kept.agg(F.map_from_entries(F.collect_list(F.struct("window", "rank"))).alias("kept"))
         every = F.sequence(F.lit(0), F.lit(before + blocks - 1))
-        left = kept.select("place", F.transform(every, lambda j: F.try_element_at("kept", j)).alias("ranks"))
+        ranks = F.transform(every, lambda j: F.try_element_at("kept", j)).alias("ranks")
+        last = size == blocks
+        kept = written(kept.select("place", F.map_keys("kept").alias("windows") if last else ranks), "kept")
+        release(shared, *([before_this] if before_this else []))
+        if last:
+            return kept
+        left = before_this = kept
+
 
+def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank.
 
-def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank."""
+    Also the written tables that it is made of.
+    """
     blocks, before = _windows(length, gram)
     stretches = _stretches(texts, firsts, length, gram)
-    left = stretches.drop("blocks").join(_rounds(stretches, length, gram), "place")
+    windows = _rounds(stretches, length, gram)
+    columns = ["_id", "_tie", "first", "at", "bytes", "windows"]
+    left = written(stretches.join(windows, "place").select(*columns), "left")
+    release(stretches, windows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, 4096):
@@ -262,22 +277,23 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) ->
                 names=["_id", "_tie", "start", "name"],
             )
 
-    columns = left.select("_id", "_tie", "first", "at", "bytes", "windows")
-    strings = written(columns.mapInArrow(spread, "_id long, _tie long, start int, name long"), "strings")
+    # Made twice of what is left, which is smaller.
+    strings = left.mapInArrow(spread, "_id long, _tie long, start int, name long")
     own = F.struct("_id", "_tie", "start")
-    first = strings.groupBy("name").agg(F.min(own).alias("_first"), F.max(own).alias("_last")).filter("_first != _last")
-    first = written(first.drop("_last"), "first-strings")
+    first = strings.groupBy("name").agg(F.min(own).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    first = written(first.drop("_n"), "first-strings")
     later = strings.join(first, "name").filter(own != F.col("_first"))
-    return later.select("_id", "_tie", "start", (F.col("start") + length).alias("end"))
+    return later.select("_id", "_tie", "start", (F.col("start") + length).alias("end")), [left, first]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``_id _tie spans``: the byte ranges to remove (start, end; they may overlap) of documents that have any."""
-    later, firsts = _ranked(texts, length, gram)
-    whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    rest = _full_length(texts, firsts, length, gram)
+    whole, firsts = _ranked(texts, length, gram)
+    rest, used = _full_length(texts, firsts, length, gram)
     spans = whole.unionByName(rest).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return written(spans, "spans")
+    spans = written(spans, "spans")
+    release(whole, firsts, *used)
+    return spans
 
 
 def _apply(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
