@@ -296,13 +296,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return spans
 
 
-def _apply(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+def _apply(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int]:
     """The bytes outside the spans, and the number of maximal removed runs."""
-    if not spans:
+    if not len(start):
         return raw, 0
     gone = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(gone, [s["start"] for s in spans], 1)
-    np.add.at(gone, [s["end"] for s in spans], -1)
+    np.add.at(gone, start, 1)
+    np.add.at(gone, end, -1)
     removed = np.cumsum(gone)[:-1] > 0
     runs = int(removed[0]) + int((removed[1:] & ~removed[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~removed].tobytes(), runs
@@ -323,9 +323,13 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             rows = []
-            for packed, spans in zip(batch.column(1), batch.column(2)):
+            spans = batch.column(2)
+            start, end = (c.to_numpy() for c in spans.flatten().flatten())
+            upto = np.cumsum([0, *spans.value_lengths().fill_null(0).to_pylist()])
+            for i, packed in enumerate(batch.column(1)):
                 raw = zstandard.decompress(packed.as_py())
-                kept, runs = _apply(raw, spans.as_py())
+                own = slice(upto[i], upto[i + 1])
+                kept, runs = _apply(raw, start[own], end[own])
                 rows.append((len(raw), len(raw) - len(kept), runs, kept))
             columns = list(zip(*rows)) if rows else [()] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
