@@ -39,6 +39,8 @@ def features(text: str | None) -> np.ndarray:
     whole = (text or "").encode("utf-8", "replace")
     found = []
     overlap = max(GRAM_SIZES) - 1
+    # Length and sum of the part of a word that the bytes before end with.
+    begun, part = 0, np.uint64(0)
     with np.errstate(over="ignore"):
         for at in range(0, max(len(whole), 1), BYTES_AT_ONCE):
             data = np.frombuffer(whole[at : at + BYTES_AT_ONCE + overlap], np.uint8)
@@ -52,12 +54,21 @@ def features(text: str | None) -> np.ndarray:
             # A word's hash is the sum of its bytes' hashes, each by its place in the word.
             space = _SPACE[data[:own]]
             place = np.arange(own)
-            last = np.maximum.accumulate(np.where(space, place, -1))
+            last = np.maximum.accumulate(np.where(space, place, -1 - begun))
             mixed = (codes[:own] + np.uint64(1)) * ((place - last).astype(np.uint64) * _MIX | np.uint64(1))
             sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(space, np.uint64(0), mixed), dtype=np.uint64)])
             edges = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
             starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-            found.append(_buckets(sums[ends] - sums[starts], 1))
+            word = sums[ends] - sums[starts]
+            if begun and own and not space[0]:
+                word[0] += part
+            elif begun:
+                word, starts = np.concatenate([[part], word]), np.concatenate([[-1], starts])
+            if at + own < len(whole) and not space[-1]:
+                begun, part, word = own - starts[-1] + (begun if starts[-1] == 0 else 0), word[-1], word[:-1]
+            else:
+                begun = 0
+            found.append(_buckets(word, 1))
     return np.concatenate(found)
 
 
@@ -133,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
                 batch.column(0),
                 batch.column(2),
                 pa.array([b.astype("<u2").tobytes() for b, _ in each], pa.binary()),
-                pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in each], pa.binary()),
+                pa.array([c.astype("<u4").tobytes() for _, c in each], pa.binary()),
             ]
             yield pa.record_batch(columns, names=["doc_id", "label", "buckets", "counts"])
 
@@ -141,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     found = found.orderBy(order, "doc_id", "label", "buckets", "counts").limit(sample_rows).collect()
     if not found:
         return None
-    sample = [(np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u2").astype(np.float32)) for r in found]
+    sample = [(np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.float32)) for r in found]
     return train(sample, np.array([r[1] for r in found]))
 
 

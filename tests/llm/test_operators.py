@@ -219,6 +219,24 @@ def test_repeats_edges(edge, empty):
     assert suffix_dedup.removal_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 2, 3, 7, 64])
+def test_features_do_not_depend_on_how_a_text_is_cut(monkeypatch, at_once):
+    texts = ["", "a", " ", "one two", " lead and trail ", "x" * 50, "ab  cd\n" * 9, "é" * 9 + " ü"]
+    whole = [sorted(quality.features(t)) for t in texts]
+    monkeypatch.setattr(quality, "BYTES_AT_ONCE", at_once)
+    assert [sorted(quality.features(t)) for t in texts] == whole
+
+
+def test_counts_of_long_texts_are_whole(spark):
+    """A word more often than 16 bits can say still weighs by its count."""
+    bucket, count = quality._counted("zq " * 70_000)
+    assert count.max() == 70_000
+    docs = table(spark, [(i, ("zq " * 70_000 if i % 2 else "good prose of its own ") + str(i)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.scores(docs, quality.fit(docs, labels)).collect()}
+    assert min(found[i] for i in range(1, 20, 2)) > max(found[i] for i in range(0, 20, 2))
+
+
 def test_lines(spark, edge, empty):
     rows = table(spark, [(1, "a\nb\nc\nd"), (2, "q\na\nb\nc\nr"), (3, "b\nc"), (4, "b\nc\nd\nb\nc\nd\n"), (None, None)])
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_report(rows).collect()}
