@@ -1,6 +1,7 @@
 """Each operator against plain Python, and on tables with NULLs, empty texts, repeats, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -237,6 +238,18 @@ def test_counts_of_long_texts_are_whole(spark):
     assert min(found[i] for i in range(1, 20, 2)) > max(found[i] for i in range(0, 20, 2))
 
 
+def test_scores_equal_the_plain_average_and_softmax(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["fine", "prose", "buy", "now", "ünd"]) for _ in range(rng.randrange(0, 12))) for _ in range(30)]
+    docs = table(spark, list(enumerate(texts)))
+    model = quality.fit(docs, spark.createDataFrame([(i, int("buy" in t)) for i, t in enumerate(texts)], "doc_id long, quality int"))
+    for row in quality.scores(docs, model).collect():
+        buckets = quality.features(texts[row.doc_id])
+        mean = [sum(float(model.vectors[b][k]) for b in buckets) / max(1, len(buckets)) for k in range(model.vectors.shape[1])]
+        zero, one = (sum(m * float(w) for m, w in zip(mean, model.layer[c])) + float(model.bias[c]) for c in (0, 1))
+        assert row.score == pytest.approx(math.exp(one) / (math.exp(zero) + math.exp(one)), abs=1e-4)
+
+
 def test_lines(spark, edge, empty):
     rows = table(spark, [(1, "a\nb\nc\nd"), (2, "q\na\nb\nc\nr"), (3, "b\nc"), (4, "b\nc\nd\nb\nc\nd\n"), (None, None)])
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_report(rows).collect()}
