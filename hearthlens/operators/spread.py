@@ -17,10 +17,11 @@ ROWS_A_TASK = 1_000_000
 def sorted_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     """Global sort in one pass. Ties are ordered by a hash of the row, and copies by the partition they come from, so ranges can split both.
 
-    A task that is run again has the same rows in the same partition, if not in the same order; a number within it would not do.
+    A task that is run again has the same rows in the same partition, if not in the same order; a number within it would not do. The
+    hash is a column, as a sort makes its expressions anew each time it compares two rows.
     """
-    told = df.withColumn("_from", F.spark_partition_id())
-    return told.orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_from").drop("_from")
+    told = df.withColumns({"_tie": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_from": F.spark_partition_id()})
+    return told.orderBy(*order, "_tie", "_from").drop("_tie", "_from")
 
 
 def repeat_rows(df: DataFrame, times: str, position: str, chunk: int = 10_000) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hot copies in global sorts, and large counts written out."""
 
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def test_ten_million_copies_of_a_row_are_sorted_by_many_tasks(spark, scratch):
     assert plan_of(spread.sorted_rows(spark.read.parquet(f"{scratch}/rows"), "id")).count("FileScan") == 1
 
 
+def test_a_sort_compares_hashes_made_before(spark):
+    rows = spark.createDataFrame([(i % 2, str(i)) for i in range(100)], "k int, `t.x` string")
+    plan = plan_of(spread.sorted_rows(rows, F.desc("k")))
+    compared = [li for li in plan.splitlines() if re.search(r"[-+:] (\*\(\d+\) )?Sort |rangepartitioning", li)]
+    assert len(compared) == 2 and not any("xxhash64" in li for li in compared)
+    assert spread.sorted_rows(rows, "k").columns == rows.columns
+
+
 def test_few_copies_of_many_rows(spark):
     rows = spark.createDataFrame([(i % 50, None if i % 3 else float(i % 7), "a.b") for i in range(3000)], "k int, v double, `t.x` string")
     got = [tuple(r) for r in spread.sorted_rows(rows, F.desc("k")).collect()]
