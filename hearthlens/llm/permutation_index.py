@@ -43,26 +43,25 @@ def orders(vectors: np.ndarray, pivots_: np.ndarray, posted: int) -> np.ndarray:
 
 
 class Postings:
-    """The inverted file of one block of rows: for each pivot, who has it among its nearest, and at which rank."""
+    """The inverted file of one block of rows: for each pivot, how near it is to each row, from ``posted`` down to 1, and 0 if not posted.
+
+    A posting has a place for every row, so that many are added up without looking rows up: two bytes for each pivot and row.
+    """
 
     def __init__(self, order: np.ndarray, n_pivots: int):
         n, posted = order.shape
-        by_pivot = np.argsort(order, axis=None, kind="stable")
-        self.posted, self.n = posted, n
-        self.rows = (by_pivot // posted).astype(np.int32)
-        self.ranks = (by_pivot % posted).astype(np.int32)
-        self.ends = np.searchsorted(order.ravel()[by_pivot], np.arange(n_pivots + 1))
+        # The largest sum must fit in.
+        kind = np.int16 if posted * (posted + 1) // 2 <= np.iinfo(np.int16).max else np.int32
+        self.weights = np.arange(posted, 0, -1, dtype=kind)
+        self.near = np.zeros((n_pivots, n), kind)
+        self.near[order, np.arange(n)[:, None]] = self.weights
 
     def closeness(self, order: np.ndarray) -> np.ndarray:
         """How much the footrule distance falls short of that between orders without a common pivot.
 
         With absent pivots placed after all others, a pivot at ranks i and j takes 2 * (posted - max(i, j)) off.
         """
-        gain = np.zeros(self.n, np.int32)
-        for rank, pivot in enumerate(order.tolist()):
-            part = slice(self.ends[pivot], self.ends[pivot + 1])
-            gain[self.rows[part]] += self.posted - np.maximum(self.ranks[part], rank)
-        return gain
+        return np.minimum(self.near[order], self.weights[:, None]).sum(axis=0, dtype=self.near.dtype)
 
 
 def nearest(
@@ -97,7 +96,7 @@ def nearest(
                 else:
                     some = np.arange(len(ids))
                 some = some[some != own_place(ids, block, query_id, query)]
-                scores = block[some] @ query
+                scores = block.take(some, axis=0) @ query
                 best = best_of(ids[some], scores, k)
                 yield some[best], scores[best]
 
