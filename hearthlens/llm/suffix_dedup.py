@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,10 @@ LENGTH = 100
 GRAM = 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
+_OTHER = 0xC2B2AE3D27D4EB4D
 _HIGH = np.uint64(0xFFFFFFFF00000000)
+#: Bytes of short texts that are worked on at once: enough to make little of the cost of each call, few enough to stay in a core's cache.
+JOINED = 1 << 14
 
 
 def names(data: np.ndarray, size: int) -> np.ndarray:
@@ -35,27 +37,37 @@ def names(data: np.ndarray, size: int) -> np.ndarray:
         level = {1: (data.astype(np.uint64) + np.uint64(1)) * _MIX}
         power, have, n = {1: _BASE}, level[1], 1
         while 2 * n <= size:
-            have = have[: len(have) - n] * power[n] + have[n:]
+            longer = have[: len(have) - n] * power[n]
+            longer += have[n:]
+            have = longer
             power[2 * n], n = power[n] * power[n], 2 * n
             if size & n:  # made use of below
                 level[n] = have
         while n < size:
             part = 1 << ((size - n).bit_length() - 1)
             count = max(0, len(data) - n - part + 1)
-            have = have[:count] * power[part] + level[part][n : n + count]
+            have = have[:count] * power[part]
+            have += level[part][n : n + count]
             n += part
+        return _mixed(have)
+
+
+def _mixed(have: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
         have = (have ^ (have >> np.uint64(33))) * _MIX
-        return have ^ (have >> np.uint64(29))
+        have ^= have >> np.uint64(29)
+        return have
 
 
-def sampled(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled places with the names of their ``gram`` bytes, and the first and last string that samples each.
+def sampled(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Sampled places of texts that stand one after the other, with the names of their ``gram`` bytes, the first and last string that
+    samples each, and the number of the text.
 
-    A string samples its place with the least name (upper half), the first of equal ones.
+    A string samples its place with the least name (upper half), the first of equal ones. Strings across a border of texts don't count.
     """
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     name = names(data, gram)
     least = (name & _HIGH) | np.arange(len(name), dtype=np.uint64)
     width, n = length - gram + 1, 1
@@ -64,9 +76,55 @@ def sampled(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     if n < width:
         least = np.minimum(least[: len(least) - (width - n)], least[width - n :])
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-    return place[first], name[place[first]], first, last
+    begin = np.cumsum(sizes) - sizes
+    stop = begin + np.maximum(0, sizes - length + 1)  # behind the text's last string
+    turn = np.ones(len(place) + 1, bool)
+    np.not_equal(place[1:], place[:-1], out=turn[1:-1])
+    turn[begin[begin < len(place)]] = True
+    turn[stop[stop < len(place)]] = True
+    turns = np.flatnonzero(turn)
+    first, last = turns[:-1], turns[1:] - 1
+    text = np.searchsorted(begin, first, "right") - 1
+    inside = first < stop[text]
+    first, last, text = first[inside], last[inside], text[inside]
+    return place[first], name[place[first]], first, last, text
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    """The powers of ``base`` from 0 on."""
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(count - 1, base, np.uint64)]))
+
+
+def reached(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name of the bytes from each ``start`` to its ``end`` with ``at``: the difference of two running sums, as if it stood at 0."""
+    known = _POWERS if len(data) <= JOINED else [_powers(int(p[1]), len(data) + 1) for p in _POWERS]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * known[0][: len(data)], out=sums[1:])
+        name = _mixed((sums[end] - sums[start]) * known[1][start])
+        return _mixed(name + (end - start).astype(np.uint64) * _BASE + at.astype(np.uint64))
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of texts, and the border before each text and behind the last."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    border = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[border[0] : border[-1]], border - border[0]
+
+
+def _joined(border: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts to work on at once: the first, and the one behind the last. Beyond ``JOINED`` bytes a text stands alone."""
+    begin, count = 0, len(border) - 1
+    while begin < count:
+        stop = max(begin + 1, int(np.searchsorted(border, border[begin] + JOINED, "left")) - 1)
+        yield begin, stop
+        begin = stop
+
+
+#: Powers of a base and of its inverse, so far as joined texts need them.
+_POWERS = [_powers(b, JOINED + 1) for b in (_OTHER, pow(_OTHER, -1, 2**64))]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -83,7 +141,8 @@ def _packed(texts: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in in_slices(batches):
-            packed = [compress(t.as_py().encode("utf-8", "replace")) for t in batch.column(2)]
+            data, border = _raw(batch.column(2))
+            packed = [compress(data[a:b]) for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["_id", "_tie", "packed"])
 
     return texts.select("_id", "_tie", "text").mapInArrow(pack, "_id long, _tie long, packed binary")
@@ -95,16 +154,16 @@ def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
+            data, border = _raw(batch.column(2))
             parts = []
-            for i, text in enumerate(batch.column(2)):
-                raw = text.as_py().encode("utf-8", "replace")
-                at, rank, first, last = sampled(np.frombuffer(raw, np.uint8), length, gram)
+            for a, b in _joined(border):
+                some, begin = data[border[a] : border[b]], border[a:b] - border[a]
+                at, rank, first, last, text = sampled(some, np.diff(border[a : b + 1]), length, gram)
                 if not len(at):
                     continue
                 if whole:
-                    digest = xxhash.xxh64_intdigest
-                    reach = [digest(raw[a:b], p - a) for p, a, b in zip(at.tolist(), first.tolist(), (last + length).tolist())]
-                    parts.append((np.full(len(at), i), rank, np.array(reach, np.uint64), first, last, at - first))
+                    reach = reached(some, first, last + length, at - first)
+                    parts.append((text + a, rank, reach, first - begin[text], last - begin[text], at - first))
                 else:
                     parts.append((rank,))
             if not parts:
@@ -136,26 +195,36 @@ def _shared(rows: DataFrame, rank: str) -> DataFrame:
     return rows.groupBy(rank).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(rank)
 
 
+def _hashed(unique: DataFrame) -> DataFrame:
+    """For the side of a join whose keys are unique and spread evenly: hashed in memory, so that the other side need not be sorted."""
+    return unique.hint("shuffle_hash")
+
+
 def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """``_id _tie start end`` of places that repeat as a whole, and first places that share no more than their rank, both written.
 
     The first place of a pair of ranks is its name. All joins are on keys that adaptive execution can split or that are
-    unique, so a passage of many documents gathers nowhere.
+    unique, so a passage of many documents gathers nowhere. First places have a ``place``, a number in the order of ``_id _tie first``.
     """
     ranks = written(_shared(_places(texts, length, gram, whole=False), "rank"), "ranks")
-    places = written(_places(texts, length, gram, whole=True).join(ranks, "rank", "left_semi"), "places")
+    places = written(_places(texts, length, gram, whole=True).join(_hashed(ranks), "rank", "left_semi"), "places")
     release(ranks)
     own = F.struct("_id", "_tie", "first", "last", "at")
     firsts = places.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
     firsts = written(firsts.select("rank", "reach", "_own.*"), "firsts")
-    later = places.join(firsts, ["rank", "reach", "_id", "_tie", "first"], "left_anti")
+    later = places.join(_hashed(firsts), ["rank", "reach", "_id", "_tie", "first"], "left_anti")
     whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     whole = written(whole, "whole")
     # Written first, so that the join has an exchange of its own.
     several = written(_shared(firsts, "rank"), "several")
-    sharing = written(firsts.join(several, "rank", "left_semi").select("_id", "_tie", "first", "last", "at"), "sharing")
+    sharing = firsts.join(_hashed(several), "rank", "left_semi").select("_id", "_tie", "first", "last", "at")
+    sharing = written(sharing, "sharing")
     release(places, firsts, several)
-    return whole, sharing
+    # Sorted from a written table, as a sort reads its rows twice. The numbers are fixed by being written.
+    ordered = sharing.orderBy("_id", "_tie", "first").withColumn("place", F.monotonically_increasing_id())
+    ordered = written(ordered, "ordered")
+    release(sharing)
+    return whole, ordered
 
 
 def _windows(length: int, gram: int) -> tuple[int, int]:
@@ -167,44 +236,45 @@ def _windows(length: int, gram: int) -> tuple[int, int]:
 
 
 def _stretches(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``place _id _tie first at bytes blocks``: what the strings of each place reach, and the names of its blocks.
+    """``place at bytes blocks``: what the strings of each place reach, and the names of its blocks.
 
-    ``blocks`` starts with the block that lies furthest before the place; blocks out of reach are NULL. ``place`` is a number for the row.
+    ``blocks`` starts with the block that lies furthest before the place; blocks out of reach are NULL.
     """
     blocks, before = _windows(length, gram)
-    each = firsts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("first", "last", "at")).alias("places"))
+    each = firsts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("place", "first", "last", "at")).alias("places"))
     some = _packed(texts).join(each, ["_id", "_tie"])
     offsets = np.arange(-before, blocks) * gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            rows = []
-            for doc, tie, packed, places in zip(*(batch.column(i) for i in range(4))):
+            places = batch.column(1)
+            place, first, last, at = (c.to_numpy() for c in places.flatten().flatten())
+            end = last + length
+            upto = np.cumsum([0, *places.value_lengths().to_pylist()])
+            parts = []
+            for i, packed in enumerate(batch.column(0)):
                 raw = zstandard.decompress(packed.as_py())
-                for p in places.as_py():
-                    rows.append((doc.as_py(), tie.as_py(), p["first"], p["at"], raw[p["first"] : p["last"] + length]))
-            if not rows:
-                continue
-            columns = list(zip(*rows))
-            name = names(np.frombuffer(b"".join(columns[4]), np.uint8), gram)
-            size = np.array([len(b) for b in columns[4]], np.int64)[:, None]
-            start = np.array(columns[3], np.int64)[:, None] + offsets
-            inside = (start >= 0) & (start + gram <= size)
-            start = np.where(inside, start + np.cumsum(size)[:, None] - size, 0)
-            block = pa.array(name[start].view(np.int64).ravel(), mask=~inside.ravel())
-            ends = pa.array(np.arange(0, inside.size + 1, len(offsets)), pa.int32())
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.ListArray.from_arrays(ends, block)]
-            yield pa.record_batch(arrays, names=["_id", "_tie", "first", "at", "bytes", "blocks"])
-
-    schema = "_id long, _tie long, first int, at int, bytes binary, blocks array<long>"
-    rows = some.select("_id", "_tie", "packed", "places").mapInArrow(cut, schema)
-    # The numbers are fixed by being written.
-    return written(rows.withColumn("place", F.monotonically_increasing_id()), "stretches")
+                own = slice(upto[i], upto[i + 1])
+                parts += [raw[a:b] for a, b in zip(first[own].tolist(), end[own].tolist())]
+            # So many at once that their names stay in a core's cache.
+            for k in range(0, len(parts), 128):
+                some = slice(k, k + 128)
+                name = names(np.frombuffer(b"".join(parts[some]), np.uint8), gram)
+                size = (end - first)[some].astype(np.int64)[:, None]
+                start = at[some].astype(np.int64)[:, None] + offsets
+                inside = (start >= 0) & (start + gram <= size)
+                start = np.where(inside, start + np.cumsum(size)[:, None] - size, 0)
+                block = pa.array(name[start].view(np.int64).ravel(), mask=~inside.ravel())
+                ends = pa.array(np.arange(0, inside.size + 1, len(offsets)), pa.int32())
+                arrays = [pa.array(place[some]), pa.array(at[some]), pa.array(parts[some], pa.binary())]
+                yield pa.record_batch([*arrays, pa.ListArray.from_arrays(ends, block)], names=["place", "at", "bytes", "blocks"])
+
+    rows = some.select("packed", "places").mapInArrow(cut, "place long, at int, bytes binary, blocks array<long>")
+    return written(rows, "stretches")
 
 
 def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
-    """``place windows``: of each place the windows that occur more than once, by the block that they start with.
+    """``place ranks``: of each place the ranks of windows that occur more than once, by the block that they start with, NULL for others.
 
     Each round ranks pairs of what the round before left: windows of n blocks, and those that start as many blocks on as make
     the window twice as long, or as long as the longest. A window whose part is gone occurs once, too.
@@ -224,14 +294,11 @@ def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
         pairs = left.select("place", F.posexplode(pairs).alias("window", "rank")).filter("rank is not null")
         # Counted and written first: the join has an exchange of its own, which adaptive execution can split.
         shared = written(_shared(pairs, "rank"), "shared-pairs")
-        kept = pairs.join(shared, "rank").groupBy("place")
-        kept = kept.agg(F.map_from_entries(F.collect_list(F.struct("window", "rank"))).alias("kept"))
-        every = F.sequence(F.lit(0), F.lit(before + blocks - 1))
-        ranks = F.transform(every, lambda j: F.try_element_at("kept", j)).alias("ranks")
-        last = size == blocks
-        kept = written(kept.select("place", F.map_keys("kept").alias("windows") if last else ranks), "kept")
+        kept = pairs.join(_hashed(shared), "rank").groupBy("place")
+        ranks = [F.max(F.when(F.col("window") == j, F.col("rank"))) for j in range(before + blocks)]
+        kept = written(kept.agg(F.array(*ranks).alias("ranks")), "kept")
         release(shared, *([before_this] if before_this else []))
-        if last:
+        if size == blocks:
             return kept
         left = before_this = kept
 
@@ -239,25 +306,24 @@ def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
 def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
     """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank.
 
-    Also the written tables that it is made of.
+    Also the written tables that it is made of. A string's number is its place's, with the string's own in the last ``bits``: numbers
+    are in the order of ``_id _tie start``, so they alone are moved and compared.
     """
     blocks, before = _windows(length, gram)
+    bits, words = (length - gram).bit_length(), (length - gram) // 64 + 1
     stretches = _stretches(texts, firsts, length, gram)
     windows = _rounds(stretches, length, gram)
-    columns = ["_id", "_tie", "first", "at", "bytes", "windows"]
-    left = written(stretches.join(windows, "place").select(*columns), "left")
+    left = written(stretches.join(_hashed(windows), "place").select("place", "at", "bytes", "ranks"), "left")
     release(stretches, windows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, 4096):
+        for batch in in_slices(batches, 128):
             raw = [b.as_py() for b in batch.column("bytes")]
             sizes = np.array([len(b) for b in raw], np.int64)
             count = sizes - length + 1
             row = np.repeat(np.arange(len(raw)), count)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            remains = np.zeros((len(raw), before + blocks), bool)
-            windows = batch.column("windows")
-            remains[np.repeat(np.arange(len(raw)), windows.value_lengths().to_numpy()), windows.flatten().to_numpy()] = True
+            remains = batch.column("ranks").flatten().is_valid().to_numpy(zero_copy_only=False).reshape(len(raw), before + blocks)
             offset = batch.column("at").to_numpy().astype(np.int64)[row] - inside
             alike = np.ones(len(row), bool)
             for window in range(before + 1):
@@ -266,24 +332,35 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) ->
                 alike &= ~holds | remains[row, window]
             row, inside = row[alike], inside[alike]
             name = names(np.frombuffer(b"".join(raw), np.uint8), length)
-            start = batch.column("first").to_numpy().astype(np.int64)[row] + inside
-            yield pa.record_batch(
-                [
-                    pa.array(batch.column("_id").to_numpy()[row]),
-                    pa.array(batch.column("_tie").to_numpy()[row]),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(name[(np.cumsum(sizes) - sizes)[row] + inside].view(np.int64)),
-                ],
-                names=["_id", "_tie", "start", "name"],
-            )
+            number = (batch.column("place").to_numpy()[row] << bits) | inside
+            rank = name[(np.cumsum(sizes) - sizes)[row] + inside].view(np.int64)
+            yield pa.record_batch([pa.array(number), pa.array(rank)], names=["number", "name"])
 
     # Made twice of what is left, which is smaller.
-    strings = left.mapInArrow(spread, "_id long, _tie long, start int, name long")
-    own = F.struct("_id", "_tie", "start")
-    first = strings.groupBy("name").agg(F.min(own).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    strings = left.mapInArrow(spread, "number long, name long")
+    first = strings.groupBy("name").agg(F.min("number").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     first = written(first.drop("_n"), "first-strings")
-    later = strings.join(first, "name").filter(own != F.col("_first"))
-    return later.select("_id", "_tie", "start", (F.col("start") + length).alias("end")), [left, first]
+    later = strings.join(_hashed(first), "name").filter("number != _first")
+    inside = F.col("number").bitwiseAND(F.lit((1 << bits) - 1))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), inside.bitwiseAND(F.lit(63)).cast("int"))
+    flags = [F.bit_or(F.when(F.shiftright(inside, 6) == w, flag)) for w in range(words)]
+    flags = [F.coalesce(f, F.lit(0).cast("long")).alias(f"flags{w}") for w, f in enumerate(flags)]
+    gone = later.groupBy(F.shiftright("number", bits).alias("place")).agg(*flags)
+    gone = firsts.select("place", "_id", "_tie", "first").join(_hashed(gone), "place")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 4096):
+            word = np.stack([batch.column(3 + w).to_numpy() for w in range(words)], axis=1)
+            flagged = np.unpackbits(word.astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            turn = np.diff(np.pad(flagged, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            row, start = np.nonzero(turn == 1)
+            end = np.nonzero(turn == -1)[1] - 1 + length
+            first = batch.column(2).to_numpy()[row]
+            span = [pa.array((first + x).astype(np.int32)) for x in (start, end)]
+            yield pa.record_batch([*(pa.array(batch.column(c).to_numpy()[row]) for c in (0, 1)), *span], names=["_id", "_tie", "start", "end"])
+
+    columns = ["_id", "_tie", "first", *[f"flags{w}" for w in range(words)]]
+    return gone.select(*columns).mapInArrow(runs, "_id long, _tie long, start int, end int"), [left, first]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

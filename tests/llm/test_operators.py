@@ -213,6 +213,23 @@ def test_repeats_of_a_short_phrase_in_many_contexts(spark):
     assert left.count() < 150
 
 
+def test_places_of_joined_texts_are_those_of_each_text():
+    rng = random.Random(11)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 99, 100, 0, 101, 500, 24, 1300, 100, 0)]
+    size = np.array([len(t) for t in texts])
+    data, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size
+    at, rank, first, last, text = suffix_dedup.sampled(data, size, 100, 24)
+    reach = suffix_dedup.reached(data, first, last + 100, at - first)
+    together = sorted(zip(text, at - begin[text], rank, first - begin[text], last - begin[text], reach))
+    alone = []
+    for i, one in enumerate(texts):
+        raw = np.frombuffer(one, np.uint8)
+        p, r, a, b, _ = suffix_dedup.sampled(raw, np.array([len(one)]), 100, 24)
+        alone += zip([i] * len(p), p, r, a, b, suffix_dedup.reached(raw, a, b + 100, p - a))
+    assert together == sorted(alone)
+    assert sum(b - a + 1 for _, _, _, a, b, _ in together) == sum(max(0, n - 99) for n in size)
+
+
 def test_repeats_edges(edge, empty):
     got = suffix_dedup.removal_report(edge).collect()
     assert len(got) == len(EDGE)
