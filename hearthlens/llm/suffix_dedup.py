@@ -1,8 +1,8 @@
 """Removal of repeated passages: byte strings of a given length that also start earlier in the corpus.
 
 Prefix doubling on sampled places. In every string of the length looked for, one place is sampled: the one whose k bytes hash lowest,
-which depends on the string alone, so equal strings sample the same place. Spark ranks the sampled places by the hash of their k bytes and
-drops those of a rank of their own. Places that agree in everything that strings sampled there reach repeat as a whole, but for the first
+which depends on the string alone, so equal strings sample the same place. The sampled places are ranked by the hash of their k bytes, in packets
+that Spark deals out by rank, and those of a rank of their own dropped. Places that agree in everything that strings sampled there reach repeat as a whole, but for the first
 of them. The first places that share no more than a rank go through rounds: blocks of k bytes beside the place are ranked in pairs, the
 pairs in pairs at a greater offset, as long as strings of the length looked for must hold one, and Spark drops pairs that occur once. In
 the last round the strings whose pairs all remain are ranked at their full length. Ranks are 64-bit hashes, and strings count as equal
@@ -29,6 +29,12 @@ _OTHER = 0xC2B2AE3D27D4EB4D
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Bytes of short texts that are worked on at once: enough to make little of the cost of each call, few enough to stay in a core's cache.
 JOINED = 1 << 14
+#: Places that a task gathers before it deals them out, and that a part gets about; equal ones from which a task sends on the first only.
+GATHERED, DEALT, MANY = 1 << 18, 1 << 19, 8
+#: Of so many documents one is looked at for ranks that are heavy.
+LOOK = 16
+#: A place as it is packed.
+_KINDS = {"rank": "<u8", "reach": "<u8", "_id": "<i8", "_tie": "<i8", "first": "<i4", "last": "<i4", "at": "<i4", "known": "u1"}
 
 
 def names(data: np.ndarray, size: int) -> np.ndarray:
@@ -148,46 +154,115 @@ def _packed(texts: DataFrame) -> DataFrame:
     return texts.select("_id", "_tie", "text").mapInArrow(pack, "_id long, _tie long, packed binary")
 
 
-def _places(texts: DataFrame, length: int, gram: int, whole: bool) -> DataFrame:
-    """``rank`` of every sampled place; with ``whole`` also its strings, ``at``, its distance from the first of them, and ``reach``,
-    the name of all their bytes."""
+def _sampled(batch: pa.RecordBatch, length: int, gram: int) -> dict[str, np.ndarray]:
+    """The places of a batch ``_id _tie text``: the number of the row, ``rank``, ``reach``, the name of all bytes that strings sampled there
+    reach, the ``first`` and ``last`` of these strings, and ``at``, the place's distance from the first."""
+    data, border = _raw(batch.column(2))
+    parts = []
+    for a, b in _joined(border):
+        some, begin = data[border[a] : border[b]], border[a:b] - border[a]
+        at, rank, first, last, text = sampled(some, np.diff(border[a : b + 1]), length, gram)
+        reach = reached(some, first, last + length, at - first)
+        parts.append((text + a, rank, reach, first - begin[text], last - begin[text], at - first))
+    return dict(zip(("row", "rank", "reach", "first", "last", "at"), (np.concatenate(c) for c in zip(*parts))))
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _heavy(texts: DataFrame, length: int, gram: int) -> tuple[int, np.ndarray]:
+    """For dealing out places: into how many parts, and the ranks that would fill much of one, by a sample of the documents.
+
+    Both only say which task does what; no result depends on them.
+    """
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            data, border = _raw(batch.column(2))
-            parts = []
-            for a, b in _joined(border):
-                some, begin = data[border[a] : border[b]], border[a:b] - border[a]
-                at, rank, first, last, text = sampled(some, np.diff(border[a : b + 1]), length, gram)
-                if not len(at):
-                    continue
-                if whole:
-                    reach = reached(some, first, last + length, at - first)
-                    parts.append((text + a, rank, reach, first - begin[text], last - begin[text], at - first))
-                else:
-                    parts.append((rank,))
-            if not parts:
-                continue
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            if not whole:
-                yield pa.record_batch([pa.array(columns[0].view(np.int64))], names=["rank"])
-                continue
-            i, rank, reach, first, last, at = columns
-            yield pa.record_batch(
-                [
-                    pa.array(batch.column(0).to_numpy()[i]),
-                    pa.array(batch.column(1).to_numpy()[i]),
-                    pa.array(rank.view(np.int64)),
-                    pa.array(reach.view(np.int64)),
-                    pa.array(first.astype(np.int32)),
-                    pa.array(last.astype(np.int32)),
-                    pa.array(at.astype(np.int32)),
-                ],
-                names=["_id", "_tie", "rank", "reach", "first", "last", "at"],
-            )
-
-    schema = "_id long, _tie long, rank long, reach long, first int, last int, at int" if whole else "rank long"
-    return texts.select("_id", "_tie", "text").mapInArrow(sample, schema)
+            yield pa.record_batch([pa.array(_sampled(batch, length, gram)["rank"].view(np.int64))], names=["rank"])
+
+    some = texts.filter(F.pmod(F.xxhash64("_id", "_tie"), F.lit(LOOK)) == 0)
+    counts = some.mapInArrow(ranks, "rank long").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "look")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), LOOK * total // DEALT)
+    # At most four ranks for each part.
+    heavy = [r.rank for r in counts.filter(F.col("n") > max(8, total // (4 * parts))).collect()]
+    release(counts)
+    return parts, np.sort(np.array(heavy, np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ``known`` ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _firsts(places: dict[str, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of ``some`` places by rank and reach; which is the first of the documents' places of its pair; which stands later than that."""
+    some = some[np.lexsort([places[c][some] for c in ("first", "_tie", "_id", "reach", "rank")])]
+    own = {c: places[c][some] for c in places}
+    head = np.ones(len(some), bool)
+    head[1:] = (own["rank"][1:] != own["rank"][:-1]) | (own["reach"][1:] != own["reach"][:-1])
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))
+    # Copies of one document have places of one name, none of which is later than another.
+    later = np.logical_or.reduce([own[c] != own[c][lead] for c in ("_id", "_tie", "first")])
+    return some, head, later
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of a sorted array how often it occurs, and whether it is the first of its kind."""
+    head = np.ones(len(ordered), bool)
+    head[1:] = ordered[1:] != ordered[:-1]
+    count = np.diff(np.concatenate([np.flatnonzero(head), [len(ordered)]]))
+    return np.repeat(count, count), head
+
+
+def _dealt(gathered: dict[str, np.ndarray], parts: int, heavy: np.ndarray) -> pa.RecordBatch:
+    """Places packed for the parts that they go to: by rank, or by rank and reach if that is heavy.
+
+    Of places that are many here and agree in rank and reach, only the first goes there; the later ones are spread, ``known`` to be later.
+    """
+    order = np.argsort(gathered["reach"])
+    many = order[_runs(gathered["reach"][order])[0] >= MANY]
+    known, stays = np.zeros(len(order), np.uint8), np.ones(len(order), bool)
+    if len(many):
+        many, head, later = _firsts(gathered, many)
+        known[many[later]] = 1
+        stays[many[~head & ~later]] = False
+    places = {c: v[stays] for c, v in gathered.items()} | {"known": known[stays]}
+    known = places["known"] > 0
+    with np.errstate(over="ignore"):
+        key = places["rank"] + _among(places["rank"], heavy) * places["reach"] * _BASE
+        key[known] = places["_id"][known].view(np.uint64) * _BASE + places["first"][known].astype(np.uint64)
+    for c in ("rank", "reach"):
+        places[c] = np.where(known, np.uint64(0), places[c])
+    part = (_mixed(key) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [places[c][order].astype(k) for c, k in _KINDS.items()]
+    begin = np.flatnonzero(_runs(part)[1])
+    packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(begin, [*begin[1:], len(part)])]
+    return pa.record_batch([pa.array(part[begin].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "places"])
+
+
+def _unpacked(packed: list[bytes]) -> dict[str, np.ndarray]:
+    """The places of all of :func:`_dealt`'s packets."""
+    width, columns = sum(np.dtype(k).itemsize for k in _KINDS.values()), {c: [np.zeros(0, k)] for c, k in _KINDS.items()}
+    for p in packed:
+        count, at = len(p) // width, 0
+        for c, k in _KINDS.items():
+            columns[c].append(np.frombuffer(p, k, count, at))
+            at += columns[c][-1].nbytes
+    return {c: np.concatenate(v) for c, v in columns.items()}
+
+
+def _settled(places: dict[str, np.ndarray], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the places that repeat as a whole, and of first places whose rank other first places have, too (or that is heavy)."""
+    known = places["known"] > 0
+    order = np.flatnonzero(~known)
+    order = order[np.argsort(places["rank"][order])]
+    rank = places["rank"][order]
+    order, head, later = _firsts(places, order[(_runs(rank)[0] > 1) | _among(rank, heavy)])
+    firsts = order[head]
+    rank = places["rank"][firsts]
+    return np.concatenate([np.flatnonzero(known), order[later]]), firsts[(_runs(rank)[0] > 1) | _among(rank, heavy)]
 
 
 def _shared(rows: DataFrame, rank: str) -> DataFrame:
@@ -203,28 +278,42 @@ def _hashed(unique: DataFrame) -> DataFrame:
 def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """``_id _tie start end`` of places that repeat as a whole, and first places that share no more than their rank, both written.
 
-    The first place of a pair of ranks is its name. All joins are on keys that adaptive execution can split or that are
-    unique, so a passage of many documents gathers nowhere. First places have a ``place``, a number in the order of ``_id _tie first``.
+    Places move once, packed, to the task that ranks them. The first place of a pair of ranks is its name. A rank that is heavy is dealt
+    out by its pairs, and of a pair that is heavy each task sends on one place, so a passage of many documents gathers nowhere. First
+    places have a ``place``, a number in the order of ``_id _tie first``.
     """
-    ranks = written(_shared(_places(texts, length, gram, whole=False), "rank"), "ranks")
-    places = written(_places(texts, length, gram, whole=True).join(_hashed(ranks), "rank", "left_semi"), "places")
-    release(ranks)
-    own = F.struct("_id", "_tie", "first", "last", "at")
-    firsts = places.groupBy("rank", "reach").agg(F.min(own).alias("_own"))
-    firsts = written(firsts.select("rank", "reach", "_own.*"), "firsts")
-    later = places.join(_hashed(firsts), ["rank", "reach", "_id", "_tie", "first"], "left_anti")
-    whole = later.select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    whole = written(whole, "whole")
-    # Written first, so that the join has an exchange of its own.
-    several = written(_shared(firsts, "rank"), "several")
-    sharing = firsts.join(_hashed(several), "rank", "left_semi").select("_id", "_tie", "first", "last", "at")
-    sharing = written(sharing, "sharing")
-    release(places, firsts, several)
+    parts, heavy = _heavy(texts, length, gram)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, count = [], 0
+        for batch in in_slices(batches):
+            places = _sampled(batch, length, gram)
+            row = places.pop("row")
+            places |= {c: batch.column(i).to_numpy()[row] for i, c in enumerate(("_id", "_tie"))}
+            gathered.append(places)
+            count += len(row)
+            if count >= GATHERED:
+                yield _dealt({c: np.concatenate([g[c] for g in gathered]) for c in places}, parts, heavy)
+                gathered, count = [], 0
+        if count:
+            yield _dealt({c: np.concatenate([g[c] for g in gathered]) for c in gathered[0]}, parts, heavy)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _unpacked([p.as_py() for batch in batches for p in batch.column(0)])
+        whole, sharing = _settled(places, heavy)
+        for some, at in ((whole, None), (sharing, places["at"][sharing])):
+            if len(some):
+                columns = [pa.array(places[c][some]) for c in ("_id", "_tie", "first", "last")]
+                columns.append(pa.nulls(len(some), pa.int32()) if at is None else pa.array(at))
+                yield pa.record_batch(columns, names=["_id", "_tie", "first", "last", "at"])
+
+    packed = texts.select("_id", "_tie", "text").mapInArrow(deal, "part int, places binary").repartitionById(parts, "part")
+    settled = packed.select("places").mapInArrow(settle, "_id long, _tie long, first int, last int, at int")
+    settled = written(settled, "settled")
+    whole = settled.filter("at is null").select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     # Sorted from a written table, as a sort reads its rows twice. The numbers are fixed by being written.
-    ordered = sharing.orderBy("_id", "_tie", "first").withColumn("place", F.monotonically_increasing_id())
-    ordered = written(ordered, "ordered")
-    release(sharing)
-    return whole, ordered
+    sharing = settled.filter("at is not null").orderBy("_id", "_tie", "first").withColumn("place", F.monotonically_increasing_id())
+    return whole, written(sharing, "sharing")
 
 
 def _windows(length: int, gram: int) -> tuple[int, int]:

@@ -230,6 +230,67 @@ def test_places_of_joined_texts_are_those_of_each_text():
     assert sum(b - a + 1 for _, _, _, a, b, _ in together) == sum(max(0, n - 99) for n in size)
 
 
+@pytest.mark.parametrize("gathered, share", [(40, 0.0), (40, 0.5), (10**6, 1.0)])
+def test_places_are_settled_alike_however_they_are_dealt(gathered, share):
+    """Which ranks count as heavy, and how many places a task gathers, changes no result; places move once, packed."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    place = {"rank": rng.integers(0, 40, n) ** 2, "reach": rng.integers(0, 3, n), "_id": rng.integers(-3, 60, n), "_tie": rng.integers(0, 2, n)}
+    place = {c: v.astype(np.uint64 if c in ("rank", "reach") else np.int64) for c, v in place.items()}
+    place["rank"][::3] = rng.integers(2000, 2**63, len(place["rank"][::3]))
+    place |= {"first": rng.integers(0, 9, n).astype(np.int32), "last": np.arange(n, dtype=np.int32), "at": np.ones(n, np.int32)}
+    heavy = np.unique(place["rank"])
+    heavy = heavy[rng.random(len(heavy)) < share]
+    packets = {}
+    for k in range(0, n, gathered):
+        batch = suffix_dedup._dealt({c: v[k : k + gathered] for c, v in place.items()}, 7, heavy)
+        for part, packet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            packets.setdefault(part, []).append(packet)
+    whole, sharing = Counter(), set()
+    for part in packets.values():
+        got = suffix_dedup._unpacked(part)
+        later, firsts = suffix_dedup._settled(got, heavy)
+        whole.update(zip(*(got[c][later].tolist() for c in ("_id", "_tie", "first", "last"))))
+        sharing |= set(zip(*(got[c][firsts].tolist() for c in ("rank", "reach", "_id", "_tie", "first"))))
+    rows = list(zip(*(place[c].tolist() for c in ("rank", "reach", "_id", "_tie", "first", "last"))))
+    first = {}
+    for rank, reach, *own in rows:
+        first[rank, reach] = min(first.get((rank, reach), own[:3]), own[:3])
+    reaches = Counter(rank for rank, _ in first)
+    assert whole == Counter(tuple(r[2:]) for r in rows if list(r[2:5]) != first[r[:2]])
+    assert sharing == {(*k, *own) for k, own in first.items() if reaches[k[0]] > 1 or k[0] in heavy}
+
+
+def test_a_heavy_rank_and_a_heavy_passage_are_spread():
+    """Of a passage that many documents repeat, a task sends one place on; the places of a rank in many contexts go to many parts."""
+    n = 4000
+    same = {"rank": np.full(n, 5, np.uint64), "_id": np.arange(n), "_tie": np.zeros(n, np.int64)}
+    same |= {c: np.zeros(n, np.int32) for c in ("first", "last", "at")}
+    alike = suffix_dedup._dealt(same | {"reach": np.full(n, 7, np.uint64)}, 40, np.zeros(0, np.uint64))
+    got = suffix_dedup._unpacked(alike.column(1).to_pylist())
+    assert (got["known"] == 0).sum() == 1 and got["_id"][got["known"] == 0].tolist() == [0]
+    contexts = suffix_dedup._dealt(same | {"reach": np.arange(n).astype(np.uint64)}, 40, np.array([5], np.uint64))
+    for batch in (alike, contexts):
+        assert max(map(len, batch.column(1).to_pylist())) < 2 * sum(map(len, batch.column(1).to_pylist())) / 40
+
+
+def test_strings_and_places_are_counted_without_a_sort(spark, monkeypatch):
+    """Only the numbering of first places sorts its rows; aggregates and joins of places, windows and strings hash them."""
+    plans = {}
+
+    def kept(df, name, write=suffix_dedup.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    text = "a passage that is copied as a whole or in part, " * 3
+    docs = table(spark, [(i, text[i % 7 :] + str(i) * 90 + text[: 120 + i]) for i in range(12)])
+    suffix_dedup.repeated_spans(suffix_dedup._texts(docs))
+    assert {"settled", "shared-pairs", "kept", "left", "first-strings", "spans"} <= set(plans)
+    for name in ("settled", "shared-pairs", "kept", "left", "first-strings"):
+        assert "Sort" not in plans[name], name
+
+
 def test_repeats_edges(edge, empty):
     got = suffix_dedup.removal_report(edge).collect()
     assert len(got) == len(EDGE)
