@@ -33,8 +33,9 @@ JOINED = 1 << 14
 GATHERED, DEALT, MANY = 1 << 18, 1 << 19, 8
 #: Of so many documents one is looked at for ranks that are heavy.
 LOOK = 16
-#: A place as it is packed.
-_KINDS = {"rank": "<u8", "reach": "<u8", "_id": "<i8", "_tie": "<i8", "first": "<i4", "last": "<i4", "at": "<i4", "known": "u1"}
+#: A place and a span as they are packed.
+_PLACE = {"rank": "<u8", "reach": "<u8", "_id": "<i8", "_tie": "<i8", "first": "<i4", "last": "<i4", "at": "<i4", "known": "u1"}
+_SPAN = {"_id": "<i8", "_tie": "<i8", "start": "<i4", "end": "<i4"}
 
 
 def names(data: np.ndarray, size: int) -> np.ndarray:
@@ -234,25 +235,55 @@ def _dealt(gathered: dict[str, np.ndarray], parts: int, heavy: np.ndarray) -> pa
         key[known] = places["_id"][known].view(np.uint64) * _BASE + places["first"][known].astype(np.uint64)
     for c in ("rank", "reach"):
         places[c] = np.where(known, np.uint64(0), places[c])
+    return _packets(places, _PLACE, key, parts)
+
+
+def _packets(rows: dict[str, np.ndarray], kinds: dict[str, str], key: np.ndarray, parts: int) -> pa.RecordBatch:
+    """``part packet``: the columns of the rows for each part that a ``key`` belongs to."""
     part = (_mixed(key) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    part, columns = part[order], [places[c][order].astype(k) for c, k in _KINDS.items()]
+    part, columns = part[order], [rows[c][order].astype(k) for c, k in kinds.items()]
     begin = np.flatnonzero(_runs(part)[1])
     packed = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(begin, [*begin[1:], len(part)])]
-    return pa.record_batch([pa.array(part[begin].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "places"])
+    return pa.record_batch([pa.array(part[begin].astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "packet"])
 
 
-def _unpacked(packed: list[bytes]) -> dict[str, np.ndarray]:
-    """The places of all of :func:`_dealt`'s packets."""
-    width, columns = sum(np.dtype(k).itemsize for k in _KINDS.values()), {c: [np.zeros(0, k)] for c, k in _KINDS.items()}
-    for p in packed:
+def _unpacked(packets: list[bytes], kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    """The rows of all of :func:`_packets`."""
+    width, columns = sum(np.dtype(k).itemsize for k in kinds.values()), {c: [np.zeros(0, k)] for c, k in kinds.items()}
+    for p in packets:
         count, at = len(p) // width, 0
-        for c, k in _KINDS.items():
+        for c, k in kinds.items():
             columns[c].append(np.frombuffer(p, k, count, at))
             at += columns[c][-1].nbytes
     return {c: np.concatenate(v) for c, v in columns.items()}
 
 
+def _span_packets(rows: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
+    """Packets of ``_id _tie start end`` for the parts that the documents belong to."""
+    with np.errstate(over="ignore"):
+        return _packets(rows, _SPAN, rows["_id"].view(np.uint64) * _BASE + rows["_tie"].view(np.uint64), parts)
+
+
+def _merged(spans: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """``_id _tie spans``: what the spans of each document cover, in order, without overlaps."""
+    order = np.lexsort([spans[c] for c in ("start", "_tie", "_id")])
+    own = {c: v[order] for c, v in spans.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (own["_id"][1:] != own["_id"][:-1]) | (own["_tie"][1:] != own["_tie"][:-1])
+    above = (np.cumsum(new) - 1) << 32  # any document stands beyond all of the one before
+    start, end = own["start"] + above, np.maximum.accumulate(own["end"] + above)
+    head = new.copy()
+    head[1:] |= start[1:] > end[:-1]
+    heads = np.flatnonzero(head)
+    until = end[np.append(heads[1:], len(order)) - 1] if len(order) else end
+    covered = [pa.array((x & 0xFFFFFFFF).astype(np.int32)) for x in (start[heads], until)]
+    first = np.flatnonzero(new)
+    offsets = pa.array(np.append(np.searchsorted(heads, first), len(heads)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(covered, ["start", "end"]))
+    return pa.record_batch([pa.array(own["_id"][first]), pa.array(own["_tie"][first]), lists], names=["_id", "_tie", "spans"])
+
+
 def _settled(places: dict[str, np.ndarray], heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the places that repeat as a whole, and of first places whose rank other first places have, too (or that is heavy)."""
     known = places["known"] > 0
@@ -275,14 +306,14 @@ def _hashed(unique: DataFrame) -> DataFrame:
     return unique.hint("shuffle_hash")
 
 
-def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """``_id _tie start end`` of places that repeat as a whole, and first places that share no more than their rank, both written.
+def _ranked(texts: DataFrame, length: int, gram: int, dealing: tuple[int, np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Packets of ``_id _tie start end`` of places that repeat as a whole, and first places that share no more than their rank, both written.
 
     Places move once, packed, to the task that ranks them. The first place of a pair of ranks is its name. A rank that is heavy is dealt
     out by its pairs, and of a pair that is heavy each task sends on one place, so a passage of many documents gathers nowhere. First
-    places have a ``place``, a number in the order of ``_id _tie first``.
+    places have a ``place``, a number in the order of ``_id _tie first``. ``dealing``: as of :func:`_heavy`, if known.
     """
-    parts, heavy = _heavy(texts, length, gram)
+    parts, heavy = dealing or _heavy(texts, length, gram)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, count = [], 0
@@ -299,21 +330,24 @@ def _ranked(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
             yield _dealt({c: np.concatenate([g[c] for g in gathered]) for c in gathered[0]}, parts, heavy)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _unpacked([p.as_py() for batch in batches for p in batch.column(0)])
+        places = _unpacked([p.as_py() for batch in batches for p in batch.column(0)], _PLACE)
         whole, sharing = _settled(places, heavy)
-        for some, at in ((whole, None), (sharing, places["at"][sharing])):
-            if len(some):
-                columns = [pa.array(places[c][some]) for c in ("_id", "_tie", "first", "last")]
-                columns.append(pa.nulls(len(some), pa.int32()) if at is None else pa.array(at))
-                yield pa.record_batch(columns, names=["_id", "_tie", "first", "last", "at"])
-
-    packed = texts.select("_id", "_tie", "text").mapInArrow(deal, "part int, places binary").repartitionById(parts, "part")
-    settled = packed.select("places").mapInArrow(settle, "_id long, _tie long, first int, last int, at int")
-    settled = written(settled, "settled")
-    whole = settled.filter("at is null").select("_id", "_tie", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+        rows = {c: places[c][whole] for c in ("_id", "_tie")}
+        spans = _span_packets(rows | {"start": places["first"][whole], "end": places["last"][whole] + length}, parts)
+        firsts = [pa.array(places[c][sharing]) for c in own]
+        none = [pa.nulls(len(spans), a.type) for a in firsts]
+        yield pa.record_batch([*spans.columns, *none], names=["part", "packet", *own])
+        none = [pa.nulls(len(sharing), a.type) for a in spans.columns]
+        yield pa.record_batch([*none, *firsts], names=["part", "packet", *own])
+
+    own = ["_id", "_tie", "first", "last", "at"]
+    packed = texts.select("_id", "_tie", "text").mapInArrow(deal, "part int, packet binary").repartitionById(parts, "part")
+    schema = "part int, packet binary, _id long, _tie long, first int, last int, at int"
+    settled = written(packed.select("packet").mapInArrow(settle, schema), "settled")
     # Sorted from a written table, as a sort reads its rows twice. The numbers are fixed by being written.
-    sharing = settled.filter("at is not null").orderBy("_id", "_tie", "first").withColumn("place", F.monotonically_increasing_id())
-    return whole, written(sharing, "sharing")
+    sharing = settled.filter("part is null").select(*own).orderBy("_id", "_tie", "first")
+    sharing = written(sharing.withColumn("place", F.monotonically_increasing_id()), "sharing")
+    return settled.filter("part is not null").select("part", "packet"), sharing
 
 
 def _windows(length: int, gram: int) -> tuple[int, int]:
@@ -392,8 +426,8 @@ def _rounds(stretches: DataFrame, length: int, gram: int) -> DataFrame:
         left = before_this = kept
 
 
-def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank.
+def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Packets of ``_id _tie start end`` of what strings cover that have an earlier equal one among the strings of the same rank.
 
     Also the written tables that it is made of. A string's number is its place's, with the string's own in the last ``bits``: numbers
     are in the order of ``_id _tie start``, so they alone are moved and compared.
@@ -438,26 +472,31 @@ def _full_length(texts: DataFrame, firsts: DataFrame, length: int, gram: int) ->
     gone = firsts.select("place", "_id", "_tie", "first").join(_hashed(gone), "place")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, 4096):
+        for batch in in_slices(batches, 1 << 16):
             word = np.stack([batch.column(3 + w).to_numpy() for w in range(words)], axis=1)
             flagged = np.unpackbits(word.astype("<i8").view(np.uint8), axis=1, bitorder="little")
             turn = np.diff(np.pad(flagged, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, start = np.nonzero(turn == 1)
             end = np.nonzero(turn == -1)[1] - 1 + length
             first = batch.column(2).to_numpy()[row]
-            span = [pa.array((first + x).astype(np.int32)) for x in (start, end)]
-            yield pa.record_batch([*(pa.array(batch.column(c).to_numpy()[row]) for c in (0, 1)), *span], names=["_id", "_tie", "start", "end"])
+            spans = {c: batch.column(i).to_numpy()[row] for i, c in enumerate(("_id", "_tie"))}
+            yield _span_packets(spans | {"start": first + start, "end": first + end}, parts)
 
     columns = ["_id", "_tie", "first", *[f"flags{w}" for w in range(words)]]
-    return gone.select(*columns).mapInArrow(runs, "_id long, _tie long, start int, end int"), [left, first]
+    return gone.select(*columns).mapInArrow(runs, "part int, packet binary"), [left, first]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``_id _tie spans``: the byte ranges to remove (start, end; they may overlap) of documents that have any."""
-    whole, firsts = _ranked(texts, length, gram)
-    rest, used = _full_length(texts, firsts, length, gram)
-    spans = whole.unionByName(rest).groupBy("_id", "_tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = written(spans, "spans")
+    """``_id _tie spans``: the byte ranges to remove (start, end), in order, of documents that have any."""
+    parts, heavy = _heavy(texts, length, gram)
+    whole, firsts = _ranked(texts, length, gram, (parts, heavy))
+    rest, used = _full_length(texts, firsts, length, gram, parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _merged(_unpacked([p.as_py() for batch in batches for p in batch.column(0)], _SPAN))
+
+    spans = whole.unionByName(rest).repartitionById(parts, "part").select("packet")
+    spans = written(spans.mapInArrow(merge, "_id long, _tie long, spans array<struct<start:int,end:int>>"), "spans")
     release(whole, firsts, *used)
     return spans
 

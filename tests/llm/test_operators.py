@@ -248,7 +248,7 @@ def test_places_are_settled_alike_however_they_are_dealt(gathered, share):
             packets.setdefault(part, []).append(packet)
     whole, sharing = Counter(), set()
     for part in packets.values():
-        got = suffix_dedup._unpacked(part)
+        got = suffix_dedup._unpacked(part, suffix_dedup._PLACE)
         later, firsts = suffix_dedup._settled(got, heavy)
         whole.update(zip(*(got[c][later].tolist() for c in ("_id", "_tie", "first", "last"))))
         sharing |= set(zip(*(got[c][firsts].tolist() for c in ("rank", "reach", "_id", "_tie", "first"))))
@@ -267,13 +267,37 @@ def test_a_heavy_rank_and_a_heavy_passage_are_spread():
     same = {"rank": np.full(n, 5, np.uint64), "_id": np.arange(n), "_tie": np.zeros(n, np.int64)}
     same |= {c: np.zeros(n, np.int32) for c in ("first", "last", "at")}
     alike = suffix_dedup._dealt(same | {"reach": np.full(n, 7, np.uint64)}, 40, np.zeros(0, np.uint64))
-    got = suffix_dedup._unpacked(alike.column(1).to_pylist())
+    got = suffix_dedup._unpacked(alike.column(1).to_pylist(), suffix_dedup._PLACE)
     assert (got["known"] == 0).sum() == 1 and got["_id"][got["known"] == 0].tolist() == [0]
     contexts = suffix_dedup._dealt(same | {"reach": np.arange(n).astype(np.uint64)}, 40, np.array([5], np.uint64))
     for batch in (alike, contexts):
         assert max(map(len, batch.column(1).to_pylist())) < 2 * sum(map(len, batch.column(1).to_pylist())) / 40
 
 
+def test_spans_of_a_document_are_merged_wherever_they_come_from():
+    rng = np.random.default_rng(7)
+    n = 2000
+    start = rng.integers(0, 3000, n)
+    spans = {"_id": rng.integers(-2, 30, n), "_tie": rng.integers(-1, 2, n), "start": start, "end": start + rng.integers(1, 40, n)}
+    packets = {}
+    for k in range(0, n, 300):
+        batch = suffix_dedup._span_packets({c: v[k : k + 300] for c, v in spans.items()}, 5)
+        for part, packet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            packets.setdefault(part, []).append(packet)
+    got = {}
+    for part in packets.values():
+        rows = suffix_dedup._merged(suffix_dedup._unpacked(part, suffix_dedup._SPAN)).to_pylist()
+        got |= {(r["_id"], r["_tie"]): [(s["start"], s["end"]) for s in r["spans"]] for r in rows}
+    covered = defaultdict(set)
+    for doc, tie, a, b in zip(*(spans[c].tolist() for c in spans)):
+        covered[doc, tie] |= set(range(a, b))
+    assert got.keys() == covered.keys()
+    for doc, want in covered.items():
+        assert [x for a, b in got[doc] for x in range(a, b)] == sorted(want)
+        assert all(b < c for (_, b), (c, _) in zip(got[doc], got[doc][1:]))
+    assert suffix_dedup._merged({c: v[:0] for c, v in spans.items()}).num_rows == 0
+
+
 def test_strings_and_places_are_counted_without_a_sort(spark, monkeypatch):
     """Only the numbering of first places sorts its rows; aggregates and joins of places, windows and strings hash them."""
     plans = {}
@@ -287,7 +311,7 @@ def test_strings_and_places_are_counted_without_a_sort(spark, monkeypatch):
     docs = table(spark, [(i, text[i % 7 :] + str(i) * 90 + text[: 120 + i]) for i in range(12)])
     suffix_dedup.repeated_spans(suffix_dedup._texts(docs))
     assert {"settled", "shared-pairs", "kept", "left", "first-strings", "spans"} <= set(plans)
-    for name in ("settled", "shared-pairs", "kept", "left", "first-strings"):
+    for name in ("settled", "shared-pairs", "kept", "left", "first-strings", "spans"):
         assert "Sort" not in plans[name], name
 
 
